@@ -14,9 +14,13 @@ A null text is empty: it is one piece holding only the closing id. Repeated rows
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +33,17 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 BLOCK_PIECES = 20_000
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids, as little-endian 32-bit words in bytes, of texts under a tokenizer that never looks across white space."""
+    """Ids, as little-endian 32-bit words in bytes, of texts under a tokenizer that never looks across white space.
+
+    A word of lower-case Latin-1 letters is what the vocabulary's normaliser and splitter leave as it is, so it goes
+    straight to its model, in the byte alphabet of the splitter. Words met first tend to be the common ones, so a full
+    cache drops its newest half.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -43,30 +52,72 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").translate(_BLANKS).split(" ") for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > _CACHED_WORDS:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for low in range(0, len(fresh), 50_000):
-            part = fresh[low : low + 50_000]
+    def __call__(self, split: list[list[str]]) -> list[bytes]:
+        met = set(chain.from_iterable(split))
+        fresh = met - self.known.keys()
+        if len(self.known) + len(fresh) > _CACHED_WORDS:
+            for word in list(self.known)[_CACHED_WORDS // 2 :]:
+                del self.known[word]
+            fresh = met - self.known.keys()
+        self._learn(fresh)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def _learn(self, fresh: set[str]) -> None:
+        known, model, others = self.known, self.tokenizer.model, []
+        for word in fresh:
+            if _PLAIN.fullmatch(word):
+                alphabet = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                known[word] = array("I", [t.id for t in model.tokenize(alphabet)]).tobytes()
+            else:
+                others.append(word)
+        for low in range(0, len(others), 20_000):
+            part = others[low : low + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+                known[word] = array("I", got.ids).tobytes()
 
 
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_BYTE_ALPHABET = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 _BLANKS = dict.fromkeys(range(0x09, 0x0E), " ")
 
 
+def cut_anywhere(data: np.ndarray, bounds: np.ndarray) -> list[bool]:
+    """Of each text, whether marks stand alone (touch no other mark) among ASCII and Latin letters, without apostrophes."""
+    mark, never = np.zeros(256, bool), np.zeros(256, bool)
+    mark[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+    never[[*range(0x09), *range(0x0E, 0x20), 0x27, 0x7F, 0xC2, *range(0xCA, 0x100)]] = True
+    bad, marks = never[data], mark[data]
+    bad[1:] |= marks[1:] & marks[:-1]
+    for first, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):  # two signs, and a capital with no plain small letter
+        bad[1:] |= (data[:-1] == first) & (data[1:] == second)
+    return (np.diff(np.searchsorted(np.flatnonzero(bad), bounds)) == 0).tolist()
+
+
+def words_of(text: str, anywhere: bool) -> list[str]:
+    """Pieces at whose edges the vocabulary's splitter always cuts.
+
+    White space is such an edge; if marks stand alone, full stops and commas are pieces of their own, and letters may be
+    lower-cased, as the vocabulary does. (str.split also cuts at control characters, which such texts don't have.)
+    """
+    if anywhere:
+        return text.lower().replace(".", " . ").replace(",", " , ").split()
+    return text.translate(_BLANKS).split(" ")
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, kept between its tasks."""
+    held = sys.__dict__.setdefault("_threadloom_encoders", {})
+    return held.setdefault(path, None) or held.__setitem__(path, WordEncoder(path)) or held[path]
+
+
 def _piecer(path: str, capacity: int, closing_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = _encoder(path)
         last = int(closing_id).to_bytes(4, "little")
         for batch in batches:
-            for part, _, _ in slices(batch):
+            for part, data, bounds in slices(batch):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                texts = [words_of(t or "", anywhere) for t, anywhere in zip(texts, cut_anywhere(data, bounds), strict=True)]
                 out: list[tuple] = []
                 for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), encode(texts), strict=True):
                     ids += last
