@@ -110,7 +110,7 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 20) -> dict[s
     return {lang: out[lang] for lang in sorted(out)}
 
 
-def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int):
+def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, dropped: tuple[str, ...]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
         slot = np.full(1 << 21, -1, np.int32)
@@ -132,15 +132,15 @@ def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, seed:
                 cosine = np.where(known, dots[np.arange(part.num_rows), best] / np.maximum(norm, 1e-9), 0)
                 langs = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.drop_columns(["text"]).columns, pa.array(langs, pa.string()), pa.array(np.clip(cosine, 0.0, 1.0), pa.float64())],
-                    [*[n for n in part.schema.names if n != "text"], "lang_pred", "score"],
+                    [*part.drop_columns(list(dropped)).columns, pa.array(langs, pa.string()), pa.array(np.clip(cosine, 0.0, 1.0), pa.float64())],
+                    [*[n for n in part.schema.names if n not in dropped], "lang_pred", "score"],
                 )
 
     return predict
 
 
-def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dimensions: int = DIMENSIONS, seed: int = 20) -> DataFrame:
-    """Columns ``keep`` of ``docs``, with lang_pred and score (the cosine, 0 at least), from the whole text alone."""
+def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dimensions: int = DIMENSIONS, seed: int = 20, keep_text: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (and its text, if asked for), with lang_pred and score (the cosine, 0 at least), from the whole text alone."""
     names = list(model)
     raw = np.array([model[n] for n in names], np.float64).reshape(len(names), dimensions)
     raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
@@ -148,8 +148,9 @@ def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dim
         raw -= raw.mean(0)
         raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
     source = docs.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    return source.mapInArrow(_predictor(names, raw.T.astype(np.float32), dimensions, seed), f"{fields}, lang_pred string, score double")
+    dropped = () if keep_text else ("text",)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name not in dropped)
+    return source.mapInArrow(_predictor(names, raw.T.astype(np.float32), dimensions, seed, dropped), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
