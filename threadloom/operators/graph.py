@@ -17,15 +17,16 @@ BLOCK = 4096
 def _to_ends(links: DataFrame, ends: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(id, end, steps, done) for each of ``links`` (id, parent), which each have one parent: the end reached, by pointer doubling.
 
-    Rounds are logarithmic in the longest chain. A chain that runs into a circle without an end stays undone; it is found
-    when a round settles nothing more after chains of that length could have been.
+    Rounds are logarithmic in the longest chain. A chain that runs into a circle without an end stays undone; rounds end
+    when no chain can be longer.
     """
     stop = ends.select(F.col("id").alias("end"), F.lit(True).alias("stop"))
     state = links.select("id", F.col("parent").alias("end"), F.lit(1).cast("long").alias("steps"))
     state = state.join(stop, "end", "left").select("id", "end", "steps", F.coalesce("stop", F.lit(False)).alias("done"))
     state = scratch.write(state, f"{tag}0")
     open_, reach, round_ = state.where("NOT done").count(), 1, 0
-    while open_ and reach <= 2 * open_:
+    longest = open_ + 1
+    while open_ and reach <= 2 * longest:
         over = state.select(F.col("id").alias("end"), F.col("end").alias("e2"), F.col("steps").alias("s2"), F.col("done").alias("d2"))
         jump = state.where("NOT done").join(over, "end", "left")
         jump = jump.select("id", F.coalesce("e2", "end").alias("end"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.coalesce("d2", F.lit(True)).alias("done"))
@@ -62,13 +63,14 @@ def reply_depth(tweets: DataFrame) -> DataFrame:
 def _circle_depth(lost: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
     circle = scratch.write(state.select(F.col("end").alias("id")).distinct(), "circle")  # jumps of more than any chain end in circles
     tails = lost.join(circle, "id", "left_anti")
-    meet = _to_ends(tails, circle, scratch, "tail").select("id", F.col("end").alias("met")).unionByName(circle.select("id", F.col("id").alias("met")))
+    met = _to_ends(tails, circle, scratch, "tail")
     ring = components(lost.join(circle, "id").select(F.col("id").alias("a"), F.col("parent").alias("b")), scratch, "ring")
-    alone = circle.join(ring, "id", "left").select(F.col("id").alias("met"), F.coalesce("component", "id").alias("ring"))
-    entry = meet.join(alone, "met").groupBy("ring").agg(F.min_by("met", "id").alias("id")).select("id")
-    entry = scratch.write(entry, "entry")
-    way = _to_ends(lost, entry, scratch, "way")  # the entry itself walks its whole circle
-    return way.select("id", F.col("steps").alias("depth"))
+    alone = circle.join(ring, "id", "left").select(F.col("id").alias("end"), F.coalesce("component", "id").alias("ring"))
+    ways = met.select("id", "end").unionByName(circle.select("id", F.col("id").alias("end")))
+    entry = scratch.write(ways.join(alone, "end").groupBy("ring").agg(F.min_by("end", "id").alias("id")).select("id"), "entry")
+    around = _to_ends(lost.join(circle, "id"), entry, scratch, "around").select("id", F.col("steps").alias("depth"))  # the entry walks its whole circle
+    before = met.join(around.select(F.col("id").alias("end"), "depth"), "end").select("id", (F.col("steps") + F.col("depth")).alias("depth"))
+    return around.unionByName(before)
 
 
 def max_scaled(df: DataFrame, column: str) -> DataFrame:
