@@ -85,7 +85,7 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 def stored_map(spark, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, the newest by default."""
-    every = spark.read.parquet(path)
+    every = spark.read.schema("slot int, shard int, bytes long, rows long, version int").parquet(path)
     wanted = F.lit(version) if version is not None else F.lit(every.agg(F.max("version")).first()[0])
     return every.where(F.col("version") == wanted).select("version", "slot", "shard", "bytes", "rows")
 
