@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import WordHasher, mix, powers, runs, slices
 from .fm_index import FMIndex
+from .id_filter import bitmap, passes, place
 from .scratch import Scratch
 
 WINDOW = 50
@@ -85,6 +86,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _picker(wanted: np.ndarray):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The (doc_id, text) of (doc_id, text, place) rows that pass the filter."""
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted, np.asarray(batch.column(2))))).select([0, 1])
+
+    return pick
+
+
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each context asked for, the hashes of its runs of STRIDE words."""
     hasher, tail = WordHasher(False), WINDOW - STRIDE
@@ -175,7 +185,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shard = F.pmod(F.xxhash64("anchor", salt), F.lit(shards))
     ask = F.struct(shard.alias("shard"), (F.col("k") > SHARD).alias("open"), "start", "n")
     asked = wanted.groupBy("doc_id").agg(F.collect_list(ask).alias("asked"))
-    symbols = texts.join(asked, "doc_id").mapInArrow(_symbols, "shard long, open boolean, doc_id long, start int, n int, symbols binary")
+    some = texts.withColumn("place", place("doc_id")).mapInArrow(_picker(bitmap(wanted, "doc_id")), "doc_id long, text string")
+    symbols = some.join(asked, "doc_id").mapInArrow(_symbols, "shard long, open boolean, doc_id long, start int, n int, symbols binary")
     found = scratch.write(symbols.groupBy("shard").applyInPandas(search_shard, "doc_id long, start int, n int, window long"), "found")
     first = found.where("window IS NOT NULL").groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     across = found.where("window IS NOT NULL").join(first, "window").where("doc_id > least").select("doc_id", "start", "n")
