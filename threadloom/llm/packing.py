@@ -33,10 +33,22 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 BLOCK_PIECES = 20_000
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def loaded_tokenizer(path: str):
+    """The tokenizer of a file, without truncation and padding; a worker process loads it once."""
+    held = sys.__dict__.setdefault("_threadloom_tokenizers", {})
+    if path not in held:
+        from tokenizers import Tokenizer
+
+        held[path] = Tokenizer.from_file(path)
+        held[path].no_truncation()
+        held[path].no_padding()
+    return held[path]
+
+
 class WordEncoder:
     """Ids, as little-endian 32-bit words in bytes, of texts under a tokenizer that never looks across white space.
 
@@ -46,11 +58,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.known = loaded_tokenizer(path), {}
 
     def __call__(self, split: list[list[str]]) -> list[bytes]:
         met = set(chain.from_iterable(split))
@@ -66,7 +74,7 @@ class WordEncoder:
         known, model, others = self.known, self.tokenizer.model, []
         for word in fresh:
             if _PLAIN.fullmatch(word):
-                alphabet = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                alphabet = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
                 known[word] = array("I", [t.id for t in model.tokenize(alphabet)]).tobytes()
             else:
                 others.append(word)
@@ -77,7 +85,7 @@ class WordEncoder:
 
 
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_BYTE_ALPHABET = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+BYTE_ALPHABET = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 _BLANKS = dict.fromkeys(range(0x09, 0x0E), " ")
 
 
@@ -104,15 +112,9 @@ def words_of(text: str, anywhere: bool) -> list[str]:
     return text.translate(_BLANKS).split(" ")
 
 
-def _encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, kept between its tasks."""
-    held = sys.__dict__.setdefault("_threadloom_encoders", {})
-    return held.setdefault(path, None) or held.__setitem__(path, WordEncoder(path)) or held[path]
-
-
 def _piecer(path: str, capacity: int, closing_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = WordEncoder(path)
         last = int(closing_id).to_bytes(4, "little")
         for batch in batches:
             for part, data, bounds in slices(batch):
