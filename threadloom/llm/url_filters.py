@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 DEPTH = 4
 MANY_CHILDREN = 8
 PAGES_A_CHILD = 4
@@ -61,12 +63,12 @@ def path_form(path: Column) -> Column:
     return F.when(F.size(forms) > DEPTH, F.concat(F.slice(forms, 1, DEPTH), F.array(F.lit("<more>")))).otherwise(forms)
 
 
-def template_tree(pages: DataFrame) -> DataFrame:
+def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, form, template, parent) with the labels (n, bad) of each path form, from (host, path, bad)."""
     tree = pages.groupBy("host", path_form(F.col("path")).alias("form")).agg(
         F.count("*").alias("pages"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    tree = tree.withColumns({"template": F.lit(""), "parent": F.lit("")})
+    tree = scratch.write(tree.withColumns({"template": F.lit(""), "parent": F.lit("")}), "level")
     for level in range(DEPTH + 1):
         child = F.get("form", F.lit(level))
         nodes = tree.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.sum("pages").alias("pages"))
@@ -75,10 +77,11 @@ def template_tree(pages: DataFrame) -> DataFrame:
         tree = tree.join(wild, ["host", "template"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.col("wild"), "<*>").otherwise(child))
         tree = tree.withColumns({"parent": F.when(child.isNotNull(), F.col("template")).otherwise(F.col("parent")), "template": F.coalesce(step, "template")}).drop("wild")
+        tree = scratch.write(tree, f"level{level}")  # each level reads the one before twice
     return tree
 
 
-def judged_templates(tree: DataFrame) -> DataFrame:
+def judged_templates(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, template, branch, purity): similar siblings share a branch, and its smoothed share of bad labels."""
     leaf = tree.groupBy("host", "parent", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     enough = leaf.where(F.col("labels") >= LABELS)
@@ -87,7 +90,7 @@ def judged_templates(tree: DataFrame) -> DataFrame:
     joined = leaf.join(pooled, ["host", "parent"], "left")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("labels"))
     alike = (F.col("labels") >= LABELS) & (F.abs(F.col("bad") / F.col("labels") - F.col("rate")) <= Z * spread)
-    joined = joined.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/<~>"))).otherwise(F.col("template")))
+    joined = scratch.write(joined.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/<~>"))).otherwise(F.col("template"))), "branches")
     shares = joined.groupBy("host", "branch").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(prior))
     purity = ((F.col("bad") + F.lit(WEIGHT) * F.col("prior")) / (F.col("labels") + F.lit(WEIGHT))).alias("purity")
     return joined.select("host", "template", "branch").join(shares.select("host", "branch", purity), ["host", "branch"])
@@ -100,9 +103,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule = ruling(F.col("host"), F.col("path"), rules)
     label = F.when(rule["verdict"] == "block", 1).when(rule["verdict"] == "allow", 0)
     bad = F.coalesce("bad", label) if "bad" in pages.columns else label
-    split = split.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad"))
-    tree = template_tree(split.select("host", "path", "bad"))
-    known = tree.select("host", "form", "template").join(judged_templates(tree), ["host", "template"])
+    scratch = Scratch(pages.sparkSession, "url-filters")
+    split = scratch.write(split.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad")), "split")
+    tree = template_tree(split.select("host", "path", "bad"), scratch)
+    known = scratch.write(tree.select("host", "form", "template").join(judged_templates(tree, scratch), ["host", "template"]), "known")
     # forms of one host are many, so the hot host's pages spread over them
     out = split.withColumn("form", path_form(F.col("path"))).join(known, ["host", "form"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
