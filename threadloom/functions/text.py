@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .urls import analyze_urls, remove_urls
+from .urls import URL_PATTERN, analyze_urls, remove_urls
 
 # Fixed values.
 MIN_LENGTH, MAX_LENGTH = 5, 500
@@ -125,9 +125,9 @@ def discourse_markers(text: Column) -> Column:
 
 def text_information(text: Column) -> list[Column]:
     """Counts that describe a text: weighted length (wide characters count twice), URLs, emoji, tags, mentions, markers."""
-    wide = F.regexp_count(text, F.lit(r"[^\x{0}-\x{10FF}\x{2000}-\x{200D}\x{2010}-\x{201F}\x{2032}-\x{2037}]"))
-    urls = F.regexp_count(text, F.lit(r"https?://[!$-_a-z]+"))
-    plain = F.regexp_replace(text, r"https?://[!$-_a-z]+", "")
+    urls = F.regexp_count(text, F.lit(URL_PATTERN))
+    plain = F.regexp_replace(text, URL_PATTERN, "")
+    wide = F.regexp_count(plain, F.lit(r"[^\x{0}-\x{10FF}\x{2000}-\x{200D}\x{2010}-\x{201F}\x{2032}-\x{2037}]"))
     return [
         (F.length(plain) + wide + 23 * urls).alias("weighted_length"), urls.alias("url_count"),
         F.regexp_count(text, F.lit(EMOJI_PATTERN)).alias("emoji_count"), count_char(text, "#").alias("hashtags"),

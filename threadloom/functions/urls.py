@@ -99,6 +99,12 @@ def text_without_urls(text: Column) -> Column:
     return F.struct(rest.alias("text"), extract_urls(text).alias("urls"))
 
 
+def has_external_url(text: Column, resolved: Column) -> Column:
+    """1 if a URL of the text leads, by the map ``resolved``, somewhere other than twitter.com; unknown targets count as such."""
+    leads = lambda u: F.coalesce(F.try_element_at(resolved, u), F.lit(""))
+    return F.exists(extract_urls(text), lambda u: ~F.contains(leads(u), F.lit("twitter.com"))).cast("int")
+
+
 def resolve_url(url: Column) -> Column:
     """Where a URL leads: itself, as nothing is fetched."""
     return url

@@ -193,6 +193,34 @@ def q_markers(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.size(X.discourse_markers(F.col("text"))).alias("n"))
 
 
+@query("votes tweets", f"SELECT tweet_id, CAST(len(list_filter({_URLS}, lambda u: NOT contains(CASE WHEN length(u) % 3 = 0 THEN 'https://twitter.com/x' ELSE u END, 'twitter.com'))) > 0 AS INT) AS external FROM tweets")
+def q_external_urls(spark, sf_dir):
+    urls = F.array_distinct(U.extract_urls(F.col("text")))
+    leads = F.map_from_entries(F.transform(urls, lambda u: F.struct(u, F.when(F.length(u) % 3 == 0, "https://twitter.com/x").otherwise(u))))
+    return T.tweets(spark, sf_dir).select("tweet_id", U.has_external_url(F.col("text"), leads).alias("external"))
+
+
+_WIDE = "len(regexp_extract_all(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g'), '[^\\x{0}-\\x{10FF}\\x{2000}-\\x{200D}\\x{2010}-\\x{201F}\\x{2032}-\\x{2037}]'))"
+_INFORMATION = f", i AS (SELECT *, length(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g')) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
+
+
+@query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, hashtags, mentions, markers FROM i")
+def q_text_information(spark, sf_dir):
+    return T.tweets(spark, sf_dir).select("tweet_id", *X.text_information(F.col("text"))).drop("emoji_count")
+
+
+@query("votes tweets", _INFORMATION + " SELECT round(avg(weighted_length), 6) AS mean_length, round_even(100.0::DOUBLE * count(*) FILTER (WHERE url_count > 0) / count(*), 2) AS percent_url, round_even(100.0::DOUBLE * count(*) FILTER (WHERE markers > 0) / count(*), 2) AS percent_marker, round_even(100.0::DOUBLE * count(*) FILTER (WHERE hashtags > 0) / count(*), 2) AS percent_hashtag FROM i WHERE taco_class = 'statement'")
+def q_describe_class(spark, sf_dir):
+    rows = T.tweets(spark, sf_dir).where("taco_class = 'statement'").select(*X.text_information(F.col("text")))
+    return metrics.describe_group(rows)
+
+
+@query("votes", "SELECT tweet_id, CASE WHEN doc_id % 5 = 0 THEN 'None' ELSE lower(trim('  ' || upper(taco_class) || ' ')) END AS class FROM votes")
+def q_normalise_class(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("  "), F.upper("taco_class"), F.lit(" ")))
+    return T.votes(spark, sf_dir).select("tweet_id", relational.normalise_class(raw).alias("class"))
+
+
 @query()
 def q_tweet_normalise(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", X.normalize_tweet(F.col("text")).alias("normal"))
@@ -577,6 +605,12 @@ def q_focal_loss(spark, sf_dir):
     return rows.select("id", F.round(V.focal_loss(F.slice("vector", 1, 4).cast("array<double>"), F.col("label") % 4), 6).alias("loss"))
 
 
+@query("vectors", "SELECT label, id AS first FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1")
+def q_cls_pool(spark, sf_dir):
+    rows = T.vectors(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return rows.select("label", V.cls_pool(F.col("ids")).alias("first"))
+
+
 @query("vectors", ", z AS (SELECT id, list_slice(vector, 1, 4) AS v FROM vectors) SELECT id, CAST(list_position(v, list_aggregate(v, 'max')) - 1 AS INT) AS best FROM z")
 def q_argmax(spark, sf_dir):
     return T.vectors(spark, sf_dir).select("id", V.argmax(F.slice("vector", 1, 4)).alias("best"))
