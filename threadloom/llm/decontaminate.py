@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import WordHasher, runs, slices
+from .arrowtext import WordHasher, Words, runs, slices
 
 SHINGLE = 5
 SHARE = 0.8
@@ -76,51 +76,71 @@ def _item_sets(items: list[tuple[int, str]], size: int) -> list[tuple[int, int,
     return out
 
 
+def _hits(sketches: Sketches, words: Words) -> Iterator[tuple[int, int, int]]:
+    """(text, item, shared shingles) of every text of a slice and every item of the block that it contains."""
+    for length, (keys, item) in sketches.by_length.items():
+        hashes = runs(words.hashes, length)
+        if not len(hashes):
+            continue
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == hashes)
+        doc = np.searchsorted(words.first, hit, "right") - 1
+        hit, doc = (x[hit + length <= words.first[doc + 1]] for x in (hit, doc))
+        for d in np.unique(doc).tolist():
+            own = np.unique(hashes[words.first[d] : words.first[d + 1] - length + 1])
+            met = np.unique(hashes[hit[doc == d]])
+            near = np.unique(np.concatenate([item[np.searchsorted(keys, m) : np.searchsorted(keys, m, "right")] for m in met]))
+            for k in near.tolist():
+                whole = sketches.sets[k]
+                n = int((own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole).sum())
+                if len(whole) - n <= int(may_miss(np.array([len(whole)]), sketches.share)[0]):
+                    yield d, k, n
+
+
 def _searcher(sketches: Sketches):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch in batches:
             for part, data, bounds in slices(batch):
                 ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-                words, found = hasher(data, bounds), []
-                for length, (keys, item) in sketches.by_length.items():
-                    hashes = runs(words.hashes, length)
-                    if not len(hashes):
-                        continue
-                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == hashes)
-                    doc = np.searchsorted(words.first, hit, "right") - 1
-                    hit, doc = (x[hit + length <= words.first[doc + 1]] for x in (hit, doc))
-                    for d in np.unique(doc).tolist():
-                        own = np.unique(hashes[words.first[d] : words.first[d + 1] - length + 1])
-                        met = hashes[hit[doc == d]]
-                        near = np.unique(np.concatenate([item[np.searchsorted(keys, m) : np.searchsorted(keys, m, "right")] for m in np.unique(met)]))
-                        for k in near.tolist():
-                            whole = sketches.sets[k]
-                            n = int((own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole).sum())
-                            if len(whole) - n <= int(may_miss(np.array([len(whole)]), sketches.share)[0]):
-                                found.append((ids[d], sketches.ids[k], n, len(whole), n / len(whole)))
+                found = [(ids[d], sketches.ids[k], n, len(sketches.sets[k]), n / len(sketches.sets[k])) for d, k, n in _hits(sketches, hasher(data, bounds))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _TYPES, strict=True)], _NAMES)
 
     return search
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) where at least ``share`` of an item's shingles are in a document.
+def _cleaner(sketches: Sketches):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _hasher()
+        for batch in batches:
+            for part, data, bounds in slices(batch):
+                leaks = {d for d, _, _ in _hits(sketches, hasher(data, bounds))}
+                yield part.filter(pa.array([d not in leaks for d in range(part.num_rows)])) if leaks else part
 
-    ``items`` (item_id, text) is streamed through the driver in blocks; ``docs`` (doc_id, text) stays distributed.
-    """
-    blocks, rows, held = [], [], 0
+    return clean
+
+
+def _blocks(items: DataFrame, size: int, share: float) -> Iterator[Sketches]:
+    rows, held = [], 0
     for row in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator(prefetchPartitions=True):
         rows.append((row.item_id, row.text))
         held += len(row.text) // 2 + 1  # a word and its separator take two characters at least
         if held >= BLOCK_SHINGLES:
-            blocks.append(rows)
+            if sets := _item_sets(rows, size):
+                yield Sketches(sets, share)
             rows, held = [], 0
-    blocks.append(rows)
+    if sets := _item_sets(rows, size):
+        yield Sketches(sets, share)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) where at least ``share`` of an item's shingles are in a document.
+
+    ``items`` (item_id, text) is streamed through the driver in blocks; ``docs`` (doc_id, text) stays distributed.
+    """
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    parts = [texts.mapInArrow(_searcher(Sketches(sets, share)), _OUT) for b in blocks if (sets := _item_sets(b, size))]
+    parts = [texts.mapInArrow(_searcher(block), _OUT) for block in _blocks(items, size, share)]
     return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], _OUT)
 
 
@@ -132,5 +152,7 @@ def leaked_documents(docs: DataFrame, items: DataFrame, size: int = SHINGLE, sha
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """The documents without a leak, all columns; a null doc_id can't be told apart and stays."""
-    return docs.join(find_leaks(docs, items, size, share).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents without a leak, all columns, filtered where they are read: nothing is shuffled or joined."""
+    for block in _blocks(items, size, share):
+        docs = docs.mapInArrow(_cleaner(block), docs.schema)
+    return docs
