@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 

@@ -29,7 +29,7 @@ from .arrowtext import slices
 UNKNOWN = "und"
 DIMENSIONS = 1024
 _LETTERS = 128  # 0: blank, 1-26: a-z, the rest: other letters
-_HELD_LANGUAGES = 8
+_HELD_LANGUAGES = 4
 
 
 def letter_codes() -> np.ndarray:
