@@ -1,17 +1,26 @@
 """MinHash near-duplicates by a multi-index Hamming join, confirmed on whole shingle sets.
 
 A document's set of word shingles gives a signature of HASHES b-bit minima (b = 16). The signature is cut into
-CHUNKS chunks of four symbols. Two signatures that differ in at most RADIUS = 2 * CHUNKS - 1 symbols have, by
+CHUNKS chunks of six symbols. Two signatures that differ in at most RADIUS = 2 * CHUNKS - 1 symbols have, by
 pigeonhole, a chunk with at most one differing symbol; every signature is therefore indexed, for each chunk, under
-its four variants with one symbol left out, and no pair within the radius escapes. At the least similarity asked for
-(0.8 or more) a pair lies beyond the radius with a probability below 1e-5, and is still found if any chunk agrees.
+its six variants with one symbol left out, and no pair within the radius escapes. A pair beyond the radius is still
+found if any chunk agrees; at a similarity of 0.85 no chunk does with a probability of 3e-7, at 0.8 of 2e-5.
 
 Skew and size. Equal sets are one class from the start (hash aggregation, combined before the shuffle), so thousands
-of copies cost one row. Within an index bucket members are first paired with the bucket's smallest and largest id
-only; every document's closest partner is confirmed, components are built, then the other such pairs that still cross
-components. What is left are buckets that hold several components: there, all pairs across components, that are not
-both in the bucket's largest one, are tried. So every candidate pair is either confirmed, refuted or already connected:
-links are lost to no cap, and a large group of near copies costs about its size.
+of copies cost one row. Within an index bucket members are first paired with the bucket's smallest id only; every
+document's closest partner is confirmed, components are built, then the other such pairs that still cross components.
+What is left are buckets that hold several components. There, all pairs across components that are not both in the
+bucket's largest one have their signatures compared, each pair once, in blocks, if their set sizes allow the similarity.
+Only those close enough become rows: at most ``farthest`` symbols apart, which a similar pair exceeds with a probability of
+1e-5. Two things keep this from growing with the square of a group:
+
+* In buckets of more than CROWD members, documents get a second, finer sketch of BITS one-bit minima, and pairs must be close
+  by it too: a group of thousands of edited copies has as many pairs as its square, but most are visibly below the
+  similarity. A similar pair fails this with a probability of 1e-5 as well.
+* A bucket of more than LARGE members (documents that share a frequent passage and little else) is first divided by the
+  variants of the other chunks, one of which a pair over the similarity shares but for a chance of 2e-6.
+
+So every candidate pair is confirmed, refuted or already connected, and no cap loses a link.
 
 Shingles are hashed to 64 bits. Empty sets link with nothing. Rows with one doc_id are one document. A null doc_id is
 never linked: its component is null and it is kept. Ties of distance go to the smaller id.
@@ -27,33 +36,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..scratch import Scratch
 from .arrowtext import WordHasher, mix, shingle_sets, slices
-from .components import components
-from .scratch import Scratch
+from .id_filter import bitmap, passes, place
 
 SHINGLE, PERCENT = 5, 80
-HASHES, CHUNKS = 48, 12
+HASHES, CHUNKS, CROWD, LARGE, BITS = 60, 10, 32, 4000, 4096
 RADIUS = 2 * CHUNKS - 1
 _WIDTH = HASHES // CHUNKS
-_LOOSE = RADIUS + 5  # pairs that the index brings from beyond the radius are welcome too
 
 
-def signature_parameters() -> tuple[np.ndarray, np.ndarray]:
-    flips = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def farthest(percent: int) -> int:
+    """Differing symbols up to which a pair is looked at: 4.7 deviations above the mean at the least similarity."""
+    p = 1 - percent / 100
+    return max(RADIUS, int(HASHES * p + 4.7 * (HASHES * p * (1 - p)) ** 0.5))
+
+
+def farthest_bits(percent: int) -> int:
+    """The same for one-bit minima, which differ by half as often."""
+    p = (1 - percent / 100) / 2
+    return int(BITS * p + 4.7 * (BITS * p * (1 - p)) ** 0.5)
+
+
+def hash_parameters(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    flips = mix(np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return flips[:, None], mix(flips)[:, None] | np.uint64(1)
 
 
-def signature(shingles: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> bytes:
-    """HASHES symbols of 16 bits: of each hash function, its least value over the set, hashed down."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minima(shingles: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Of each hash function, its least value over the set, hashed."""
+    least = np.full(len(flips), np.iinfo(np.uint64).max, np.uint64)
     for low in range(0, len(shingles), 2048):
         np.minimum(least, ((shingles[low : low + 2048] ^ flips) * odd).min(1), out=least)
-    return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
+    return mix(least)
+
+
+def signature(shingles: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> bytes:
+    """HASHES symbols of 16 bits."""
+    return (minima(shingles, flips, odd) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def sketch(shingles: np.ndarray, parameters: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """BITS one-bit minima."""
+    return np.packbits(np.concatenate([minima(shingles, *p) for p in parameters]).view(np.int64) < 0).tobytes()
 
 
 def _signer(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (flips, odd) = WordHasher(True), signature_parameters()
+        hasher, (flips, odd) = WordHasher(True), hash_parameters(1, HASHES)
         for batch in batches:
             for part, data, bounds in slices(batch):
                 counts, digests, signs = [], [], []
@@ -70,55 +101,152 @@ def _signer(size: int):
     return sign
 
 
+def variant_keys(symbols: np.ndarray) -> np.ndarray:
+    """(signatures, CHUNKS, width) keys: a chunk with one symbol left out, hashed to 57 bits under the chunk's number and the symbol's."""
+    symbols = symbols.reshape(len(symbols), CHUNKS, _WIDTH).astype(np.uint64)
+    keys = np.empty(symbols.shape, np.uint64)
+    for gone in range(_WIDTH):
+        key = np.full(symbols.shape[:2], gone + 1, np.uint64)
+        for at in range(_WIDTH):
+            if at != gone:
+                key = mix(key ^ symbols[:, :, at]) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, :, gone] = mix(key) >> np.uint64(7) | np.uint64(gone << 57) | np.arange(CHUNKS, dtype=np.uint64) << np.uint64(60)
+    return keys
+
+
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bucket keys of each signature: chunk and omitted symbol (16 bits), then the three symbols left (48 bits)."""
+    """All bucket keys of each (id, signature, n)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = np.asarray(batch.column(0))
-        symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), CHUNKS, _WIDTH).astype(np.uint64)
-        keys = np.empty((len(ids), CHUNKS, _WIDTH), np.uint64)
-        for gone in range(_WIDTH):
-            key = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(_WIDTH) + np.uint64(gone), (len(ids), CHUNKS))
-            for at in range(_WIDTH):
-                if at != gone:
-                    key = key << np.uint64(16) | symbols[:, :, at]
-            keys[:, :, gone] = key
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, HASHES))], ["key", "id"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = variant_keys(_symbols(batch.column(1))).reshape(-1)
+        own = np.repeat(np.arange(batch.num_rows), HASHES)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(own))], ["key", "id"])
+
+
+def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each (key, id, n, component, fine, signature): its bucket's key joined with each variant of the other chunks."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 2000):
+            part = batch.slice(low, 2000)
+            old = np.asarray(part.column(0)).view(np.uint64)
+            variants = variant_keys(_symbols(part.column(5)))
+            other = np.arange(CHUNKS)[None, :] != (old >> np.uint64(60)).astype(np.int64)[:, None]
+            new = mix(variants + mix(old)[:, None, None])[other].reshape(-1)
+            own = pa.array(np.repeat(np.arange(len(old)), (CHUNKS - 1) * _WIDTH))
+            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(part.column(k).take(own) for k in range(1, 6))], ["key", "id", "n", "component", "fine", "signature"])
+
+
+def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, major: int, fine: np.ndarray, symbols: np.ndarray, percent: int, once: bool) -> list[np.ndarray]:
+    """(a, b, distance) of the close pairs across components of one bucket, with an end outside of its major component.
+
+    ``fine`` are the members' sketches as rows of 64-bit words, without any words if they have none.
+    """
+    out, minor = [np.zeros((0, 3), np.int64)], np.flatnonzero(component != major)
+    step = max(1, 200_000 // len(ids))
+    for low in range(0, len(minor), step):
+        x = minor[low : low + step, None]
+        fits = (component[x] != component) & ((component == major) | (ids[x] < ids))
+        fits &= 100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)
+        x, y = minor[low + np.nonzero(fits)[0]], np.nonzero(fits)[1]
+        for at in range(0, len(x), 50_000):
+            i, j = x[at : at + 50_000], y[at : at + 50_000]
+            near = np.bitwise_count(fine[i] ^ fine[j]).sum(1, np.int64) <= farthest_bits(percent)
+            i, j = i[near], j[near]
+            same = symbols[i] == symbols[j]
+            good = same.sum(1) >= HASHES - farthest(percent)
+            if once:  # in the first bucket that the pair shares
+                equal = same.reshape(-1, CHUNKS, _WIDTH).sum(2)
+                chunk = (equal >= _WIDTH - 1).argmax(1)
+                good &= (chunk == key >> 60) & ((equal[np.arange(len(i)), chunk] < _WIDTH) | (key >> 57 & 7 == 0))
+            i, j, same = i[good], j[good], same[good]
+            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), HASHES - same.sum(1)], 1))
+    return out
+
+
+def _enumerator(percent: int, once: bool):
+    def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the buckets of (key, id, n, component, major, fine, signature) rows in order of key."""
+        held: pa.Table | None = None
+
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            key, ids, n, component, major = (np.asarray(rows.column(k)) for k in range(5))
+            symbols, found = _symbols(rows.column(6)), [np.zeros((0, 3), np.int64)]
+            edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] - 1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                fine = rows.column(5).slice(a, b - a)
+                fine = np.frombuffer(b"" if fine.null_count else b"".join(fine.to_pylist()), np.uint64).reshape(b - a, -1)
+                found += _pairs_of(int(key[a].view(np.uint64)), ids[a:b], n[a:b], component[a:b], major[a], fine, symbols[a:b], percent, once)
+            whole = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(whole[:, 2].astype(np.int32))], ["a", "b", "distance"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = np.asarray(held.column(0))
+            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if last:
+                yield pairs(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield pairs(held)
+
+    return enumerate_
+
+
+def _closeness(percent: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distance = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(1)
+            close = np.flatnonzero(distance <= farthest(percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(distance[close], pa.int32())], ["a", "b", "distance"])
+
+    return near
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, shingle sets) of the (doc_id, text, place) rows that pass the filter."""
+    hasher = WordHasher(True)
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (2, 3))
-        distance = (left != right).sum(1)
-        close = np.flatnonzero(distance <= _LOOSE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(distance[close], pa.int32())], ["a", "b", "distance"])
+        batch = batch.filter(pa.array(passes(wanted, np.asarray(batch.column(2)))))
+        for part, data, bounds in slices(batch):
+            yield part.column(0), list(shingle_sets(hasher(data, bounds), size))
 
 
-def _setter(size: int):
+def _setter(size: int, wanted: np.ndarray):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(True)
-        for batch in batches:
-            for part, data, bounds in slices(batch):
-                own = [s.tobytes() for s in shingle_sets(hasher(data, bounds), size)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(own, pa.binary())], ["id", "shingles"])
+        for ids, own in _wanted_sets(batches, size, wanted):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in own], pa.binary())], ["id", "shingles"])
 
     return sets
 
 
+def _sketcher(size: int, wanted: np.ndarray):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parameters = [hash_parameters(1000 + k, 128) for k in range(0, BITS, 128)]
+        for ids, own in _wanted_sets(batches, size, wanted):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([sketch(s, parameters) for s in own], pa.binary())], ["id", "fine"])
+
+    return sketches
+
+
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                n, m = len(x) // 8, len(y) // 8
-                if 100 * min(n, m) >= percent * max(n, m):
-                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (n + m - common):
-                        good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+            for low in range(0, batch.num_rows, 256):
+                part, good = batch.slice(low, 256), []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    common = 0
+                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                        both = np.concatenate([x, y])
+                        both.sort()
+                        common = int((both[1:] == both[:-1]).sum())
+                    good.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield part.filter(pa.array(good, pa.bool_())).select([0, 1])
 
     return confirm
 
@@ -137,15 +265,46 @@ class _Links:
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> None:
         self.docs, self.classes, self.size, self.percent, self.scratch = docs, classes, size, percent, scratch
 
+    def alike(self, n: str, m: str):
+        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+
+    def across(self, placed: DataFrame, divide: bool) -> DataFrame:
+        """(a, b, distance) of one bucket and two components, unless both are in the bucket's largest, from (key, id, n, component)."""
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("c"), F.sum("k").alias("k"))
+        live = placed.join(mixed.where("c > 1").select("key", "major", "k"), "key")
+        small = live
+        if divide:
+            live = self.scratch.write(live.join(self.classes.select("id", "signature"), "id"), "live")
+            crowd = live.where(F.col("k") > CROWD).select("id").distinct()
+            fine = self.scanned(crowd, "crowd", _sketcher, "fine")
+            live = self.scratch.write(live.join(fine, "id", "left").withColumn("fine", F.when(F.col("k") > CROWD, F.col("fine"))), "sketched")
+            small = live.where(F.col("k") <= LARGE)
+            large = live.where(F.col("k") > LARGE).select("key", "id", "n", "component", "fine", "signature")
+        rows = small.select("key", "id", "n", "component", "major", "fine", "signature").repartition("key").sortWithinPartitions("key")
+        pairs = rows.mapInArrow(_enumerator(self.percent, divide), "a long, b long, distance int")
+        if divide and not large.isEmpty():
+            finer = large.mapInArrow(_divide, "key long, id long, n long, component long, fine binary, signature binary")
+            pairs = pairs.union(self.across(finer, False))
+        return pairs
+
     def near(self, pairs: DataFrame, table: str) -> DataFrame:
-        sign = self.classes.select("id", "signature")
-        both = pairs.join(sign.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
-            sign.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-        return self.scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long, distance int"), table)
+        """The pairs (a, b) whose set sizes allow the similarity and whose signatures are close, with the distance."""
+        of = lambda x: self.classes.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").where(self.alike("na", "nb"))
+        return self.scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(_closeness(self.percent), "a long, b long, distance int"), table)
+
+    def scanned(self, ids: DataFrame, table: str, make, column: str) -> DataFrame:
+        """(id, <column>) of at least ``ids``; texts are scanned, not shuffled."""
+        wanted = bitmap(ids, "id")
+        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
+        return self.scratch.write(texts.mapInArrow(make(self.size, wanted), f"id long, {column} binary"), table)
+
+    def sets(self, pairs: DataFrame, table: str) -> DataFrame:
+        return self.scanned(self.ends(pairs), table, _setter, "shingles")
 
-    def sets(self, near: DataFrame, table: str) -> DataFrame:
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        return self.scratch.write(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_setter(self.size), "id long, shingles binary"), table)
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -164,13 +323,12 @@ class _Links:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, component) of the classes (id, signature) that some other class is similar to."""
+    """(id, component) of the classes (id, signature, n) that some other class is similar to."""
     run = _Links(docs, classes, size, percent, scratch)
     keys = classes.select("id", "signature").mapInArrow(_index, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
     members = scratch.write(keys.join(shared, "key"), "members")
-    star = members.select(F.col("low").alias("a"), F.col("id").alias("b")).union(members.select(F.col("id").alias("a"), F.col("high").alias("b")))
-    near = run.near(star.where("a < b").distinct(), "near")
+    near = run.near(members.select(F.col("low").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "near")
     sets = run.sets(near, "sets")
 
     ends = near.select(F.col("a").alias("u"), F.struct("distance", F.col("b").alias("v")).alias("best")).union(
@@ -182,17 +340,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, s
     if not rest.isEmpty():
         found = run.merged(found, rest, sets, "rest")
 
-    placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).where("k > 1")
-    open_ = scratch.write(placed.join(mixed.select("key", "major"), "key"), "open")
-    minor = open_.where("component <> major").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = minor.join(open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    left = run.near(across, "near-left")
+    placed = members.select("key", "id").join(classes.select("id", "n"), "id").join(found, "id", "left")
+    across = run.across(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")), True)
+    left = scratch.write(across.distinct().join(near, ["a", "b"], "left_anti"), "near-left")
     if not left.isEmpty():
         found = run.merged(found, left, run.sets(left, "sets-left"), "left")
-    scratch.drop("open", "sets")
+    scratch.drop("live", "crowd", "sets")
     return found
 
 
@@ -202,7 +355,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = docs.select("doc_id", "text")
     signed = scratch.write(texts.mapInArrow(_signer(size), "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(known.groupBy("digest", "signature").agg(F.min("doc_id").alias("id")), "classes")
+    classes = scratch.write(known.groupBy("digest", "signature", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id")), "classes")
     found = link_classes(texts, classes, size, percent, scratch)
     named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("linked"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
