@@ -22,11 +22,15 @@ _WORDS = "CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELS
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '')"
 
 
-def query(tables: str = "", sql: str | None = None, recursive: bool = False):
+def query(tables: str = "", sql: str | None = None, recursive: bool = False, ints: str = ""):
+    """Registers a query with its SQL over the named tables; columns in ``ints`` are 32-bit in Spark and cast so."""
+
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = T.with_tables(tables, sql, recursive)
+            whole = T.with_tables(tables, sql, recursive)
+            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints.split())
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({whole})" if ints else whole
         return f
 
     return register
@@ -64,7 +68,7 @@ def q_class_imbalance(spark, sf_dir):
 
 
 @query("votes tweets", f"""SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_length, CAST(median(length(text)) AS DOUBLE) AS median_length, min(length(text)) AS min_length, max(length(text)) AS max_length,
-    round(avg({_WORDS}), 6) AS mean_words, CAST(median({_WORDS}) AS DOUBLE) AS median_words FROM tweets WHERE text IS NOT NULL""")
+    round(avg({_WORDS}), 6) AS mean_words, CAST(median({_WORDS}) AS DOUBLE) AS median_words FROM tweets WHERE text IS NOT NULL""", ints="min_length max_length")
 def q_text_stats(spark, sf_dir):
     return profile.text_stats(T.tweets(spark, sf_dir))
 
@@ -129,7 +133,7 @@ def _records(spark, sf_dir):
 
 
 @query("votes tweets", _RECORDS + f""" SELECT tweet_id, text AS text_original, clean AS text_cleaned, taco_class, topic, confidence, reason = 'valid' AS is_valid, reason AS validation_reason, length(clean) AS text_length,
-    {_WORDS.replace('text', 'clean')} AS word_count, len(urls) > 0 AS has_urls, len(urls) AS url_count, array_to_string({_TAGS}, ' ') AS hashtags, len({_TAGS}) AS hashtag_count FROM records""")
+    {_WORDS.replace('text', 'clean')} AS word_count, len(urls) > 0 AS has_urls, len(urls) AS url_count, array_to_string({_TAGS}, ' ') AS hashtags, len({_TAGS}) AS hashtag_count FROM records""", ints="text_length word_count url_count hashtag_count")
 def q_preprocess(spark, sf_dir):
     return _records(spark, sf_dir).drop("url_metadata").withColumn("hashtags", F.array_join("hashtags", " "))
 
@@ -163,9 +167,9 @@ def q_strip_urls(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", U.remove_urls(F.col("text")).alias("masked"), parts["text"].alias("bare"), F.array_join(parts["urls"], " ").alias("urls"))
 
 
-@query("", f"SELECT doc_id, array_to_string({_TAGS}, ' ') AS hashtags, len({_TAGS}) AS n FROM documents WHERE len({_TAGS}) > 0")
+@query("", f"SELECT doc_id, array_to_string({_TAGS}, ' ') AS hashtags, len({_TAGS}) AS n FROM (SELECT doc_id, text || ' #tag_' || coalesce(lang, '') || ' #é' AS text FROM documents) WHERE len({_TAGS}) > 0", ints="n")
 def q_hashtags(spark, sf_dir):
-    tags = X.extract_hashtags(F.col("text"))
+    tags = X.extract_hashtags(F.concat("text", F.lit(" #tag_"), F.coalesce("lang", F.lit("")), F.lit(" #é")))
     return T.table(spark, sf_dir, "documents").select("doc_id", F.array_join(tags, " ").alias("hashtags"), F.size(tags).alias("n")).where("n > 0")
 
 
@@ -188,7 +192,7 @@ def q_mentions(spark, sf_dir):
 _MARKERS = ", ".join(f"'{m}'" for m in X.DISCOURSE_MARKERS)
 
 
-@query("", f"SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS n FROM documents")
+@query("", f"SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS n FROM documents", ints="n")
 def q_markers(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.size(X.discourse_markers(F.col("text"))).alias("n"))
 
@@ -204,7 +208,7 @@ _WIDE = "len(regexp_extract_all(regexp_replace(text, 'https?://[!$-_a-z]+', '',
 _INFORMATION = f", i AS (SELECT *, length(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g')) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
 
 
-@query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, hashtags, mentions, markers FROM i")
+@query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, hashtags, mentions, markers FROM i", ints="weighted_length url_count hashtags mentions markers")
 def q_text_information(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", *X.text_information(F.col("text"))).drop("emoji_count")
 
@@ -335,7 +339,7 @@ def q_sample_quality(spark, sf_dir):
 # ---- annotations
 
 
-@query("votes tweets", "SELECT tweet_id, length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + " AS n, (length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + ") / 4.0 <= 4000 AS fits FROM tweets")
+@query("votes tweets", "SELECT tweet_id, length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + " AS n, (length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + ") / 4.0 <= 4000 AS fits FROM tweets", ints="n")
 def q_prompts(spark, sf_dir):
     prompts = perspectives.build_prompts(T.tweets(spark, sf_dir))
     return prompts.select("tweet_id", F.length("prompt").alias("n"), A.prompt_fits(F.col("prompt")).alias("fits"))
@@ -389,7 +393,7 @@ def _enriched(spark, sf_dir):
     return perspectives.enrich(T.tweets(spark, sf_dir), T.annotations(spark, sf_dir))
 
 
-@query("votes tweets annotations", _ENRICHED + " SELECT * FROM e")
+@query("votes tweets annotations", _ENRICHED + " SELECT * FROM e", ints="text_length word_count")
 def q_enriched(spark, sf_dir):
     return _enriched(spark, sf_dir)
 
