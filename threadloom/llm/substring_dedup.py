@@ -169,17 +169,19 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, n): from word ``start`` on, ``n`` windows that an earlier document holds."""
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     every = scratch.write(texts.mapInArrow(_contexts, "anchor long, context long, doc_id long, start int, n int"), "contexts")
+    # what is combined is written before it is joined: a join of two scans is split where a key is frequent
     spread = every.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
+    spread = scratch.write(spread, "spread")
     shared = scratch.write(every.join(spread, "anchor", "left_semi"), "shared")
     scratch.drop("contexts")
-    least = shared.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"))
+    least = scratch.write(shared.groupBy("anchor", "context").agg(F.min("doc_id").alias("least")), "least")
     placed = scratch.write(shared.join(least, ["anchor", "context"]), "placed")
     scratch.drop("shared")
     copies = placed.where("doc_id > least").select("doc_id", "start", "n")
 
     kept = placed.where("doc_id = least").select("anchor", "context", "doc_id", "start", "n")
     counted = kept.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor", "k")
-    wanted = scratch.write(kept.join(counted, "anchor"), "wanted")
+    wanted = scratch.write(kept.join(scratch.write(counted, "counted"), "anchor"), "wanted")
     shards = max(1, wanted.count() // SHARD)
     salt = F.pmod(F.xxhash64("context", "start"), F.ceil(F.col("k") / SHARD).cast("long"))
     shard = F.pmod(F.xxhash64("anchor", salt), F.lit(shards))
