@@ -114,3 +114,13 @@ def test_templates_are_judged_by_labels(spark):
     assert len(got) == len(rows)
     assert (got[500].verdict, got[501].verdict, got[502].verdict, got[999].verdict) == ("block", "allow", "allow", "block")
     assert got[500].template == "/item/<n>" and got[999].template == "/p/<*>"
+
+
+def test_labels_reach_templates_without_any(spark):
+    rows = [(i, f"http://bad.test/de/{i}", 1) for i in range(60)] + [(100 + i, f"http://good.test/de/{i}", 0) for i in range(60)]
+    rows += [(500, "http://bad.test/en/1", None), (501, "http://www.bad.test/", None), (502, "http://good.test/en/1", None), (503, "http://new.other/x", None), (504, "http://bad.test", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_filters.judge(pages).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].verdict for i in range(500, 505)] == ["block", "block", "allow", "allow", "block"]
+    assert got[502].purity < got[503].purity == 0.5 < got[501].purity < got[500].purity

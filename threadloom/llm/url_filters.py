@@ -7,7 +7,9 @@ the longest wins. For the rest, paths become templates:
 2. Level by level, a node of a host's tree with many different children for its pages gets one wildcard child instead.
 3. Sibling branches with labels enough whose share of bad labels doesn't differ from their parent's by a z-test are
    merged; branches without labels are left as they are.
-4. A template whose smoothed share of bad labels reaches PURITY is rejected. Smoothing is towards all labels' share.
+4. A template whose smoothed share of bad labels reaches PURITY is rejected. Smoothing is towards the share of the node
+   above, that towards the next one's up to the host's, then towards the domain's (the host's last two names) and all labels'.
+   Without ``back_off`` it is towards all labels' share at once, so that templates without labels all get the same.
 
 Labels are a nullable 0/1 column ``bad``; the query labels the pages that a rule decides. Pages are combined to counts
 per host and path form before anything is joined, so the tree's tables grow with distinct path forms. Levels beyond DEPTH
@@ -81,7 +83,21 @@ def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return tree
 
 
-def judged_templates(tree: DataFrame, scratch: Scratch) -> DataFrame:
+def expected_shares(leaf: DataFrame, prior: DataFrame) -> DataFrame:
+    """(host, template, expected): the share of bad labels that the nodes above the template, its host and its domain let expect."""
+    domain = F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)), 2), ".")
+    size = F.size(F.split("template", "/")) - 1  # a template has a slash before each of its segments
+    above = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda k: F.array_join(F.slice(F.split("template", "/"), F.lit(1), k + 1), "/"))
+    scopes = F.concat(F.array(F.struct(F.lit(-1).alias("level"), domain.alias("owner"), F.lit("").alias("node"))),
+                      F.transform(above, lambda x, k: F.struct(k.alias("level"), F.col("host").alias("owner"), x.alias("node"))))
+    each = leaf.select("host", "template", "labels", "bad", F.explode(scopes).alias("scope")).select("host", "template", "labels", "bad", "scope.*")
+    sums = each.groupBy("level", "owner", "node").agg(F.sum("labels").alias("n"), F.sum("bad").alias("k")).where("n > 0")
+    chains = each.drop("labels", "bad").join(sums, ["level", "owner", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "n", "k"))).alias("chain"))
+    smooth = F.aggregate("chain", F.col("prior"), lambda share, x: (x["k"] + F.lit(WEIGHT) * share) / (x["n"] + F.lit(WEIGHT)))
+    return chains.crossJoin(F.broadcast(prior)).select("host", "template", smooth.alias("expected"))
+
+
+def judged_templates(tree: DataFrame, scratch: Scratch, back_off: bool = True) -> DataFrame:
     """(host, template, branch, purity): similar siblings share a branch, and its smoothed share of bad labels."""
     leaf = tree.groupBy("host", "parent", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     enough = leaf.where(F.col("labels") >= LABELS)
@@ -91,12 +107,17 @@ def judged_templates(tree: DataFrame, scratch: Scratch) -> DataFrame:
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("labels"))
     alike = (F.col("labels") >= LABELS) & (F.abs(F.col("bad") / F.col("labels") - F.col("rate")) <= Z * spread)
     joined = scratch.write(joined.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/<~>"))).otherwise(F.col("template"))), "branches")
-    shares = joined.groupBy("host", "branch").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(prior))
-    purity = ((F.col("bad") + F.lit(WEIGHT) * F.col("prior")) / (F.col("labels") + F.lit(WEIGHT))).alias("purity")
-    return joined.select("host", "template", "branch").join(shares.select("host", "branch", purity), ["host", "branch"])
+    shares = joined.groupBy("host", "branch").agg(F.sum("labels").alias("n"), F.sum("bad").alias("k")).crossJoin(F.broadcast(prior))
+    known = joined.select("host", "template", "branch").join(shares, ["host", "branch"])
+    expected = F.col("prior")
+    if back_off:
+        known = known.join(expected_shares(joined, prior), ["host", "template"], "left")
+        expected = F.coalesce("expected", "prior")
+    purity = (F.col("k") + F.lit(WEIGHT) * expected) / (F.col("n") + F.lit(WEIGHT))
+    return known.select("host", "template", "branch", purity.alias("purity"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, back_off: bool = True) -> DataFrame:
     """Per row of ``pages`` (page_id, url, and bad if there are labels): page_id, host, path, rule, verdict, template, purity."""
     host, path = split_url(F.col("url"))
     split = pages.withColumns({"host": host, "path": path})
@@ -106,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "url-filters")
     split = scratch.write(split.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad")), "split")
     tree = template_tree(split.select("host", "path", "bad"), scratch)
-    known = scratch.write(tree.select("host", "form", "template").join(judged_templates(tree, scratch), ["host", "template"]), "known")
+    known = scratch.write(tree.select("host", "form", "template").join(judged_templates(tree, scratch, back_off), ["host", "template"]), "known")
     # forms of one host are many, so the hot host's pages spread over them
     out = split.withColumn("form", path_form(F.col("path"))).join(known, ["host", "form"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
