@@ -28,6 +28,8 @@ from .arrowtext import slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
+#: A score that unrelated vectors do not reach: four deviations of their cosine.
+LEAST_SCORE = 4 / DIMENSIONS**0.5
 _LETTERS = 128  # 0: blank, 1-26: a-z, the rest: other letters
 _HELD_LANGUAGES = 4
 
