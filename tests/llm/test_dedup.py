@@ -68,6 +68,19 @@ def test_divided_buckets_lose_nothing(docs_of, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_a_large_bucket_loses_no_pair_that_shares_nothing_else(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(N, "LARGE", 20)
+    symbols = np.random.default_rng(4).integers(0, 1 << 16, (70, N.HASHES)).astype("<u2")
+    symbols[:, :6] = 7  # what the frequent passage makes equal
+    symbols[50] = symbols[30]
+    symbols[50, [0, *(6 * c + k for c in range(1, N.CHUNKS) for k in (0, 1))]] ^= 1
+    assert (symbols[30] != symbols[50]).sum() == N.RADIUS
+    docs = docs_of(*[(i, "a b c d e f") for i in range(70)])
+    classes = spark.createDataFrame([(i, symbols[i].tobytes(), 2) for i in range(70)], "id long, signature binary, n long")
+    found = N.link_classes(docs, classes, 5, 80, N.Scratch(spark, "test-large"))
+    assert {(r.id, r.component) for r in found.collect()} == {(30, 30), (50, 30)}
+
+
 def test_near_edge_cases(docs_of):
     got = N.near_duplicates(docs_of((None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None)), 3, 85).collect()
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got) == [("5", 5, True), ("5", 5, True), ("6", 6, True), ("None", None, True), ("None", None, True)]

@@ -17,8 +17,8 @@ Only those close enough become rows: at most ``farthest`` symbols apart, which a
 * In buckets of more than CROWD members, documents get a second, finer sketch of BITS one-bit minima, and pairs must be close
   by it too: a group of thousands of edited copies has as many pairs as its square, but most are visibly below the
   similarity. A similar pair fails this with a probability of 1e-5 as well.
-* A bucket of more than LARGE members (documents that share a frequent passage and little else) is first divided by the
-  variants of the other chunks, one of which a pair over the similarity shares but for a chance of 2e-6.
+* A bucket of more than LARGE members (documents that share a frequent passage and little else) is enumerated as pairs of
+  blocks of about LARGE, each a group of its own, so that tasks share it. All its pairs are compared, whatever else they share.
 
 So every candidate pair is confirmed, refuted or already connected, and no cap loses a link.
 
@@ -126,59 +126,54 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(own))], ["key", "id"])
 
 
-def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (key, id, n, component, fine, signature): its bucket's key joined with each variant of the other chunks."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 2000):
-            part = batch.slice(low, 2000)
-            old = np.asarray(part.column(0)).view(np.uint64)
-            variants = variant_keys(_symbols(part.column(5)))
-            other = np.arange(CHUNKS)[None, :] != (old >> np.uint64(60)).astype(np.int64)[:, None]
-            new = mix(variants + mix(old)[:, None, None])[other].reshape(-1)
-            own = pa.array(np.repeat(np.arange(len(old)), (CHUNKS - 1) * _WIDTH))
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(part.column(k).take(own) for k in range(1, 6))], ["key", "id", "n", "component", "fine", "signature"])
-
-
-def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, major: int, fine: np.ndarray, symbols: np.ndarray, percent: int, once: bool) -> list[np.ndarray]:
+def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, major: int, block: np.ndarray, fine: np.ndarray, symbols: np.ndarray, percent: int) -> list[np.ndarray]:
     """(a, b, distance) of the close pairs across components of one bucket, with an end outside of its major component.
 
-    ``fine`` are the members' sketches as rows of 64-bit words, without any words if they have none.
+    ``fine`` are the members' sketches as rows of 64-bit words, without any words if they have none. If the members are of
+    two blocks, pairs within a block belong to another group.
     """
     out, minor = [np.zeros((0, 3), np.int64)], np.flatnonzero(component != major)
-    step = max(1, 200_000 // len(ids))
+    step, two = max(1, 200_000 // len(ids)), bool((block != block[0]).any())
     for low in range(0, len(minor), step):
         x = minor[low : low + step, None]
         fits = (component[x] != component) & ((component == major) | (ids[x] < ids))
         fits &= 100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)
+        if two:
+            fits &= block[x] != block
         x, y = minor[low + np.nonzero(fits)[0]], np.nonzero(fits)[1]
         for at in range(0, len(x), 50_000):
             i, j = x[at : at + 50_000], y[at : at + 50_000]
-            near = np.bitwise_count(fine[i] ^ fine[j]).sum(1, np.int64) <= farthest_bits(percent)
-            i, j = i[near], j[near]
             same = symbols[i] == symbols[j]
             good = same.sum(1) >= HASHES - farthest(percent)
-            if once:  # in the first bucket that the pair shares
-                equal = same.reshape(-1, CHUNKS, _WIDTH).sum(2)
-                chunk = (equal >= _WIDTH - 1).argmax(1)
-                good &= (chunk == key >> 60) & ((equal[np.arange(len(i)), chunk] < _WIDTH) | (key >> 57 & 7 == 0))
             i, j, same = i[good], j[good], same[good]
+            # in the first bucket that the pair shares
+            equal = same.reshape(-1, CHUNKS, _WIDTH).sum(2)
+            chunk = (equal >= _WIDTH - 1).argmax(1)
+            good = (chunk == key >> 60) & ((equal[np.arange(len(i)), chunk] < _WIDTH) | (key >> 57 & 7 == 0))
+            i, j, same = i[good], j[good], same[good]
+            near = np.bitwise_count(fine[i] ^ fine[j]).sum(1, np.int64) <= farthest_bits(percent)
+            i, j, same = i[near], j[near], same[near]
             out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), HASHES - same.sum(1)], 1))
     return out
 
 
-def _enumerator(percent: int, once: bool):
+def _enumerator(percent: int):
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the buckets of (key, id, n, component, major, fine, signature) rows in order of key."""
+        """Pairs of the groups of (key, part, id, n, component, major, block, fine, signature) rows in order of key and part."""
         held: pa.Table | None = None
 
+        def starts(rows: pa.Table) -> np.ndarray:
+            key, part = np.asarray(rows.column(0)), np.asarray(rows.column(1))
+            return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+
         def pairs(rows: pa.Table) -> pa.RecordBatch:
-            key, ids, n, component, major = (np.asarray(rows.column(k)) for k in range(5))
-            symbols, found = _symbols(rows.column(6)), [np.zeros((0, 3), np.int64)]
-            edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] - 1))
+            key, _, ids, n, component, major, block = (np.asarray(rows.column(k)) for k in range(7))
+            symbols, found = _symbols(rows.column(8)), [np.zeros((0, 3), np.int64)]
+            edges = np.append(starts(rows), len(key))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                fine = rows.column(5).slice(a, b - a)
+                fine = rows.column(7).slice(a, b - a)
                 fine = np.frombuffer(b"" if fine.null_count else b"".join(fine.to_pylist()), np.uint64).reshape(b - a, -1)
-                found += _pairs_of(int(key[a].view(np.uint64)), ids[a:b], n[a:b], component[a:b], major[a], fine, symbols[a:b], percent, once)
+                found += _pairs_of(int(key[a].view(np.uint64)), ids[a:b], n[a:b], component[a:b], major[a], block[a:b], fine, symbols[a:b], percent)
             whole = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(whole[:, 2].astype(np.int32))], ["a", "b", "distance"])
 
@@ -186,8 +181,7 @@ def _enumerator(percent: int, once: bool):
             if not batch.num_rows:
                 continue
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = np.asarray(held.column(0))
-            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            last = int(starts(held)[-1])  # the last group may go on
             if last:
                 yield pairs(held.slice(0, last))
                 held = held.slice(last)
@@ -268,25 +262,22 @@ class _Links:
     def alike(self, n: str, m: str):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def across(self, placed: DataFrame, divide: bool) -> DataFrame:
+    def across(self, placed: DataFrame) -> DataFrame:
         """(a, b, distance) of one bucket and two components, unless both are in the bucket's largest, from (key, id, n, component)."""
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("c"), F.sum("k").alias("k"))
         live = placed.join(mixed.where("c > 1").select("key", "major", "k"), "key")
-        small = live
-        if divide:
-            live = self.scratch.write(live.join(self.classes.select("id", "signature"), "id"), "live")
-            crowd = live.where(F.col("k") > CROWD).select("id").distinct()
-            fine = self.scanned(crowd, "crowd", _sketcher, "fine")
-            live = self.scratch.write(live.join(fine, "id", "left").withColumn("fine", F.when(F.col("k") > CROWD, F.col("fine"))), "sketched")
-            small = live.where(F.col("k") <= LARGE)
-            large = live.where(F.col("k") > LARGE).select("key", "id", "n", "component", "fine", "signature")
-        rows = small.select("key", "id", "n", "component", "major", "fine", "signature").repartition("key").sortWithinPartitions("key")
-        pairs = rows.mapInArrow(_enumerator(self.percent, divide), "a long, b long, distance int")
-        if divide and not large.isEmpty():
-            finer = large.mapInArrow(_divide, "key long, id long, n long, component long, fine binary, signature binary")
-            pairs = pairs.union(self.across(finer, False))
-        return pairs
+        live = self.scratch.write(live.join(self.classes.select("id", "signature"), "id"), "live")
+        crowd = live.where(F.col("k") > CROWD).select("id").distinct()
+        fine = self.scanned(crowd, "crowd", _sketcher, "fine")
+        live = self.scratch.write(live.join(fine, "id", "left").withColumn("fine", F.when(F.col("k") > CROWD, F.col("fine"))), "sketched")
+        # a member meets each block of its bucket in the group of its own block and that one
+        live = live.withColumn("blocks", F.ceil(F.col("k") / LARGE)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        live = live.select("*", other).withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+        rows = live.select("key", "part", "id", "n", "component", "major", "block", "fine", "signature")
+        rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+        return rows.mapInArrow(_enumerator(self.percent), "a long, b long, distance int")
 
     def near(self, pairs: DataFrame, table: str) -> DataFrame:
         """The pairs (a, b) whose set sizes allow the similarity and whose signatures are close, with the distance."""
@@ -341,7 +332,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, s
         found = run.merged(found, rest, sets, "rest")
 
     placed = members.select("key", "id").join(classes.select("id", "n"), "id").join(found, "id", "left")
-    across = run.across(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")), True)
+    across = run.across(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")))
     left = scratch.write(across.distinct().join(near, ["a", "b"], "left_anti"), "near-left")
     if not left.isEmpty():
         found = run.merged(found, left, run.sets(left, "sets-left"), "left")
