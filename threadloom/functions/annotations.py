@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..skew import let
+
 # Fixed values.
 LABELS = ("Information Providing", "Information Seeking", "Epistemic/Factual", "Experiential", "Opinion/Belief", "AOT")
 LABEL_COLUMNS = ("information_providing", "information_seeking", "epistemic", "experiential", "opinion", "aot")
@@ -48,24 +50,40 @@ def prompt_fits(prompt: Column, max_tokens: int = MAX_PROMPT_TOKENS) -> Column:
 
 def extract_json(response: Column) -> Column:
     """The longest brace-balanced part (two levels) outside of code fences, the first of equals; else the stripped text."""
-    bare = F.regexp_replace(F.regexp_replace(response, r"(?U)```json\s*", ""), r"(?U)```\s*$", "")
-    found = F.regexp_extract_all(bare, F.lit(r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"), F.lit(0))
-    longest = F.reduce(found, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    return F.when(F.size(found) > 0, longest).otherwise(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""))
+
+    def longest(bare: Column) -> Column:
+        found = F.regexp_extract_all(bare, F.lit(r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"), F.lit(0))
+        best = F.reduce(found, F.lit(None).cast("string"), lambda best, x: F.when(F.length(x) <= F.length(best), best).otherwise(x))
+        return F.coalesce(best, F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""))
+
+    return let(F.regexp_replace(F.regexp_replace(response, r"(?U)```json\s*", ""), r"(?U)```\s*$", ""), longest)
+
+
+def _one_list(text: Column, use) -> Column:
+    """``use(error, list)`` of an answer: why it isn't one object with one key and a list, or null, and the list as a VARIANT."""
+
+    def of_object(fields: Column, kind: Column) -> Column:
+        def of_value(inner: Column) -> Column:
+            error = (
+                F.when(F.coalesce(text, F.lit("")) == "", "no_json")
+                .when(kind.isNull(), "parse_error")
+                .when(fields.isNull(), "not_a_dictionary")
+                .when(F.size(fields) != 1, "not_one_key")
+                .when(~F.startswith(F.schema_of_variant(inner), F.lit("ARRAY")), "not_a_list")
+            )
+            return let(error, lambda e: use(e, inner))
+
+        return let(F.get(F.map_values(fields), F.lit(0)), of_value)
+
+    def of_json(value: Column) -> Column:
+        return let(F.schema_of_variant(value), lambda kind: let(F.when(F.startswith(kind, F.lit("OBJECT")), value.cast("map<string,variant>")), lambda fields: of_object(fields, kind)))
+
+    return let(F.try_parse_json(text), of_json)
 
 
 def structure_error(text: Column) -> Column:
     """Why the text is not one object with one key and a list; null if it is."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    keys = F.json_object_keys(text)
-    inner = F.schema_of_variant(F.element_at(F.map_values(F.from_json(text, "map<string,variant>")), 1))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", "no_json")
-        .when(kind.isNull(), "parse_error")
-        .when(~F.startswith(kind, F.lit("OBJECT")), "not_a_dictionary")
-        .when(F.size(keys) != 1, "not_one_key")
-        .when(~F.startswith(inner, F.lit("ARRAY")), "not_a_list")
-    )
+    return let(text, lambda t: _one_list(t, lambda error, _: error))
 
 
 def evidence_ok(span: Column, text: Column, fuzzy: bool = True) -> Column:
@@ -88,12 +106,6 @@ def label_ok(label: Column) -> Column:
     return F.coalesce(label.isin(*LABELS), F.lit(False))
 
 
-def annotation_items(text: Column) -> Column:
-    """The annotations of a well-formed answer as an array of VARIANT."""
-    value = F.element_at(F.map_values(F.from_json(text, "map<string,variant>")), 1)
-    return value.cast("array<variant>")
-
-
 def item_errors(item: Column, text: Column) -> Column:
     """The codes of what is wrong with one annotation; none if it is valid. Missing fields hide the other checks."""
     of = lambda field, kind="string": F.try_variant_get(item, f"$.{field}", kind)
@@ -112,20 +124,28 @@ def item_errors(item: Column, text: Column) -> Column:
 
 def validate_response(response: Column, text: Column, strict: bool = False) -> Column:
     """Struct of is_valid, error (of the structure), errors (by item) and annotations (the valid ones)."""
-    body = extract_json(response)
-    problem = structure_error(body)
-    items = F.when(problem.isNull(), annotation_items(body))
-    checked = F.transform(items, lambda x: F.struct(x.alias("item"), item_errors(x, text).alias("errors")))
-    good = F.transform(
-        F.filter(checked, lambda c: F.size(c["errors"]) == 0),
-        lambda c: F.struct(
-            F.try_variant_get(c["item"], "$.label", "string").alias("label"),
-            F.try_variant_get(c["item"], "$.evidence_span", "string").alias("evidence_span"),
-            F.try_variant_get(c["item"], "$.confidence", "double").alias("confidence"),
-            F.try_variant_get(c["item"], "$.rationale", "string").alias("rationale"),
-        ),
-    )
-    good = F.coalesce(good, F.array().cast("array<struct<label:string,evidence_span:string,confidence:double,rationale:string>>"))
-    valid = problem.isNull() & (F.lit(not strict) | (F.size(good) > 0))
-    errors = F.coalesce(F.transform(checked, lambda c: c["errors"]), F.array().cast("array<array<string>>"))
-    return F.struct(valid.alias("is_valid"), problem.alias("error"), errors.alias("errors"), good.alias("annotations"))
+
+    def outcome(problem: Column, checked: Column) -> Column:
+        good = F.transform(
+            F.filter(checked, lambda c: F.size(c["errors"]) == 0),
+            lambda c: F.struct(
+                F.try_variant_get(c["item"], "$.label", "string").alias("label"),
+                F.try_variant_get(c["item"], "$.evidence_span", "string").alias("evidence_span"),
+                F.try_variant_get(c["item"], "$.confidence", "double").alias("confidence"),
+                F.try_variant_get(c["item"], "$.rationale", "string").alias("rationale"),
+            ),
+        )
+        good = F.coalesce(good, F.array().cast("array<struct<label:string,evidence_span:string,confidence:double,rationale:string>>"))
+        errors = F.coalesce(F.transform(checked, lambda c: c["errors"]), F.array().cast("array<array<string>>"))
+
+        def result(annotations: Column) -> Column:
+            valid = problem.isNull() & (F.lit(not strict) | (F.size(annotations) > 0))
+            return F.struct(valid.alias("is_valid"), problem.alias("error"), errors.alias("errors"), annotations.alias("annotations"))
+
+        return let(good, result)
+
+    def items(problem: Column, inner: Column) -> Column:
+        listed = F.when(problem.isNull(), inner.cast("array<variant>"))
+        return let(F.transform(listed, lambda x: F.struct(x.alias("item"), item_errors(x, text).alias("errors"))), lambda checked: outcome(problem, checked))
+
+    return let(extract_json(response), lambda body: _one_list(body, items))

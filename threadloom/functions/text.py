@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..skew import let
 from .urls import URL_PATTERN, analyze_urls, remove_urls
 
 # Fixed values.
@@ -67,8 +68,7 @@ def extract_hashtags(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """White-space separated words; 0 for null and blank texts."""
-    clean = clean_whitespace(text)
-    return F.when(F.coalesce(clean, F.lit("")) == "", 0).otherwise(F.size(F.split(clean, " ")))
+    return let(clean_whitespace(text), lambda clean: F.when(F.coalesce(clean, F.lit("")) == "", 0).otherwise(F.size(F.split(clean, " "))))
 
 
 def validate_length(text: Column) -> Column:
@@ -95,19 +95,39 @@ def preprocess(tweets: DataFrame, keep_urls: bool = True, keep_mentions: bool =
     Hashtags come from the raw text. With URLs masked, their analysis is made before they go and has no class.
     """
     base = tweets.select("tweet_id", "text", "taco_class", "topic", "confidence", decode_entities(F.col("text")).alias("decoded"))
-    clean = clean_text(F.col("decoded"), keep_mentions, entities=False)
-    shown = clean if keep_urls else remove_urls(clean)
-    urls, checked = analyze_urls(clean, F.col("taco_class") if keep_urls else None), validate_length(shown)
-    tags = extract_hashtags(F.col("text"))
-    return base.select(
-        "tweet_id", F.col("text").alias("text_original"), shown.alias("text_cleaned"), "taco_class", "topic", "confidence",
-        checked["is_valid"].alias("is_valid"), checked["reason"].alias("validation_reason"),
-        F.coalesce(F.length(shown), F.lit(0)).alias("text_length"), word_count(shown).alias("word_count"),
-        urls["has_urls"].alias("has_urls"), urls["url_count"].alias("url_count"), urls["urls"].alias("url_metadata"),
-        tags.alias("hashtags"), F.size(tags).alias("hashtag_count"),
+
+    def described(clean: Column, shown: Column) -> Column:
+        urls, checked = analyze_urls(clean, F.col("taco_class") if keep_urls else None), validate_length(shown)
+        parts = F.struct(shown.alias("shown"), urls.alias("urls"), checked.alias("checked"), F.length(shown).alias("n"), word_count(shown).alias("words"))
+        return parts
+
+    cleaned = clean_text(F.col("decoded"), keep_mentions, entities=False)
+    record = let(cleaned, lambda clean: let(clean if keep_urls else remove_urls(clean), lambda shown: described(clean, shown)))
+    made = base.select("*", record.alias("r"), extract_hashtags(F.col("text")).alias("tags"))
+    return made.select(
+        "tweet_id", F.col("text").alias("text_original"), F.col("r.shown").alias("text_cleaned"), "taco_class", "topic", "confidence",
+        F.col("r.checked.is_valid").alias("is_valid"), F.col("r.checked.reason").alias("validation_reason"),
+        F.coalesce("r.n", F.lit(0)).alias("text_length"), F.col("r.words").alias("word_count"),
+        F.col("r.urls.has_urls").alias("has_urls"), F.col("r.urls.url_count").alias("url_count"), F.col("r.urls.urls").alias("url_metadata"),
+        F.col("tags").alias("hashtags"), F.size("tags").alias("hashtag_count"),
     )
 
 
+def handle_urls(tweets: DataFrame, keep_urls: bool = True) -> DataFrame:
+    """(tweet_id, text, has_urls, url_count): the text as it is or with its URLs replaced, and what it held."""
+    urls = analyze_urls(F.col("text"))
+    shown = F.col("text") if keep_urls else remove_urls(F.col("text"))
+    return tweets.select("tweet_id", shown.alias("text"), urls.alias("u")).select("tweet_id", "text", "u.has_urls", "u.url_count")
+
+
+def url_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """A row per URL of the records: columns ``keep`` and what is known of the URL.
+
+    (A plain inline would let the optimiser filter on the URLs first and analyse every text twice.)
+    """
+    return records.select(*keep, F.inline_outer("url_metadata")).where("url IS NOT NULL")
+
+
 def contains_http(text: Column) -> Column:
     """1 if the text holds ``http`` in any case, else 0."""
     return F.coalesce(F.contains(F.lower(text), F.lit("http")).cast("int"), F.lit(0))
@@ -147,7 +167,7 @@ SPACING = (
 _TOKEN = re.compile(r"https?://\S+|www\.\S+|@\w+|#\w+|\w+(?:['-]\w+)*|\.\.\.|[^\w\s]")
 
 
-def normalize_token(token: str) -> str:
+def normalize_token(token: str, emoji: dict[str, str], contractions: dict[str, str]) -> str:
     """Mentions to @USER, links to HTTPURL, known emoji to names, known contractions apart."""
     low = token.lower()
     if token.startswith("@"):
@@ -155,19 +175,26 @@ def normalize_token(token: str) -> str:
     if low.startswith(("http", "www")):
         return "HTTPURL"
     if len(token) == 1:
-        return EMOJI_NAMES.get(token, token)
-    short = next((s for s in CONTRACTIONS if low.endswith(s)), "")
-    return token[: len(token) - len(short)] + CONTRACTIONS[short] if short else token
+        return emoji.get(token, token)
+    short = next((s for s in contractions if low.endswith(s)), "")
+    return token[: len(token) - len(short)] + contractions[short] if short else token
 
 
-@F.pandas_udf(StringType())
-def normalize_tweet(text: pd.Series) -> pd.Series:
-    """Tokens normalised one by one, joined by blanks, with the fixed spacing of clitics and times of day."""
+def normalize_tweet(text: Column, emoji: dict[str, str] | None = None, contractions: dict[str, str] | None = None) -> Column:
+    """Tokens normalised one by one, joined by blanks, with the fixed spacing of clitics and times of day.
+
+    Whoever has full dictionaries of emoji names and contractions hands them in; the defaults are small ones.
+    """
+    names, short = emoji or EMOJI_NAMES, contractions or CONTRACTIONS
 
     def one(raw: str) -> str:
-        out = " ".join(map(normalize_token, _TOKEN.findall(raw.replace("’", "'").replace("…", "..."))))
+        out = " ".join(normalize_token(t, names, short) for t in _TOKEN.findall(raw.replace("’", "'").replace("…", "...")))
         for old, new in SPACING:
             out = out.replace(old, new)
         return " ".join(out.split())
 
-    return text.map(one, na_action="ignore")
+    @F.pandas_udf(StringType())
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return normal(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..skew import let
+
 # Results depend on these lists and their order of tests.
 MEDIA_EXTENSIONS = (".gif", ".jpg", ".jpeg", ".png", ".mp4", ".webm", ".mov")
 SOCIAL_DOMAINS = ("twitter.com", "t.co", "facebook.com", "instagram.com", "reddit.com", "linkedin.com", "tiktok.com")
@@ -48,9 +50,8 @@ def raw_domain(url: Column) -> Column:
     return F.regexp_extract(url, r"://([^/]+)", 1)
 
 
-def classify_url(url: Column) -> Column:
-    """media, shortened, social, news, academic or other; domains are tested as substrings, in this order."""
-    domain, low = extract_domain(url), F.lower(url)
+def classify_domain(url: Column, domain: Column) -> Column:
+    low = F.lower(url)
     return (
         F.when(F.exists(F.array(*map(F.lit, MEDIA_EXTENSIONS)), lambda e: F.endswith(low, e)), "media")
         .when(domain == "", "other")
@@ -62,6 +63,11 @@ def classify_url(url: Column) -> Column:
     )
 
 
+def classify_url(url: Column) -> Column:
+    """media, shortened, social, news, academic or other; domains are tested as substrings, in this order."""
+    return let(extract_domain(url), lambda domain: classify_domain(url, domain))
+
+
 def is_shortened(url: Column) -> Column:
     return url.rlike(_SHORTENED_PATTERN)
 
@@ -81,12 +87,17 @@ def analyze_urls(text: Column, label: Column | None = None) -> Column:
     """Struct of has_urls, url_count and urls (url, type, domain, is_shortened, should_fetch)."""
 
     def element(url: Column) -> Column:
-        kind = classify_url(url)
-        fetch = F.lit(False) if label is None else F.coalesce(should_fetch(kind, label, text), F.lit(False))
-        return F.struct(url.alias("url"), kind.alias("type"), extract_domain(url).alias("domain"), is_shortened(url).alias("is_shortened"), fetch.alias("should_fetch"))
+        def of_domain(domain: Column) -> Column:
+            def of_kind(kind: Column) -> Column:
+                fetch = F.lit(False) if label is None else F.coalesce(should_fetch(kind, label, text), F.lit(False))
+                return F.struct(url.alias("url"), kind.alias("type"), domain.alias("domain"), is_shortened(url).alias("is_shortened"), fetch.alias("should_fetch"))
+
+            return let(classify_domain(url, domain), of_kind)
+
+        return let(extract_domain(url), of_domain)
 
     urls = F.transform(extract_urls(text), element)
-    return F.struct((F.size(urls) > 0).alias("has_urls"), F.size(urls).alias("url_count"), urls.alias("urls"))
+    return let(urls, lambda u: F.struct((F.size(u) > 0).alias("has_urls"), F.size(u).alias("url_count"), u.alias("urls")))
 
 
 def remove_urls(text: Column, placeholder: str = URL_PLACEHOLDER) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +41,16 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     return F.transform(total, lambda x: x / weight)
 
 
+def pooled(rows: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
+    """(key, vector): the mean of a group's vectors weighted by their mask, combined before the shuffle; zeros if all are masked."""
+    parts = rows.groupBy(key).agg(F.max(F.size(vector)).alias("width"), F.sum(mask).alias("weight"))
+    held = rows.where(F.col(mask) > 0).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"), F.col(mask).cast("double").alias("w"))
+    sums = held.groupBy(F.col(key).alias("__key")).agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("w"))).alias("total"))
+    joined = parts.join(sums, parts[key].eqNullSafe(F.col("__key")), "left")
+    total = F.coalesce("total", F.array_repeat(F.lit(0.0), F.col("width")))
+    return joined.select(key, F.transform(total, lambda x: x / F.greatest(F.col("weight"), F.lit(1e-9))).alias("vector"))
+
+
 def cls_pool(tokens: Column) -> Column:
     return F.element_at(tokens, 1)
 

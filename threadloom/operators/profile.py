@@ -108,7 +108,7 @@ def preprocess_counters(records: DataFrame) -> DataFrame:
 
 
 def url_types(records: DataFrame) -> DataFrame:
-    return records.select(F.explode("url_metadata.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return X.url_rows(records).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def valid_by_class(records: DataFrame) -> DataFrame:
