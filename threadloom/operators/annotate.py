@@ -79,6 +79,30 @@ def run(tweets: DataFrame, make_backend: Callable[[], Backend], strict: bool = F
     return checked.unionByName(lost.withColumns({"is_valid": F.lit(False), "error": F.lit("inference_failed")}), allowMissingColumns=True)
 
 
+def one_answer(backend: Backend, prompt: str) -> tuple[str, bool]:
+    """(answer, True), or (what went wrong, False)."""
+    try:
+        return backend([prompt])[0], True
+    except Exception as error:  # any failure of a model is an outcome
+        return str(error), False
+
+
+def collate(rows: DataFrame, make_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], width: int = 128, pad: int = 1) -> DataFrame:
+    """(id, input_ids, attention_mask, label, perspectives) of (id, text, label, perspectives): ids cut or padded to ``width``."""
+    fields = f"id {rows.schema['id'].dataType.simpleString()}, input_ids array<int>, attention_mask array<int>, label {rows.schema['label'].dataType.simpleString()}, perspectives array<double>"
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = make_tokenizer()
+        for frame in frames:
+            ids = [x[:width] for x in tokenizer(frame["text"].fillna("").tolist())]
+            yield pd.DataFrame({
+                "id": frame["id"], "input_ids": [x + [pad] * (width - len(x)) for x in ids], "attention_mask": [[1] * len(x) + [0] * (width - len(x)) for x in ids],
+                "label": frame["label"], "perspectives": frame["perspectives"],
+            })
+
+    return rows.select("id", "text", "label", F.col("perspectives").cast("array<double>").alias("perspectives")).mapInPandas(encode, fields)
+
+
 def embed(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
     """(id, vector) of (id, text) by a pluggable encoder."""
 

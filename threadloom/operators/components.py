@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import split_join
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -20,11 +21,12 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     while not live.isEmpty():
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).union(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_)).alias("h"), F.col(c).alias("id"))
-        moved = both.groupBy("u").agg(F.min(rank("v")).alias("best")).select("u", F.least(F.col("best"), rank("u"))["id"].alias("to"))
+        moved = both.groupBy("u").agg(F.min(rank("v")).alias("best"), F.count("*").alias("k")).select("u", F.least(F.col("best"), rank("u"))["id"].alias("to"), "k")
         moved = scratch.write(moved, f"{tag}-moved{round_}")
-        first = moved.select(F.col("u").alias("a"), F.col("to").alias("x"))
-        second = moved.select(F.col("u").alias("b"), F.col("to").alias("y"))
-        after = live.join(first, "a").join(second, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        first = moved.select(F.col("u").alias("a"), F.col("to").alias("x"), "k")
+        second = moved.select(F.col("u").alias("b"), F.col("to").alias("y"), "k")
+        size = live.count()  # a vertex with many edges is split, its own row is small
+        after = split_join(split_join(live, first, "a", size), second, "b", size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
         new = f"{tag}-edges{round_}"
         live = scratch.write(after, new)
         scratch.drop(old)

@@ -12,6 +12,8 @@ from ..scratch import Scratch
 from .components import components
 
 BLOCK = 4096
+RANGE_ROWS = 1_000_000
+MOST_PIVOTS = 1024
 
 
 def _to_ends(links: DataFrame, ends: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -79,14 +81,15 @@ def max_scaled(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(top)).withColumn(f"{column}_scaled", F.when(F.col("__top") == 0, F.lit(float("nan"))).otherwise(F.col(column) / F.col("__top"))).drop("__top")
 
 
-def vertex_index(df: DataFrame, key: str = "tweet_id", blocks: int = 256) -> DataFrame:
-    """``df`` with ``idx``, the rank of its key in string order from 0.
+def vertex_index(df: DataFrame, key: str = "tweet_id", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``idx``, the rank of its key in the order of its type from 0.
 
-    Keys are range-partitioned and counted by range, so no task ranks them all.
+    Keys are range-partitioned into about ``range_rows`` rows a range and counted by range, so no task ranks them all.
     """
     scratch = Scratch(df.sparkSession, "vertex-index")
-    ranges = df.repartitionByRange(blocks, key).withColumn("__part", F.spark_partition_id())
-    ranges = scratch.write(ranges, "ranges")
+    rows = scratch.write(df, "rows")
+    ranges = scratch.write(rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), key).withColumn("__part", F.spark_partition_id()), "ranges")
+    scratch.drop("rows")
     counts = ranges.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
@@ -114,39 +117,76 @@ def conversation_edges(tweets: DataFrame) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, k: int = 3, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
     """(src, dst, similarity) of the k most similar other vectors of (id, vector) with a cosine over the threshold; ties to the smaller id.
 
-    The reference semantics compare every pair, so this is quadratic work, done as matrix products of blocks of ``block``
-    vectors: a task holds two blocks, and only k results per vector and block leave it.
+    Every pair counts, so this is matrix products of blocks of about ``block`` vectors, of which a task holds two. Vectors are
+    dealt to blocks by their nearest of as many pivots as there are blocks, and by hash where a pivot has too many; a pair of blocks
+    is left out if no pair of their vectors can reach the threshold, as angles obey the triangle inequality. The rest is
+    quadratic in the worst case. Only pairs of blocks that are left in send vectors, and only k results per vector and block leave.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
     rows = scratch.write(vectors.where("vector IS NOT NULL").select("id", "vector"), "vectors")
     blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = rows.select("id", "vector", own.alias("q"), spread.alias("c"))
-    answers = rows.select("id", "vector", own.alias("c"), spread.alias("q"))
-
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.array(x.tolist(), np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    kind = rows.schema["id"].dataType.simpleString()
+    pairs, dealt = _one_block(rows) if blocks == 1 else _pivot_blocks(rows, blocks, block, threshold, scratch)
+    asks = dealt.join(pairs, F.col("b") == F.col("q")).select(*[F.col(c).alias(c) for c in ("id", "vector", "q", "c")])
+    answers = dealt.join(pairs, F.col("b") == F.col("c")).select(*[F.col(c).alias(c) for c in ("id", "vector", "q", "c")])
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "similarity": []})
         right = right.sort_values("id", ignore_index=True)
         ids, out = right["id"].to_numpy(), []
-        similar = unit(left["vector"]) @ unit(right["vector"]).T
+        similar = _unit(left["vector"].tolist()) @ _unit(right["vector"].tolist()).T
         for src, row in zip(left["id"].tolist(), similar, strict=True):
             near = np.flatnonzero((row > threshold) & (ids != src))
             near = near[np.argsort(-row[near], kind="stable")[:k]]
             out += [(src, d, s) for d, s in zip(ids[near].tolist(), row[near].tolist(), strict=True)]
         return pd.DataFrame(out, columns=["src", "dst", "similarity"])
 
-    kind = rows.schema["id"].dataType.simpleString()
     found = asks.groupBy("q", "c").cogroup(answers.groupBy("q", "c")).applyInPandas(best, f"src {kind}, dst {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def _unit(rows: list) -> np.ndarray:
+    m = np.array(rows, np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _one_block(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.sparkSession.createDataFrame([("0", "0")], "q string, c string"), rows.withColumn("b", F.lit("0"))
+
+
+def _pivot_blocks(rows: DataFrame, blocks: int, block: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(q, c) of the pairs of blocks that may hold neighbours, and the rows (id, vector, b) with their block.
+
+    A table of pairs has at most the square of the number of blocks, and the driver holds one pivot a block, MOST_PIVOTS at most.
+    """
+    pivots = _unit([r.vector for r in rows.orderBy(F.xxhash64("id")).limit(min(blocks, MOST_PIVOTS)).collect()])
+
+    def deal(frames):
+        for frame in frames:
+            if len(frame):
+                cosine = np.clip(_unit(frame["vector"].tolist()) @ pivots.T, -1.0, 1.0)
+                own = cosine.argmax(1)
+                yield pd.DataFrame({"id": frame["id"], "vector": frame["vector"], "pivot": own.astype(np.int32), "angle": np.arccos(cosine[np.arange(len(own)), own])})
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}, pivot int, angle double"
+    near = scratch.write(rows.mapInPandas(deal, schema), "pivots")
+    sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"), F.max("angle").alias("radius"))
+    name = lambda part: F.concat_ws("/", "pivot", part)
+    dealt = near.join(F.broadcast(sizes.select("pivot", "parts")), "pivot")  # a row a pivot
+    dealt = dealt.select("id", "vector", name(F.pmod(F.xxhash64("id"), "parts")).alias("b"))
+    every = sizes.select("pivot", "radius", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)).alias("b"))
+    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+    known = {r.pivot: r.radius for r in sizes.select("pivot", "radius").collect()}
+    close = [(p, o) for p in known for o in known if between[p, o] <= reach + known[p] + known[o]]
+    links = rows.sparkSession.createDataFrame(close, "pivot int, other int")
+    q = every.select("pivot", F.col("b").alias("q"))
+    c = every.select(F.col("pivot").alias("other"), F.col("b").alias("c"))
+    return scratch.write(links.join(q, "pivot").join(c, "other").select("q", "c"), "pairs"), dealt
+
+
 def neighbour_edges(vectors: DataFrame, k: int = 3, threshold: float = 0.75) -> DataFrame:
     """Each neighbour in both directions, kept as a multiset: mutual neighbours come twice."""
     return _both_ways(nearest_neighbours(vectors, k, threshold).select("src", "dst"), "similar")
@@ -212,6 +252,13 @@ def integrity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.crossJoin(e).select("n", "n_edges", (F.col("covered") == F.col("n")).alias("masks_cover"), (F.col("max_edge") < F.col("n")).alias("edges_inside"), (F.col("top") + 1 == F.col("n")).alias("index_gapless"))
 
 
+def numeric_order(df: DataFrame, key: str = "tweet_id") -> DataFrame:
+    """``df`` sorted by the number that its key spells, then by the key; keys that are no number come last."""
+    number = F.expr(f"try_cast(`{key}` AS DECIMAL(38, 0))")
+    return df.orderBy(number.asc_nulls_last(), key)
+
+
 def graph_metadata(vertices: DataFrame, columns: list[str], labels: dict[str, int]) -> DataFrame:
+    """One row that describes a graph: its size, its topics in order, feature columns and class numbers."""
     topics = F.array_sort(F.collect_set("topic"))
     return vertices.agg(F.count("*").alias("num_nodes"), topics.alias("topics")).withColumns({"feature_columns": F.array(*map(F.lit, columns)), "label_map": F.create_map(*[F.lit(x) for p in labels.items() for x in p])})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from .graph import vertex_index
 
 
 def merge_tweets(votes: DataFrame, backup: DataFrame, threads: DataFrame) -> DataFrame:
@@ -44,15 +45,28 @@ def overlay(success: DataFrame, failed: DataFrame) -> DataFrame:
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """``df`` with <column>_code, the rank of the value among the sorted distinct ones from 0 (-1 if missing), and n_codes.
 
-    The dictionary has a row per distinct value and is joined, so only its own rows are ranked in one task.
+    The dictionary has a row per distinct value, is ranked in ranges and joined.
     """
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = values.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    values = vertex_index(df.where(F.col(column).isNotNull()).select(column).distinct(), column)
+    codes = values.select(column, F.col("idx").cast("int").alias("code"))
     count = values.agg(F.count("*").cast("int").alias("n_codes"))  # one row
     out = df.join(codes, column, "left").crossJoin(F.broadcast(count))
     return out.select(*df.columns, F.coalesce("code", F.lit(-1)).alias(f"{column}_code"), "n_codes")
 
 
+ARGUMENT = ("reason", "statement")  # fixed value: the classes that make an argument
+
+
+def binary_collapse(label: Column, positive: tuple = ARGUMENT) -> Column:
+    """Whether a class belongs to the positive side; a missing one doesn't."""
+    return F.coalesce(label.isin(*positive), F.lit(False))
+
+
+def replaced(c: Column, values: dict) -> Column:
+    """The value that the map gives, or else what was there."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in values.items() for x in p])[c], c)
+
+
 def same_ids(a: DataFrame, b: DataFrame, key: str = "tweet_id") -> bool:
     """Whether both hold the same ids, with the same repeats."""
     left, right = a.select(key), b.select(key)

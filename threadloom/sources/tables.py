@@ -34,6 +34,11 @@ def read_vectors(spark: SparkSession, path: str, key: str = "vec_id", vector: st
     return spark.read.parquet(path).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
 
 
+def write_vectors(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding") -> None:
+    """(id, vector) rows, with 32-bit values."""
+    vectors.select(F.col("id").alias(key), F.col("vector").cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
