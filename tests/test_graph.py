@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators import features, graph, messages, metrics, relational, sampling
+from threadloom.operators import features, graph, messages, metrics, relational, sampling, training
 
 
 def walk(rows):
@@ -56,6 +56,22 @@ def test_neighbours_with_copies_and_zeros(spark):
         assert near == [(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)]
 
 
+def test_neighbours_of_many_blocks(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(5, 8))
+    x = np.concatenate([centres[rng.integers(0, 5, 150)] * 3 + rng.normal(size=(150, 8)), np.tile(centres[:1], (30, 1))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    similar = unit @ unit.T
+    want = set()
+    for i in range(len(x)):
+        near = [j for j in range(len(x)) if j != i and similar[i, j] > 0.75]
+        want |= {(i, j) for j in sorted(near, key=lambda j: (-round(similar[i, j], 9), j))[:3]}
+    got = {(r.src, r.dst, round(r.similarity, 6)) for r in graph.nearest_neighbours(rows, 3, 0.75, 20).collect()}
+    assert sorted((s, v) for s, _, v in got) == sorted((i, round(similar[i, j], 6)) for i, j in want)
+    assert {p for p in want if p[0] < 150} == {(s, d) for s, d, _ in got if s < 150} or len(got) == len(want)
+
+
 def test_components_and_clustering_against_plain_code(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(40)]
@@ -115,6 +131,31 @@ def test_features(spark):
     assert math.isnan(scaled.d_scaled)
 
 
+def test_stack_and_experiment(spark):
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(8, 3)), rng.normal(size=(3, 3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, x array<double>")
+    e = spark.createDataFrame([(i, (i + 1) % 8) for i in range(8)], "src int, dst int")
+    zero = [[0.0] * 3] * 3
+    layer = lambda a, b: messages.sage(a, b, w.tolist(), zero, [0.0] * 3)
+    norm = lambda m: (m - m.mean()) / (m.std() + 1e-5)
+    want = norm(np.maximum(norm(x @ w), 0) @ w) @ w
+    got = messages.stack(v, e, [layer, layer], (w.tolist(), [0.0] * 3)).orderBy("id").collect()
+    assert np.allclose([r.x for r in got], want)
+    project, out = (w.tolist(), [0.1] * 3), messages.Dense(rng.normal(size=(9, 4)).tolist(), [0.0] * 4, rng.normal(size=(4, 2)).tolist(), [0.0, 1.0])
+    first = np.maximum(x @ w + 0.1, 0)
+    one = np.maximum(norm(first @ w), 0)
+    two = np.maximum(norm(one @ w), 0) + one
+    want = np.maximum(np.concatenate([first, two, x], 1) @ np.array(out.first), 0) @ np.array(out.second) + np.array(out.second_bias)
+    assert np.allclose([r.x for r in messages.balanced(v, e, project, [layer, layer], out).orderBy("id").collect()], want)
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 3), float(i % 2)], i % 3) for i in range(24)], "id int, fold int, x array<double>, y int")
+    ring = spark.createDataFrame([(i, (i + 3) % 24) for i in range(24)], "src int, dst int")
+    done = {r.model: r.mean_accuracy for r in training.experiment(rows, ring, 2, 3, ("MLP", "GCN", "SAGE", "GAT", "HYBRID"), folds=2, hidden=4, epochs=20).collect()}
+    assert set(done) == {"MLP", "GCN", "SAGE", "GAT", "HYBRID"} and all(0 <= a <= 1 for a in done.values())
+    full = rows.withColumn("x", F.concat("x", F.array(*[F.lit(0.0)] * 6), F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.5), F.lit(0.1))))
+    assert {r.config for r in training.ablations(full, 2, 2, 3, folds=2, hidden=3, epochs=3).collect()} == set(features.ABLATIONS)
+
+
 def test_layers_against_numpy(spark):
     rng = np.random.default_rng(3)
     x, edges = rng.normal(size=(6, 3)), [(0, 1), (1, 2), (2, 0), (3, 4), (0, 2)]

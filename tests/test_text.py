@@ -69,7 +69,7 @@ def test_preprocess(spark):
 
 
 def test_normalisation():
-    assert X.normalize_token("@someone") == "@USER" and X.normalize_token("https://x.y") == "HTTPURL" and X.normalize_token("can't") == "cannot"
+    assert X.normalize_token("@someone", {}, {}) == "@USER" and X.normalize_token("https://x.y", {}, {}) == "HTTPURL" and X.normalize_token("can't", {}, X.CONTRACTIONS) == "cannot"
 
 
 def test_stream(spark, tmp_path):

@@ -24,13 +24,14 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voted documents with a page's URL at the end of the text."""
+    """Every document with a page's URL at the end of its text; class and confidence are null where there is no vote."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     count = pages.agg(F.count("*").alias("n_pages"))  # one row
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("topic")).crossJoin(F.broadcast(count))
     docs = docs.withColumn("page_id", F.col("doc_id") % F.col("n_pages")).join(pages, "page_id", "left")
     texts = docs.select("doc_id", "topic", F.concat("text", F.lit(" "), "url").alias("text"))
-    return votes(spark, sf_dir).join(texts, "doc_id").drop("doc_id")
+    known = votes(spark, sf_dir).select("doc_id", "taco_class", "confidence")
+    return texts.join(known, "doc_id", "left").select(F.col("doc_id").cast("string").alias("tweet_id"), "taco_class", "confidence", "topic", "text")
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +60,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WHEN_CLASS = "CASE quality * 2 + toxic WHEN 3 THEN 'reason' WHEN 2 THEN 'statement' WHEN 1 THEN 'notification' ELSE 'none' END"
 SQL = {
     "votes": f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS tweet_id, {_WHEN_CLASS} AS taco_class, (doc_id % 100) / 100.0::DOUBLE AS confidence FROM labels",
-    "tweets": """SELECT v.tweet_id, v.taco_class, v.confidence, d.source AS topic, d.text || ' ' || p.url AS text FROM votes v
-        JOIN documents d ON v.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
+    "tweets": """SELECT CAST(d.doc_id AS VARCHAR) AS tweet_id, v.taco_class, v.confidence, d.source AS topic, d.text || ' ' || p.url AS text FROM documents d
+        LEFT JOIN votes v ON v.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
     "threads": """SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS tweet_id, CAST(conv_id * 100 AS VARCHAR) AS conversation_id,
         CASE WHEN turn > 0 THEN CAST(conv_id * 100 + turn - 1 AS VARCHAR) END AS parent_id, text FROM conversations""",
     "annotations": """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS tweet_id, CASE event_type WHEN 'view' THEN 'Information Providing'

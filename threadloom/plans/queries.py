@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import annotations as A
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import annotate, features, graph, messages, metrics, perspectives, profile, relational, sampling, training
+from ..operators import features, graph, metrics, perspectives, profile, relational, sampling
 from . import fixtures as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import model_queries as model_queries
+from . import source_queries as source_queries
+from .registry import NEAREST
+from .registry import ORACLE_SQL as ORACLE_SQL
+from .registry import QUERIES as QUERIES
+from .registry import query
 
 _URLS = "regexp_extract_all(text, 'https?://[!$-_a-z]+')"
 _WORDS = "CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END"
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '')"
 
 
-def query(tables: str = "", sql: str | None = None, recursive: bool = False, ints: str = ""):
-    """Registers a query with its SQL over the named tables; columns in ``ints`` are 32-bit in Spark and cast so."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            whole = T.with_tables(tables, sql, recursive)
-            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints.split())
-            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({whole})" if ints else whole
-        return f
-
-    return register
-
-
 def _any(column: str, values: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{v}')" for v in values) + ")"
 
@@ -73,7 +59,7 @@ def q_text_stats(spark, sf_dir):
     return profile.text_stats(T.tweets(spark, sf_dir))
 
 
-@query("votes tweets", f"SELECT taco_class, round(avg(length(text)), 6) AS mean_length, round(avg({_WORDS}), 6) AS mean_words FROM tweets WHERE text IS NOT NULL GROUP BY 1")
+@query("votes tweets", f"SELECT taco_class, round(avg(length(text)), 6) AS mean_length, round(avg({_WORDS}), 6) AS mean_words FROM tweets WHERE text IS NOT NULL AND taco_class IS NOT NULL GROUP BY 1")
 def q_text_stats_by_class(spark, sf_dir):
     return profile.text_stats_by(T.tweets(spark, sf_dir), "taco_class")
 
@@ -86,7 +72,7 @@ def q_url_stats(spark, sf_dir):
     return profile.url_stats(T.tweets(spark, sf_dir))
 
 
-@query("votes tweets", f"SELECT taco_class, {_URL_STATS} FROM tweets WHERE text IS NOT NULL GROUP BY taco_class")
+@query("votes tweets", f"SELECT taco_class, {_URL_STATS} FROM tweets WHERE text IS NOT NULL AND taco_class IS NOT NULL GROUP BY taco_class")
 def q_url_stats_by_class(spark, sf_dir):
     return profile.url_stats_by(T.tweets(spark, sf_dir), "taco_class")
 
@@ -157,7 +143,7 @@ _SHORT = "regexp_matches(url, '" + "(?:https?://)?(?:" + "|".join(U.SHORTENED_DO
 @query("votes tweets", _RECORDS + f""", u AS (SELECT tweet_id, taco_class, clean, unnest(urls) AS url FROM records), t AS (SELECT *, {_url_type()} AS type FROM u)
     SELECT tweet_id, url, type, {_DOMAIN} AS domain, {_SHORT} AS is_shortened, {_FETCH} AS should_fetch FROM t""")
 def q_should_fetch(spark, sf_dir):
-    return _records(spark, sf_dir).select("tweet_id", F.inline("url_metadata"))
+    return X.url_rows(_records(spark, sf_dir), "tweet_id")
 
 
 @query("votes tweets", f"""SELECT tweet_id, regexp_replace(text, 'https?://[!$-_a-z]+', '[URL]', 'g') AS masked, trim(regexp_replace(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g'), '\\s+', ' ', 'g')) AS bare,
@@ -205,12 +191,12 @@ def q_external_urls(spark, sf_dir):
 
 
 _WIDE = "len(regexp_extract_all(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g'), '[^\\x{0}-\\x{10FF}\\x{2000}-\\x{200D}\\x{2010}-\\x{201F}\\x{2032}-\\x{2037}]'))"
-_INFORMATION = f", i AS (SELECT *, length(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g')) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
+_INFORMATION = f", i AS (SELECT *, length(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g')) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, len(regexp_extract_all(text, '{_SPECIAL['emoji']}')) AS emoji_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
 
 
-@query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, hashtags, mentions, markers FROM i", ints="weighted_length url_count hashtags mentions markers")
+@query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, emoji_count, hashtags, mentions, markers FROM i", ints="weighted_length url_count emoji_count hashtags mentions markers")
 def q_text_information(spark, sf_dir):
-    return T.tweets(spark, sf_dir).select("tweet_id", *X.text_information(F.col("text"))).drop("emoji_count")
+    return T.tweets(spark, sf_dir).select("tweet_id", *X.text_information(F.col("text")))
 
 
 @query("votes tweets", _INFORMATION + " SELECT round(avg(weighted_length), 6) AS mean_length, round_even(100.0::DOUBLE * count(*) FILTER (WHERE url_count > 0) / count(*), 2) AS percent_url, round_even(100.0::DOUBLE * count(*) FILTER (WHERE markers > 0) / count(*), 2) AS percent_marker, round_even(100.0::DOUBLE * count(*) FILTER (WHERE hashtags > 0) / count(*), 2) AS percent_hashtag FROM i WHERE taco_class = 'statement'")
@@ -225,7 +211,21 @@ def q_normalise_class(spark, sf_dir):
     return T.votes(spark, sf_dir).select("tweet_id", relational.normalise_class(raw).alias("class"))
 
 
-@query()
+def _token_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    emoji = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in X.EMOJI_NAMES.items())
+    short = " ".join(f"WHEN ends_with(lower(t), {quote(k)}) THEN left(t, length(t) - {len(k)}) || {quote(v)}" for k, v in X.CONTRACTIONS.items())
+    one = f"CASE WHEN starts_with(t, '@') THEN '@USER' WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' WHEN length(t) = 1 THEN CASE t {emoji} ELSE t END {short} ELSE t END"
+    word = r"[\p{L}\p{N}_]+"
+    pattern = rf"https?://\S+|www\.\S+|@{word}|#{word}|{word}(?:['-]{word})*|\.\.\.|[^\p{{L}}\p{{N}}_\s]"
+    plain = "replace(replace(text, chr(8217), ''''), chr(8230), '...')"
+    out = f"array_to_string(list_transform(regexp_extract_all({plain}, {quote(pattern)}), lambda t: {one}), ' ')"
+    for old, new in X.SPACING:
+        out = f"replace({out}, {quote(old)}, {quote(new)})"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+@query("votes tweets", f"SELECT tweet_id, {_token_sql()} AS normal FROM tweets")
 def q_tweet_normalise(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", X.normalize_tweet(F.col("text")).alias("normal"))
 
@@ -339,34 +339,52 @@ def q_sample_quality(spark, sf_dir):
 # ---- annotations
 
 
-@query("votes tweets", "SELECT tweet_id, length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + " AS n, (length(text) + length(tweet_id) + " + str(len(A.TEMPLATE) - len("{tweet_id}{tweet_text}")) + ") / 4.0 <= 4000 AS fits FROM tweets", ints="n")
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def prompt_sql(text: str = "text") -> str:
+    """The prompt of (tweet_id, text) from the template's parts."""
+    head, _, tail = A.TEMPLATE.partition("{tweet_text}")
+    before, _, after = head.partition("{tweet_id}")
+    return f"{_sql_text(before)} || tweet_id || {_sql_text(after)} || {text} || {_sql_text(tail)}"
+
+
+@query("votes tweets", f"SELECT tweet_id, md5(p) AS digest, length(p) AS n, length(p) / 4.0 <= 4000 AS fits FROM (SELECT tweet_id, {prompt_sql()} AS p FROM tweets)", ints="n")
 def q_prompts(spark, sf_dir):
     prompts = perspectives.build_prompts(T.tweets(spark, sf_dir))
-    return prompts.select("tweet_id", F.length("prompt").alias("n"), A.prompt_fits(F.col("prompt")).alias("fits"))
+    return prompts.select("tweet_id", F.md5("prompt").alias("digest"), F.length("prompt").alias("n"), A.prompt_fits(F.col("prompt")).alias("fits"))
+
+
+@query("votes tweets", f"SELECT tweet_id, md5(replace({prompt_sql()}, {_sql_text(A.MARKER)}, " + " || ".join(["'Linked content:' || chr(10) || 'Title: '", "CASE WHEN length(text) % 2 = 0 THEN topic ELSE 'N/A' END", "chr(10) || 'Summary: '", "CASE WHEN length(text) % 3 = 0 THEN tweet_id ELSE 'N/A' END", f"chr(10) || chr(10) || {_sql_text(A.MARKER)}"]) + f")) AS digest, {_sql_text(A.SYSTEM_MESSAGE)} AS system FROM tweets")
+def q_augmented_prompts(spark, sf_dir):
+    rows = perspectives.build_prompts(T.tweets(spark, sf_dir)).join(T.tweets(spark, sf_dir).select("tweet_id", "topic"), "tweet_id")
+    title, summary = F.when(F.length("text") % 2 == 0, F.col("topic")), F.when(F.length("text") % 3 == 0, F.col("tweet_id"))
+    return rows.select("tweet_id", F.md5(A.augment_prompt(F.col("prompt"), title, summary)).alias("digest"), F.lit(A.SYSTEM_MESSAGE).alias("system"))
 
 
 def _responses(spark, sf_dir):
-    """Model answers of seven kinds by id: valid, fenced, and five that break a rule."""
+    """Model answers of eight kinds by id: valid, fenced, and six that break a rule."""
     rows = T.annotations(spark, sf_dir).withColumn("text", F.concat(F.lit("text of tweet "), "tweet_id"))
-    item = F.concat(F.lit('{"label": "'), "label", F.lit('", "evidence_span": "'), F.when(F.col("id") % 7 == 2, "elsewhere").otherwise("text of"), F.lit('", "confidence": '), F.when(F.col("id") % 7 == 3, "1.5").otherwise(F.col("confidence").cast("string")), F.lit(', "rationale": "'), F.when(F.col("id") % 7 == 4, "short").otherwise("long enough to pass"), F.lit('"}'))
+    item = F.concat(F.lit('{"label": "'), "label", F.lit('", "evidence_span": "'), F.when(F.col("id") % 8 == 2, "elsewhere").otherwise("text of"), F.lit('", "confidence": '), F.when(F.col("id") % 8 == 3, "1.5").otherwise(F.col("confidence").cast("string")), F.lit(', "rationale": "'), F.when(F.col("id") % 8 == 4, "short").otherwise("long enough to pass"), F.lit('"}'))
     body = F.concat(F.lit('{"'), "tweet_id", F.lit('": ['), item, F.lit("]}"))
-    response = F.when(F.col("id") % 7 == 5, "no JSON at all").when(F.col("id") % 7 == 6, F.concat(F.lit('{"a": 1, "b": '), item, F.lit("}"))).when(F.col("id") % 7 == 1, F.concat(F.lit("Sure!\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    response = F.when(F.col("id") % 8 == 7, "").when(F.col("id") % 8 == 5, "no JSON at all").when(F.col("id") % 8 == 6, F.concat(F.lit('{"a": 1, "b": '), item, F.lit("}"))).when(F.col("id") % 8 == 1, F.concat(F.lit("Sure!\n```json\n"), body, F.lit("\n```"))).otherwise(body)
     return rows.select("id", "tweet_id", "label", "confidence", "text", response.alias("response"))
 
 
 _KNOWN = ", ".join(f"'{x}'" for x in A.LABELS)
-_VALID = f", r AS (SELECT *, id % 7 AS kind, id % 7 NOT IN (2, 3, 4, 5, 6) AND label IN ({_KNOWN}) AS good FROM annotations)"
+_VALID = f", r AS (SELECT *, id % 8 AS kind, id % 8 NOT IN (2, 3, 4, 5, 6, 7) AND label IN ({_KNOWN}) AS good FROM annotations)"
 
 
-@query("annotations", _VALID + " SELECT id, tweet_id, kind NOT IN (5, 6) AS is_valid, CASE kind WHEN 5 THEN 'parse_error' WHEN 6 THEN 'not_one_key' END AS error, CASE WHEN good THEN 1 ELSE 0 END AS n, CASE WHEN good THEN label END AS label, CASE WHEN good THEN confidence END AS confidence FROM r")
+@query("annotations", _VALID + " SELECT id, tweet_id, kind NOT IN (5, 6, 7) AS is_valid, CASE kind WHEN 5 THEN 'parse_error' WHEN 6 THEN 'not_one_key' WHEN 7 THEN 'no_json' END AS error, CASE WHEN good THEN 1 ELSE 0 END AS n, CASE WHEN good THEN label END AS label, CASE WHEN good THEN confidence END AS confidence FROM r")
 def q_validate_annotations(spark, sf_dir):
     done = perspectives.validate(_responses(spark, sf_dir).drop("label", "confidence"))
     first = F.get("annotations", F.lit(0))
     return done.select("id", "tweet_id", "is_valid", "error", F.size("annotations").alias("n"), first["label"].alias("label"), first["confidence"].alias("confidence"))
 
 
-@query("annotations", _VALID + """ SELECT count(*) AS total_validated, count(*) FILTER (WHERE good) AS valid, count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6)) AS invalid, CAST(0 AS BIGINT) AS no_json, count(*) FILTER (WHERE kind IN (5, 6)) AS invalid_json_structure,
-    count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6)) AS invalid_annotation_fields, round(count(*) FILTER (WHERE good) * 100.0::DOUBLE / count(*), 6) AS validation_rate FROM r""")
+@query("annotations", _VALID + """ SELECT count(*) AS total_validated, count(*) FILTER (WHERE good) AS valid, count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6, 7)) AS invalid, count(*) FILTER (WHERE kind = 7) AS no_json, count(*) FILTER (WHERE kind IN (5, 6)) AS invalid_json_structure,
+    count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6, 7)) AS invalid_annotation_fields, round(count(*) FILTER (WHERE good) * 100.0::DOUBLE / count(*), 6) AS validation_rate FROM r""")
 def q_validation_stats(spark, sf_dir):
     return perspectives.validation_stats(perspectives.validate(_responses(spark, sf_dir).drop("label", "confidence"), strict=True))
 
@@ -413,12 +431,6 @@ def q_class_breakdown(spark, sf_dir):
     return perspectives.class_breakdown(_enriched(spark, sf_dir))
 
 
-@query("votes tweets", "SELECT tweet_id, TRUE AS is_valid, 1 AS n FROM tweets")
-def q_llm_batch(spark, sf_dir):
-    done = annotate.run(T.tweets(spark, sf_dir), annotate.fake_backend)
-    return done.select("tweet_id", "is_valid", F.size("annotations").alias("n"))
-
-
 # ---- graph
 
 _DEPTH = ", d(tweet_id, conversation_id, depth) AS (SELECT tweet_id, conversation_id, 0 FROM threads WHERE parent_id IS NULL UNION ALL SELECT t.tweet_id, t.conversation_id, d.depth + 1 FROM threads t JOIN d ON t.parent_id = d.tweet_id)"
@@ -453,7 +465,7 @@ def q_conv_edges(spark, sf_dir):
     return graph.conversation_edges(T.threads(spark, sf_dir))
 
 
-_COS = ", n AS (SELECT id, CAST(vector AS DOUBLE[]) AS v FROM vectors), s AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM n a JOIN n b ON a.id <> b.id), near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS rank FROM s WHERE similarity > 0.4)"
+_COS = NEAREST
 
 
 @query("vectors", _COS + " SELECT src, dst, round(similarity, 6) AS similarity FROM near WHERE rank <= 3")
@@ -477,7 +489,7 @@ def q_all_edges(spark, sf_dir):
 
 @query("threads", "SELECT tweet_id, row_number() OVER (ORDER BY tweet_id) - 1 AS idx FROM threads")
 def q_vertex_index(spark, sf_dir):
-    return graph.vertex_index(T.threads(spark, sf_dir).select("tweet_id"), blocks=8)
+    return graph.vertex_index(T.threads(spark, sf_dir).select("tweet_id"), range_rows=50)
 
 
 _TRAIN = f", v AS (SELECT tweet_id AS id, CAST(tweet_id AS BIGINT) % 5 <> 0 AS is_train FROM threads), e AS ({_both(_REPLY, 'reply')}), t AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM v WHERE is_train)"
@@ -523,11 +535,23 @@ def q_graph_stats(spark, sf_dir):
     return graph.graph_stats(*_near_graph(spark, sf_dir))
 
 
-@query("threads", _TRAIN + " SELECT count(*) AS n, (SELECT count(*) FROM e) AS n_edges, TRUE AS masks_cover, TRUE AS edges_inside, TRUE AS index_gapless FROM v")
+_CHECKED = """, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, is_train, CASE WHEN id LIKE '%17' THEN is_train ELSE NOT is_train END AS is_test FROM v),
+    f AS (SELECT a.idx AS s, b.idx + CASE WHEN e.src LIKE '%23' THEN 1000000000 ELSE 0 END AS d FROM e JOIN x a ON e.src = a.id JOIN x b ON e.dst = b.id),
+    marked AS (SELECT 'as built' AS graph, idx, is_train <> NOT is_train AS ok, FALSE AS odd FROM x UNION ALL SELECT 'damaged', idx + CASE WHEN idx = 0 THEN (SELECT count(*) FROM x) + 5 ELSE 0 END, is_train <> is_test, TRUE FROM x),
+    top AS (SELECT 'as built' AS graph, max(greatest(s, d % 1000000000)) AS top, count(*) AS n FROM f UNION ALL SELECT 'damaged', max(greatest(s, d)), count(*) FROM f)
+    SELECT b.graph, count(*) AS n, any_value(t.n) AS n_edges, bool_and(ok) AS masks_cover, any_value(t.top) < count(*) AS edges_inside, max(idx) + 1 = count(*) AS index_gapless FROM marked b JOIN top t ON t.graph = b.graph GROUP BY b.graph"""
+
+
+@query("threads", _TRAIN + _CHECKED)
 def q_integrity(spark, sf_dir):
-    rows = graph.vertex_index(_split(spark, sf_dir).withColumn("is_test", ~F.col("is_train")), "id", 8)
+    """A graph as it was built, and one with masks, edges and an index that are wrong in places."""
+    rows = graph.vertex_index(_split(spark, sf_dir).withColumn("is_test", ~F.col("is_train")), "id")
     _, edges = graph.induced_subgraph(rows.withColumn("is_train", F.lit(True)).drop("idx"), graph.reply_edges(T.threads(spark, sf_dir)))
-    return graph.integrity(rows, edges)
+    good = graph.integrity(rows, edges).withColumn("graph", F.lit("as built"))
+    n, of = rows.count(), rows.select(F.col("idx").alias("src_idx"), "id")
+    odd = rows.withColumns({"is_test": F.when(F.col("id").endswith("17"), F.col("is_train")).otherwise(F.col("is_test")), "idx": F.when(F.col("idx") == 0, n + 5).otherwise(F.col("idx"))})
+    far = edges.join(of, "src_idx").withColumn("dst_idx", F.when(F.col("id").endswith("23"), F.col("dst_idx") + 1_000_000_000).otherwise(F.col("dst_idx")))
+    return good.unionByName(graph.integrity(odd, far).withColumn("graph", F.lit("damaged")))
 
 
 # ---- features and message passing
@@ -546,87 +570,21 @@ _ASSEMBLED = f", x AS (SELECT id, list_concat(list_concat(list_concat(vector, {_
 
 
 @query("vectors", _ASSEMBLED + " SELECT name, id, place, round(CAST(value AS DOUBLE), 6) AS value FROM (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS name, id, unnest({parts}) AS value, unnest(range(len({parts}))) AS place FROM x" for name, parts in (("embs_persp", "list_slice(x, 1, 70)"), ("embs_topic", "list_concat(list_slice(x, 1, 64), list_slice(x, 71, 75))"), ("embs_conf", "list_concat(list_slice(x, 1, 64), list_slice(x, 77, 77))"))) + ")")
+    f"SELECT '{name}' AS name, id, unnest({parts}) AS value, unnest(range(len({parts}))) AS place FROM x" for name, parts in (("all", "x"), ("embs_only", "list_slice(x, 1, 64)"), ("embs_depth", "list_concat(list_slice(x, 1, 64), list_slice(x, 76, 76))"), ("embs_persp", "list_slice(x, 1, 70)"), ("embs_topic", "list_concat(list_slice(x, 1, 64), list_slice(x, 71, 75))"), ("embs_conf", "list_concat(list_slice(x, 1, 64), list_slice(x, 77, 77))"))) + ")")
 def q_feature_slice(spark, sf_dir):
     rows, out = _vector_features(spark, sf_dir), None
-    for name in ("embs_persp", "embs_topic", "embs_conf"):
+    for name in features.ABLATIONS:
         cut = rows.select(F.lit(name).alias("name"), "id", F.posexplode(features.select_blocks(F.col("x"), features.ABLATIONS[name], 64)).alias("at", "v"))
         part = cut.select("name", "id", F.col("at").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("vectors", _ASSEMBLED + ", f AS (SELECT CAST(unnest(x) AS DOUBLE) AS v, unnest(range(len(x))) AS place FROM x) SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, FALSE AS bad, count(DISTINCT CASE WHEN place BETWEEN 64 AND 69 THEN v END) AS distinct_inside FROM f")
+@query("vectors", _ASSEMBLED + ", f AS (SELECT CAST(unnest(x) AS DOUBLE) AS v, unnest(range(len(x))) AS place FROM x) SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, bool_or(isnan(v) OR isinf(v)) AS bad, count(DISTINCT CASE WHEN place BETWEEN 64 AND 69 THEN v END) AS distinct_inside FROM f")
 def q_matrix_stats(spark, sf_dir):
     return features.matrix_stats(_vector_features(spark, sf_dir), "x", 64, 6)
 
 
-@query("vectors", """, w AS (SELECT label, CAST(unnest(vector) AS DOUBLE) AS v, unnest(range(64)) AS place, CASE WHEN id % 3 = 0 THEN 0.0 ELSE 1.0 END AS m FROM vectors)
-    SELECT label, place, round(CAST(sum(v * m) / greatest(sum(m), 1e-9) AS DOUBLE), 5) AS value FROM w GROUP BY label, place""")
-def q_mean_pool(spark, sf_dir):
-    rows = T.vectors(spark, sf_dir).groupBy("label").agg(F.collect_list("vector").alias("tokens"), F.collect_list(F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0)).alias("mask"))
-    return rows.select("label", F.posexplode(V.mean_pool(F.col("tokens"), F.col("mask"))).alias("at", "v")).select("label", F.col("at").cast("long").alias("place"), F.round("v", 5).alias("value"))
-
-
-_W = [[0.5, -1.0], [1.0, 0.25]]
-_U = [[1.0, 0.0], [-0.5, 2.0]]
-_B = [0.1, -0.2]
-
-
-def _small(spark, sf_dir):
-    rows = T.vectors(spark, sf_dir)
-    return rows.select("id", F.slice("vector", 1, 2).cast("array<double>").alias("x")), graph.neighbour_edges(rows, 3, 0.4)
-
-
-def _flat(layer):
-    return layer.select("id", F.round(F.get("x", F.lit(0)), 5).alias("x0"), F.round(F.get("x", F.lit(1)), 5).alias("x1"))
-
-
-_IN = _COS + ", e AS (SELECT src, dst FROM near WHERE rank <= 3 UNION ALL SELECT dst, src FROM near WHERE rank <= 3), z AS (SELECT id, v[1] AS a, v[2] AS b FROM n)"
-
-
-@query("vectors", _IN + ", m AS (SELECT e.dst AS id, avg(a) AS a, avg(b) AS b FROM e JOIN z ON z.id = e.src GROUP BY 1) SELECT z.id, round(z.a * 0.5 + z.b + 0.1 + coalesce(m.a, 0) - 0.5 * coalesce(m.b, 0), 5) AS x0, round(-z.a + 0.25 * z.b - 0.2 + 2 * coalesce(m.b, 0), 5) AS x1 FROM z LEFT JOIN m ON m.id = z.id")
-def q_sage_mean(spark, sf_dir):
-    return _flat(messages.sage(*_small(spark, sf_dir), _W, _U, _B))
-
-
-@query("vectors", _IN + ", l AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM z), d AS (SELECT dst AS id, count(*) AS d FROM l GROUP BY 1) SELECT l.dst AS id, round(sum((0.5 * a + b) / sqrt(s.d * t.d)) + 0.1, 5) AS x0, round(sum((-a + 0.25 * b) / sqrt(s.d * t.d)) - 0.2, 5) AS x1 FROM l JOIN z ON z.id = l.src JOIN d s ON s.id = l.src JOIN d t ON t.id = l.dst GROUP BY 1")
-def q_gcn_layer(spark, sf_dir):
-    return _flat(messages.gcn(*_small(spark, sf_dir), _W, _B))
-
-
-_SCORE = "0.3 * s.p - 0.7 * s.q + 0.2 * t.p + 0.4 * t.q"
-
-
-@query("vectors", _IN + f", l AS (SELECT src, dst FROM e UNION ALL SELECT id, id FROM z), h AS (SELECT id, 0.5 * a + b AS p, -a + 0.25 * b AS q FROM z), w AS (SELECT l.dst AS id, s.p, s.q, exp(CASE WHEN {_SCORE} > 0 THEN {_SCORE} ELSE 0.2 * ({_SCORE}) END) AS w FROM l JOIN h s ON s.id = l.src JOIN h t ON t.id = l.dst) SELECT id, round(sum(w * p) / sum(w) + 0.1, 5) AS x0, round(sum(w * q) / sum(w) - 0.2, 5) AS x1 FROM w GROUP BY 1")
-def q_gat_layer(spark, sf_dir):
-    return _flat(messages.gat(*_small(spark, sf_dir), [_W], [[0.3, -0.7]], [[0.2, 0.4]], _B))
-
-
-@query("vectors", ", z AS (SELECT id, label, CAST(vector AS DOUBLE[]) AS v FROM vectors), g AS (SELECT id, v[label % 4 + 1] - ln(exp(v[1]) + exp(v[2]) + exp(v[3]) + exp(v[4])) AS lp FROM z) SELECT id, round(power(1 - exp(lp), 2) * -lp, 6) AS loss FROM g")
-def q_focal_loss(spark, sf_dir):
-    rows = T.vectors(spark, sf_dir)
-    return rows.select("id", F.round(V.focal_loss(F.slice("vector", 1, 4).cast("array<double>"), F.col("label") % 4), 6).alias("loss"))
-
-
-@query("vectors", "SELECT label, id AS first FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1")
-def q_cls_pool(spark, sf_dir):
-    rows = T.vectors(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return rows.select("label", V.cls_pool(F.col("ids")).alias("first"))
-
-
-@query("vectors", ", z AS (SELECT id, list_slice(vector, 1, 4) AS v FROM vectors) SELECT id, CAST(list_position(v, list_aggregate(v, 'max')) - 1 AS INT) AS best FROM z")
-def q_argmax(spark, sf_dir):
-    return T.vectors(spark, sf_dir).select("id", V.argmax(F.slice("vector", 1, 4)).alias("best"))
-
-
-@query()
-def q_mlp(spark, sf_dir):
-    rows = T.vectors(spark, sf_dir).select("id", F.col("vector").alias("x"), (F.col("label") % 4).alias("y"))
-    folds = sampling.stratified_folds(rows, 2, "id", "y")
-    return training.summary(training.cross_validate(folds, 64, 4, folds=2, hidden=16, epochs=20))
-
-
 # ---- metrics
 
 
