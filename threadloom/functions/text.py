@@ -31,6 +31,10 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+# Marked so that the optimiser neither repeats it nor nests it in other expressions.
+_unescape = _unescape.asNondeterministic()
+
+
 def decode_entities(text: Column) -> Column:
     """All HTML5 entities decoded once. Only texts with an ampersand travel to Python."""
     return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
