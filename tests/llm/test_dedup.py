@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import near_dedup as N
 from threadloom.llm import substring_dedup as S
@@ -62,25 +63,57 @@ def test_links_all_and_only_similar_documents(docs_of, size, percent):
 
 
 def test_divided_buckets_lose_nothing(docs_of, monkeypatch):
-    monkeypatch.setattr(N, "LARGE", 20)
+    monkeypatch.setattr(N, "BLOCK", 20)
     rows = corpus(random.Random(8))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs_of(*rows), 3, 85).collect()}
     assert got == brute(rows, 3, 85)
 
 
 def test_a_large_bucket_loses_no_pair_that_shares_nothing_else(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(N, "LARGE", 20)
+    monkeypatch.setattr(N, "BLOCK", 20)
     symbols = np.random.default_rng(4).integers(0, 1 << 16, (70, N.HASHES)).astype("<u2")
     symbols[:, :6] = 7  # what the frequent passage makes equal
     symbols[50] = symbols[30]
     symbols[50, [0, *(6 * c + k for c in range(1, N.CHUNKS) for k in (0, 1))]] ^= 1
     assert (symbols[30] != symbols[50]).sum() == N.RADIUS
     docs = docs_of(*[(i, "a b c d e f") for i in range(70)])
-    classes = spark.createDataFrame([(i, symbols[i].tobytes(), 2) for i in range(70)], "id long, signature binary, n long")
-    found = N.link_classes(docs, classes, 5, 80, N.Scratch(spark, "test-large"))
+    signed = docs.select("doc_id", "text", F.lit(0).cast("long").alias("text_hash")).mapInArrow(N._signer(5), "doc_id long, text_hash long, n_shingles long, digest binary, signature binary, places binary")
+    same = signed.first().digest
+    classes = spark.createDataFrame([(i, bytes(same), symbols[i].tobytes(), 2) for i in range(70)], "id long, digest binary, signature binary, n long")
+    found = N.link_classes(docs, signed, classes, 5, 80, N.Scratch(spark, "test-large"))
     assert {(r.id, r.component) for r in found.collect()} == {(30, 30), (50, 30)}
 
 
+def test_a_crowded_bucket_is_treated_like_any_other(docs_of):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = list(enumerate(edited(rng, base, rng.randrange(4, 12)) for _ in range(300)))  # all pairs are near the limit
+    for size, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs_of(*rows), size, percent).collect()}
+        assert got == brute(rows, size, percent)
+
+
+def test_bitmaps_refute_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 40, 500, 20_000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(n) > cut], rng.integers(0, 1 << 63, int(n * cut)).astype(np.uint64), base[:1]])) for cut in rng.random(20) * 0.25]
+        bitmaps, sizes = [N.occupancy(s) for s in sets], np.array([len(s) for s in sets])
+        i, j = np.triu_indices(20, 1)
+        good = N.may_be_similar(bitmaps, sizes, i, j, 85)
+        for a, b, ok in zip(i.tolist(), j.tolist(), good.tolist(), strict=True):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            assert ok or 100 * common < 85 * (len(sets[a]) + len(sets[b]) - common)
+
+
+def test_one_id_with_two_texts(docs_of):
+    same, other = "a b c d e f g", "q r s t u v w x"
+    got = N.near_duplicates(docs_of((1, same), (2, same), (2, other), (None, same)), 3, 85).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got) == [("1", 1, True), ("2", 1, False), ("2", 2, True), ("None", None, True)]
+    kept = N.deduplicate(docs_of((1, same), (2, same), (2, other), (None, same))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", same), ("2", other), ("None", same)]
+
+
 def test_near_edge_cases(docs_of):
     got = N.near_duplicates(docs_of((None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None)), 3, 85).collect()
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got) == [("5", 5, True), ("5", 5, True), ("6", 6, True), ("None", None, True), ("None", None, True)]

@@ -1,7 +1,9 @@
-"""A fixed-size filter on ids, so that a scan can leave out rows that a later join would drop anyway.
+"""A filter on ids, so that a scan can leave out rows that a later join would drop anyway.
 
-The filter is a bitmap of hashed ids, BITS long whatever the number of ids: it may let rows through that aren't wanted,
-never the other way round, so the join behind it decides. It reaches the driver combined, and the workers with the function.
+The filter is a bitmap of hashed ids with about BITS_EACH bits an id, MOST_BITS at most: it may let rows through that aren't
+wanted, never the other way round, so the join behind it decides. It reaches the driver combined, in blocks of 4 KB, and the
+workers with the function. Beyond some hundred million ids it lets most rows through; the result stays the same, and the
+rows are then shuffled for the join.
 """
 
 from __future__ import annotations
@@ -10,23 +12,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 25
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 8
 _BLOCK = 1 << 15  # bits of one of Spark's bitmaps
 
 
 def place(id_: str) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(BITS)).cast("int")
+    """Where an id falls, in a filter of MOST_BITS; smaller ones use its lowest digits."""
+    return F.pmod(F.xxhash64(id_), F.lit(MOST_BITS)).cast("int")
 
 
 def bitmap(ids: DataFrame, id_: str) -> np.ndarray:
     """The filter of column ``id_``, as bytes, lowest bit first."""
-    at = ids.select(place(id_).alias("at"))
+    count = ids.agg(F.approx_count_distinct(id_)).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count - 1).bit_length()))
+    at = ids.select(F.pmod(place(id_), F.lit(bits)).alias("at"))
     rows = at.groupBy(F.floor(F.col("at") / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BLOCK))).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for row in rows.collect():
         out[row.block * _BLOCK // 8 : (row.block + 1) * _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
 def passes(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & (8 * len(filter_) - 1)
     return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

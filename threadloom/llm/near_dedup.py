@@ -10,20 +10,21 @@ Skew and size. Equal sets are one class from the start (hash aggregation, combin
 of copies cost one row. Within an index bucket members are first paired with the bucket's smallest id only; every
 document's closest partner is confirmed, components are built, then the other such pairs that still cross components.
 What is left are buckets that hold several components. There, all pairs across components that are not both in the
-bucket's largest one have their signatures compared, each pair once, in blocks, if their set sizes allow the similarity.
-Only those close enough become rows: at most ``farthest`` symbols apart, which a similar pair exceeds with a probability of
-1e-5. Two things keep this from growing with the square of a group:
+bucket's largest one are compared, each pair once and alike in buckets of every size:
 
-* In buckets of more than CROWD members, documents get a second, finer sketch of BITS one-bit minima, and pairs must be close
-  by it too: a group of thousands of edited copies has as many pairs as its square, but most are visibly below the
-  similarity. A similar pair fails this with a probability of 1e-5 as well.
-* A bucket of more than LARGE members (documents that share a frequent passage and little else) is enumerated as pairs of
-  blocks of about LARGE, each a group of its own, so that tasks share it. All its pairs are compared, whatever else they share.
+* by set sizes, which bound the similarity,
+* by signatures: at most ``farthest`` symbols apart, never fewer than RADIUS, which a similar pair exceeds with a probability of 1e-5,
+* by occupancy: every class has a bitmap of the places that its shingles hash to. Each place that only one of two sets occupies
+  holds a shingle that the other lacks, so the bitmaps bound the similarity from above. The bound is proven, and so refutes no
+  similar pair; it keeps the pairs of a group of thousands of edited copies, most of them below the similarity, from becoming rows.
 
-So every candidate pair is confirmed, refuted or already connected, and no cap loses a link.
+What passes goes to exact confirmation. A bucket is enumerated as pairs of blocks of about BLOCK members, each a group of its
+own, so that tasks share a bucket of any size. No cap loses a link. Comparing within a bucket is quadratic in its
+members of minor components.
 
-Shingles are hashed to 64 bits. Empty sets link with nothing. Rows with one doc_id are one document. A null doc_id is
-never linked: its component is null and it is kept. Ties of distance go to the smaller id.
+Shingles are hashed to 64 bits. Empty sets link with nothing. Rows of one doc_id and one text are one document; if one doc_id
+has several texts, each is judged by its own. A null doc_id is never linked: its component is null and it is kept. Ties of
+distance go to the smaller id. Texts are read in slices, so one very long text needs about 30 times its bytes in a worker.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..scratch import Scratch
+from ..skew import split_join
 from .arrowtext import WordHasher, mix, shingle_sets, slices
 from .id_filter import bitmap, passes, place
 
 SHINGLE, PERCENT = 5, 80
-HASHES, CHUNKS, CROWD, LARGE, BITS = 60, 10, 32, 4000, 4096
+HASHES, CHUNKS, BLOCK = 60, 10, 4000
+LEAST_PLACES, MOST_PLACES, PLACES_EACH = 256, 1 << 15, 4
 RADIUS = 2 * CHUNKS - 1
 _WIDTH = HASHES // CHUNKS
 
@@ -53,12 +56,6 @@ def farthest(percent: int) -> int:
     return max(RADIUS, int(HASHES * p + 4.7 * (HASHES * p * (1 - p)) ** 0.5))
 
 
-def farthest_bits(percent: int) -> int:
-    """The same for one-bit minima, which differ by half as often."""
-    p = (1 - percent / 100) / 2
-    return int(BITS * p + 4.7 * (BITS * p * (1 - p)) ** 0.5)
-
-
 def hash_parameters(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     flips = mix(np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return flips[:, None], mix(flips)[:, None] | np.uint64(1)
@@ -77,9 +74,33 @@ def signature(shingles: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> bytes
     return (minima(shingles, flips, odd) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def sketch(shingles: np.ndarray, parameters: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    """BITS one-bit minima."""
-    return np.packbits(np.concatenate([minima(shingles, *p) for p in parameters]).view(np.int64) < 0).tobytes()
+def occupancy(shingles: np.ndarray) -> bytes:
+    """A bitmap of the places that a set's shingles hash to; a power of two of places, about PLACES_EACH a shingle."""
+    places = min(MOST_PLACES, max(LEAST_PLACES, 1 << (PLACES_EACH * len(shingles) - 1).bit_length()))
+    bits = np.zeros(places, bool)
+    bits[(shingles & np.uint64(places - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` or 2, 4, ... times as many bytes as rows of 64-bit words of ``width`` bytes."""
+    out = np.zeros((len(bitmaps), width // 8), np.uint64)
+    for k, raw in enumerate(bitmaps):
+        if len(raw) >= width:
+            np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width // 8), axis=0, out=out[k])
+    return out
+
+
+def may_be_similar(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs (i, j) of sets of n shingles, which their bitmaps don't refute."""
+    size = np.array([len(b) for b in bitmaps])
+    width, good = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+    for w in np.unique(width).tolist():
+        rows, at = folded(bitmaps, w), np.flatnonzero(width == w)
+        x, y = rows[i[at]], rows[j[at]]
+        common = np.minimum(n[i[at]] - np.bitwise_count(x & ~y).sum(1, np.int64), n[j[at]] - np.bitwise_count(y & ~x).sum(1, np.int64))
+        good[at] = 100 * common >= percent * (n[i[at]] + n[j[at]] - common)
+    return good
 
 
 def _signer(size: int):
@@ -87,15 +108,16 @@ def _signer(size: int):
         hasher, (flips, odd) = WordHasher(True), hash_parameters(1, HASHES)
         for batch in batches:
             for part, data, bounds in slices(batch):
-                counts, digests, signs = [], [], []
+                counts, digests, signs, places = [], [], [], []
                 for own in shingle_sets(hasher(data, bounds), size):
                     counts.append(len(own))
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     signs.append(signature(own, flips, odd) if len(own) else None)
-                ids = part.column(part.schema.get_field_index("doc_id"))
+                    places.append(occupancy(own) if len(own) else None)
+                same = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    [*same, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(places, pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "signature", "places"],
                 )
 
     return sign
@@ -126,11 +148,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(own))], ["key", "id"])
 
 
-def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, major: int, block: np.ndarray, fine: np.ndarray, symbols: np.ndarray, percent: int) -> list[np.ndarray]:
+def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, major: int, block: np.ndarray, bitmaps: list[bytes], symbols: np.ndarray, percent: int) -> list[np.ndarray]:
     """(a, b, distance) of the close pairs across components of one bucket, with an end outside of its major component.
 
-    ``fine`` are the members' sketches as rows of 64-bit words, without any words if they have none. If the members are of
-    two blocks, pairs within a block belong to another group.
+    If the members are of two blocks, pairs within a block belong to another group.
     """
     out, minor = [np.zeros((0, 3), np.int64)], np.flatnonzero(component != major)
     step, two = max(1, 200_000 // len(ids)), bool((block != block[0]).any())
@@ -151,15 +172,15 @@ def _pairs_of(key: int, ids: np.ndarray, n: np.ndarray, component: np.ndarray, m
             chunk = (equal >= _WIDTH - 1).argmax(1)
             good = (chunk == key >> 60) & ((equal[np.arange(len(i)), chunk] < _WIDTH) | (key >> 57 & 7 == 0))
             i, j, same = i[good], j[good], same[good]
-            near = np.bitwise_count(fine[i] ^ fine[j]).sum(1, np.int64) <= farthest_bits(percent)
-            i, j, same = i[near], j[near], same[near]
+            good = may_be_similar(bitmaps, n, i, j, percent)
+            i, j, same = i[good], j[good], same[good]
             out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), HASHES - same.sum(1)], 1))
     return out
 
 
 def _enumerator(percent: int):
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the groups of (key, part, id, n, component, major, block, fine, signature) rows in order of key and part."""
+        """Pairs of the groups of (key, part, id, n, component, major, block, places, signature) rows in order of key and part."""
         held: pa.Table | None = None
 
         def starts(rows: pa.Table) -> np.ndarray:
@@ -171,9 +192,8 @@ def _enumerator(percent: int):
             symbols, found = _symbols(rows.column(8)), [np.zeros((0, 3), np.int64)]
             edges = np.append(starts(rows), len(key))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                fine = rows.column(7).slice(a, b - a)
-                fine = np.frombuffer(b"" if fine.null_count else b"".join(fine.to_pylist()), np.uint64).reshape(b - a, -1)
-                found += _pairs_of(int(key[a].view(np.uint64)), ids[a:b], n[a:b], component[a:b], major[a], block[a:b], fine, symbols[a:b], percent)
+                bitmaps = rows.column(7).slice(a, b - a).to_pylist()
+                found += _pairs_of(int(key[a].view(np.uint64)), ids[a:b], n[a:b], component[a:b], major[a], block[a:b], bitmaps, symbols[a:b], percent)
             whole = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(whole[:, 2].astype(np.int32))], ["a", "b", "distance"])
 
@@ -201,32 +221,20 @@ def _closeness(percent: int):
     return near
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """(ids, shingle sets) of the (doc_id, text, place) rows that pass the filter."""
-    hasher = WordHasher(True)
-    for batch in batches:
-        batch = batch.filter(pa.array(passes(wanted, np.asarray(batch.column(2)))))
-        for part, data, bounds in slices(batch):
-            yield part.column(0), list(shingle_sets(hasher(data, bounds), size))
-
-
 def _setter(size: int, wanted: np.ndarray):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, own in _wanted_sets(batches, size, wanted):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in own], pa.binary())], ["id", "shingles"])
+        """(id, digest, shingles) of the (doc_id, text, place) rows that pass the filter."""
+        hasher = WordHasher(True)
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted, np.asarray(batch.column(2)))))
+            for part, data, bounds in slices(batch):
+                own = [s.tobytes() for s in shingle_sets(hasher(data, bounds), size)]
+                digests = [xxhash.xxh3_128_digest(x) for x in own]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(own, pa.binary())], ["id", "digest", "shingles"])
 
     return sets
 
 
-def _sketcher(size: int, wanted: np.ndarray):
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parameters = [hash_parameters(1000 + k, 128) for k in range(0, BITS, 128)]
-        for ids, own in _wanted_sets(batches, size, wanted):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([sketch(s, parameters) for s in own], pa.binary())], ["id", "fine"])
-
-    return sketches
-
-
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,26 +264,25 @@ def _crossing(pairs: DataFrame, of: DataFrame) -> DataFrame:
 class _Links:
     """The steps of one call over its written tables."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> None:
-        self.docs, self.classes, self.size, self.percent, self.scratch = docs, classes, size, percent, scratch
+    def __init__(self, docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> None:
+        self.docs, self.signed, self.classes, self.size, self.percent, self.scratch = docs, signed, classes, size, percent, scratch
 
     def alike(self, n: str, m: str):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def across(self, placed: DataFrame) -> DataFrame:
+    def across(self, placed: DataFrame, total: int) -> DataFrame:
         """(a, b, distance) of one bucket and two components, unless both are in the bucket's largest, from (key, id, n, component)."""
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("c"), F.sum("k").alias("k"))
-        live = placed.join(mixed.where("c > 1").select("key", "major", "k"), "key")
-        live = self.scratch.write(live.join(self.classes.select("id", "signature"), "id"), "live")
-        crowd = live.where(F.col("k") > CROWD).select("id").distinct()
-        fine = self.scanned(crowd, "crowd", _sketcher, "fine")
-        live = self.scratch.write(live.join(fine, "id", "left").withColumn("fine", F.when(F.col("k") > CROWD, F.col("fine"))), "sketched")
+        mixed = self.scratch.write(mixed.where("c > 1").select("key", "major", "k", F.col("k").alias("members")), "mixed")
+        live = self.scratch.write(split_join(placed, mixed, "key", total), "live")
+        held = live.select("id").distinct().join(self.classes.select("id", "digest", "signature"), "id")
+        held = held.join(self.signed.select(F.col("doc_id").alias("id"), "digest", "places"), ["id", "digest"]).groupBy("id", "signature").agg(F.first("places").alias("places"))
         # a member meets each block of its bucket in the group of its own block and that one
-        live = live.withColumn("blocks", F.ceil(F.col("k") / LARGE)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        live = live.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(held, "id")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         live = live.select("*", other).withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-        rows = live.select("key", "part", "id", "n", "component", "major", "block", "fine", "signature")
+        rows = live.select("key", "part", "id", "n", "component", "major", "block", "places", "signature")
         rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
         return rows.mapInArrow(_enumerator(self.percent), "a long, b long, distance int")
 
@@ -285,14 +292,12 @@ class _Links:
         both = pairs.join(of("a"), "a").join(of("b"), "b").where(self.alike("na", "nb"))
         return self.scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(_closeness(self.percent), "a long, b long, distance int"), table)
 
-    def scanned(self, ids: DataFrame, table: str, make, column: str) -> DataFrame:
-        """(id, <column>) of at least ``ids``; texts are scanned, not shuffled."""
-        wanted = bitmap(ids, "id")
-        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
-        return self.scratch.write(texts.mapInArrow(make(self.size, wanted), f"id long, {column} binary"), table)
-
     def sets(self, pairs: DataFrame, table: str) -> DataFrame:
-        return self.scanned(self.ends(pairs), table, _setter, "shingles")
+        """(id, shingles) of the pairs' ends; texts are scanned, and shuffled only if too many are wanted for the filter."""
+        ends = self.ends(pairs)
+        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
+        found = texts.mapInArrow(_setter(self.size, bitmap(ends, "id")), "id long, digest binary, shingles binary")
+        return self.scratch.write(found.join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "shingles"), table)
 
     def ends(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
@@ -313,9 +318,9 @@ class _Links:
         return self.scratch.write(known.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{tag}-merged")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, component) of the classes (id, signature, n) that some other class is similar to."""
-    run = _Links(docs, classes, size, percent, scratch)
+def link_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of the classes (id, digest, signature, n) that some other class is similar to."""
+    run = _Links(docs, signed, classes, size, percent, scratch)
     keys = classes.select("id", "signature").mapInArrow(_index, "key long, id long")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
     members = scratch.write(keys.join(shared, "key"), "members")
@@ -332,29 +337,42 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, s
         found = run.merged(found, rest, sets, "rest")
 
     placed = members.select("key", "id").join(classes.select("id", "n"), "id").join(found, "id", "left")
-    across = run.across(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    placed = scratch.write(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    scratch.drop("members")
+    across = run.across(placed, placed.count())
     left = scratch.write(across.distinct().join(near, ["a", "b"], "left_anti"), "near-left")
     if not left.isEmpty():
         found = run.merged(found, left, run.sets(left, "sets-left"), "left")
-    scratch.drop("live", "crowd", "sets")
+    scratch.drop("live", "placed", "sets")
     return found
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id it is linked with), kept."""
+def _reported(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of each row."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    texts = docs.select("doc_id", "text")
-    signed = scratch.write(texts.mapInArrow(_signer(size), "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    fields = "doc_id long, text_hash long, n_shingles long, digest binary, signature binary, places binary"
+    signed = scratch.write(texts.mapInArrow(_signer(size), fields), "signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(known.groupBy("digest", "signature", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id")), "classes")
-    found = link_classes(texts, classes, size, percent, scratch)
-    named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("linked"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes = known.groupBy("digest", "signature", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.count("*").alias("k"))
+    classes = scratch.write(classes, "classes")
+    found = link_classes(texts.select("doc_id", "text"), signed, classes, size, percent, scratch)
+    named = scratch.write(classes.select("digest", "id", "k").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("linked"), "k"), "named")
+    out = split_join(known.select("digest", "doc_id", "text_hash", "n_shingles"), named, "digest", known.count()).drop("digest")
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("linked"))
+    kept = F.coalesce(F.col("doc_id") == F.col("linked"), F.lit(True))
+    return out.unionByName(alone).select("doc_id", "text_hash", "n_shingles", F.col("linked").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id it is linked with), kept."""
+    return _reported(docs, size, percent).drop("text_hash")
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each group of near-duplicates (that of the least doc_id), all columns."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents with one of each group of near-duplicates (that of the least doc_id), all columns.
+
+    Rows are told apart by id and text, so a text that only shares its id with a copy stays.
+    """
+    gone = _reported(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti").select(docs.columns)
