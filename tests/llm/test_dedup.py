@@ -183,12 +183,30 @@ def test_cut_texts(docs_of):
     assert [rows[i].emptied for i in range(1, 6)] == [False, False, True, False, False] and rows[2].component_id == "extra"
 
 
+def test_one_id_with_two_texts_keeps_its_other_words(docs_of):
+    fresh = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    same, other = fresh("w", 60), fresh("u", 80)
+    got = S.removal_report(docs_of((1, same), (2, same), (2, other), (2, same), (3, other + " " + same))).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 60, 0), (2, 60, 60), (2, 60, 60), (2, 80, 0), (3, 140, 140)]
+
+
+def test_columns_of_the_operators_own_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text, "a", 7, [1]), (2, text, "b", 8, [2])], "doc_id long, text string, row string, anchor int, repeats array<int>")
+    cut = {r.doc_id: r for r in S.remove_repeats(rows).collect()}
+    assert (cut[2].row, cut[2].anchor, cut[2].repeats, cut[2].emptied) == ("b", 8, [2], True)
+
+
 def test_fm_index_counts(rng=np.random.default_rng(5)):
-    text = np.append(rng.integers(1, 5, 500), 0)
-    index = FMIndex(text, 4)
-    for _ in range(200):
-        pattern = rng.integers(1, 5, 4)
+    lengths = rng.integers(1, 40, 30)
+    text = np.concatenate([np.append(rng.integers(1, 5, n), 0) for n in lengths])
+    index = FMIndex(text, np.arange(30) * 10)
+    phrase = np.repeat(np.arange(30), lengths + 1) * 10
+    for _ in range(300):
+        pattern = rng.integers(1, 5, 3)
         low, high = index.first[pattern[-1:]], index.first[pattern[-1:] + 1]
         for symbol in pattern[-2::-1]:
             low, high = index.extend(np.array([symbol]), low, high)
-        assert high[0] - low[0] == sum((text[i : i + 4] == pattern).all() for i in range(len(text) - 3))
+        at = [i for i in range(len(text) - 2) if (text[i : i + 3] == pattern).all()]
+        assert high[0] - low[0] == len(at)
+        assert sorted(index.owners(np.arange(low[0], high[0])).tolist()) == sorted(phrase[at].tolist())

@@ -18,8 +18,10 @@ doc_id. All windows are judged on the input.
    several shards by hash. Each shard then also hands out, once per window, the smallest document it knows; the
    minimum over shards, combined before the shuffle, settles those windows.
 
-Words are hashed to 64 bits. Null, empty and short texts have no windows. Rows without a doc_id neither lose words nor
-take them from others. Repeated rows (one doc_id) take nothing from each other.
+Joins split anchors and contexts that hold a large share of all rows. Words are hashed to 64 bits; windows agree if five
+hashes of ten words each do, contexts within one anchor by a hash of all words, windows of hot anchors by 128 bits. Null, empty
+and short texts have no windows. Rows without a doc_id neither lose words nor take them from others. Rows of one doc_id take
+nothing from each other and are judged by their own texts. One very long text needs about 60 times its bytes in a worker.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import split_join
 from .arrowtext import WordHasher, mix, powers, runs, slices
 from .fm_index import FMIndex
 from .id_filter import bitmap, passes, place
@@ -43,6 +46,7 @@ ANCHOR = 6
 STRIDE = 10
 CONTEXT = 64
 SHARD = 2000
+_SPANS = "__spans"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,18 +83,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchors[start].view(np.int64)), pa.array(whole.view(np.int64)),
-                    part.column(part.schema.get_field_index("doc_id")).take(pa.array(owner[start])),
+                    *[part.column(part.schema.get_field_index(c)).take(pa.array(owner[start])) for c in ("doc_id", "row")],
                     pa.array(place[start].astype(np.int32)), pa.array((stop - start).astype(np.int32)),
                 ],
-                ["anchor", "context", "doc_id", "start", "n"],
+                ["anchor", "context", "doc_id", "row", "start", "n"],
             )
 
 
 def _picker(wanted: np.ndarray):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The (doc_id, text) of (doc_id, text, place) rows that pass the filter."""
+        """The (doc_id, row, text) of (doc_id, row, text, place) rows that pass the filter."""
         for batch in batches:
-            yield batch.filter(pa.array(passes(wanted, np.asarray(batch.column(2))))).select([0, 1])
+            yield batch.filter(pa.array(passes(wanted, np.asarray(batch.column(3))))).select([0, 1, 2])
 
     return pick
 
@@ -102,23 +106,23 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in slices(batch):
             words = hasher(data, bounds)
             every = runs(words.hashes, STRIDE)
-            ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+            ids, rows = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row"))
             out: list[tuple] = []
             for d, asked in enumerate(part.column(part.schema.get_field_index("asked")).to_pylist()):
                 low, high = int(words.first[d]), int(words.first[d + 1])
                 for x in asked:
                     if low + x["start"] + x["n"] + WINDOW - 1 <= high:
                         own = every[low + x["start"] : low + x["start"] + x["n"] + tail]
-                        out.append((x["shard"], x["open"], ids[d], x["start"], x["n"], own.tobytes()))
+                        out.append((x["shard"], x["open"], ids[d], rows[d], x["start"], x["n"], own.tobytes()))
             if out:
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "open", "doc_id", "start", "n", "symbols"])
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "open", "doc_id", "row", "start", "n", "symbols"])
 
 
 def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, start, n, window) of one shard: repeats as runs of n windows; open windows, if no smaller one is known here, with their hash."""
+    """(doc_id, row, start, n, window, check) of one shard: repeats as runs of n windows; open windows, if no smaller one is known here, with two hashes."""
     per, count = WINDOW // STRIDE, pdf["n"].to_numpy(np.int64)
-    lengths, docs = count + WINDOW - STRIDE, pdf["doc_id"].to_numpy(np.int64)
+    lengths, docs, rows = count + WINDOW - STRIDE, pdf["doc_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
     hashes = np.frombuffer(b"".join(pdf["symbols"]), np.uint64)
     symbol = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
     context = np.repeat(np.arange(len(pdf)), lengths)
@@ -128,11 +132,9 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     spot = np.arange(len(order)) + (np.cumsum(np.diff(phase, prepend=phase[:1]) != 0))  # a separator after each phase
     text = np.zeros(int(spot[-1]) + 2, np.int64)
     text[spot] = symbol[order]
-    owner = np.zeros(len(text), np.int64)
-    owner[spot] = context[order]
     where = np.empty(len(order), np.int64)
     where[order] = spot
-    index = FMIndex(text, per)
+    index = FMIndex(text, np.append(context[order][np.flatnonzero(np.diff(phase))], context[order][-1:]))
 
     lane = np.flatnonzero(place < count[context])  # the windows
     begin = where[lane]
@@ -145,8 +147,11 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         live, low, high = live[going], low[going], high[going]
     smallest = docs[context[lane]].copy()
     if len(live):
-        by_suffix = np.append(docs[owner[index.suffixes]], np.iinfo(np.int64).max)
-        smallest[live] = np.minimum.reduceat(by_suffix, np.stack([low, high], 1).reshape(-1))[::2]
+        low, own, back = np.unique(low, return_index=True, return_inverse=True)  # intervals of one length don't overlap
+        width = high[own] - low
+        begin = np.cumsum(width) - width
+        found = docs[index.owners(np.arange(int(width.sum())) + np.repeat(low - begin, width))]
+        smallest[live] = np.minimum.reduceat(found, begin)[back.reshape(-1)]
     repeat = smallest < docs[context[lane]]
     own, at = context[lane], place[lane]
     head = repeat.copy()
@@ -155,42 +160,53 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     tail[:-1] &= ~repeat[1:] | (own[1:] != own[:-1])
     head, tail = np.flatnonzero(head), np.flatnonzero(tail)
     start = pdf["start"].to_numpy(np.int64)
-    closed = pd.DataFrame({"doc_id": docs[own[head]], "start": start[own[head]] + at[head], "n": at[tail] - at[head] + 1, "window": pd.array([None] * len(head), "Int64")})
+    none = pd.array([None] * len(head), "Int64")
+    closed = pd.DataFrame({"doc_id": docs[own[head]], "row": rows[own[head]], "start": start[own[head]] + at[head], "n": at[tail] - at[head] + 1, "window": none, "check": none})
     ask = np.flatnonzero(pdf["open"].to_numpy(bool)[own] & ~repeat)
-    window = np.zeros(len(ask), np.uint64)
+    window, check = np.zeros(len(ask), np.uint64), np.ones(len(ask), np.uint64)
     offset = np.cumsum(lengths) - lengths
     for step in range(per):
-        window = mix(window * np.uint64(0x9E3779B97F4A7C15) + hashes[offset[own[ask]] + at[ask] + step * STRIDE])
-    asked = pd.DataFrame({"doc_id": docs[own[ask]], "start": start[own[ask]] + at[ask], "n": 1, "window": pd.array(window.view(np.int64), "Int64")})
+        part = hashes[offset[own[ask]] + at[ask] + step * STRIDE]
+        window, check = mix(window * np.uint64(0x9E3779B97F4A7C15) + part), mix((check ^ part) * np.uint64(0xC2B2AE3D27D4EB4F))
+    asked = pd.DataFrame({"doc_id": docs[own[ask]], "row": rows[own[ask]], "start": start[own[ask]] + at[ask], "n": 1, "window": pd.array(window.view(np.int64), "Int64"), "check": pd.array(check.view(np.int64), "Int64")})
     return pd.concat([closed, asked], ignore_index=True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which tells rows of one doc_id apart by their texts."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, start, n): from word ``start`` on, ``n`` windows that an earlier document holds."""
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    every = scratch.write(texts.mapInArrow(_contexts, "anchor long, context long, doc_id long, start int, n int"), "contexts")
-    spread = every.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
-    shared = scratch.write(every.join(spread, "anchor", "left_semi"), "shared")
+    """(doc_id, row, start, n): from word ``start`` on, ``n`` windows that an earlier document holds."""
+    texts = keyed(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    every = scratch.write(texts.mapInArrow(_contexts, "anchor long, context long, doc_id long, row long, start int, n int"), "contexts")
+    ends = [F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("k")]
+    spread = scratch.write(every.groupBy("anchor").agg(*ends).where("x < y").select("anchor", "k"), "spread")
+    shared = scratch.write(split_join(every, spread, "anchor", every.count(), how="left_semi"), "shared")
     scratch.drop("contexts")
-    least = shared.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"))
-    placed = scratch.write(shared.join(least, ["anchor", "context"]), "placed")
-    scratch.drop("shared")
-    copies = placed.where("doc_id > least").select("doc_id", "start", "n")
-
-    kept = placed.where("doc_id = least").select("anchor", "context", "doc_id", "start", "n")
-    counted = kept.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor", "k")
-    wanted = scratch.write(kept.join(counted, "anchor"), "wanted")
+    least = scratch.write(shared.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "least")
+    placed = scratch.write(split_join(shared, least, ["anchor", "context"], shared.count()), "placed")
+    scratch.drop("shared", "least")
+    found_at = ["doc_id", "row", "start", "n"]
+    copies = placed.where("doc_id > least").select(found_at)
+
+    kept = placed.where("doc_id = least").select("anchor", "context", *found_at)
+    counted = scratch.write(kept.groupBy("anchor").agg(*ends).where("x < y").select("anchor", "k", F.col("k").alias("members")), "counted")
+    wanted = scratch.write(split_join(kept, counted, "anchor", kept.count()), "wanted")
     shards = max(1, wanted.count() // SHARD)
-    salt = F.pmod(F.xxhash64("context", "start"), F.ceil(F.col("k") / SHARD).cast("long"))
+    salt = F.pmod(F.xxhash64("context", "start"), F.ceil(F.col("members") / SHARD).cast("long"))
     shard = F.pmod(F.xxhash64("anchor", salt), F.lit(shards))
-    ask = F.struct(shard.alias("shard"), (F.col("k") > SHARD).alias("open"), "start", "n")
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(ask).alias("asked"))
-    some = texts.withColumn("place", place("doc_id")).mapInArrow(_picker(bitmap(wanted, "doc_id")), "doc_id long, text string")
-    symbols = some.join(asked, "doc_id").mapInArrow(_symbols, "shard long, open boolean, doc_id long, start int, n int, symbols binary")
-    found = scratch.write(symbols.groupBy("shard").applyInPandas(search_shard, "doc_id long, start int, n int, window long"), "found")
-    first = found.where("window IS NOT NULL").groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    across = found.where("window IS NOT NULL").join(first, "window").where("doc_id > least").select("doc_id", "start", "n")
-    return copies.union(found.where("window IS NULL").select("doc_id", "start", "n")).union(across)
+    ask = F.struct(shard.alias("shard"), (F.col("members") > SHARD).alias("open"), "start", "n")
+    asked = wanted.groupBy("doc_id", "row").agg(F.collect_list(ask).alias("asked"))  # as long as the document
+    some = texts.withColumn("place", place("doc_id")).select("doc_id", "row", "text", "place").mapInArrow(_picker(bitmap(wanted, "doc_id")), "doc_id long, row long, text string")
+    once = some.join(asked, ["doc_id", "row"])
+    symbols = once.mapInArrow(_symbols, "shard long, open boolean, doc_id long, row long, start int, n int, symbols binary")
+    found = scratch.write(symbols.groupBy("shard").applyInPandas(search_shard, "doc_id long, row long, start int, n int, window long, check long"), "found")
+    open_ = found.where("window IS NOT NULL")
+    first = scratch.write(open_.groupBy("window", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("k")).where("least < most").drop("most"), "first")
+    across = split_join(open_, first, ["window", "check"], open_.count()).where("doc_id > least").select(found_at)
+    return copies.union(found.where("window IS NULL").select(found_at)).union(across)
 
 
 def _keep(words: list[bytes], repeats_: list[dict] | None) -> tuple[np.ndarray, int]:
@@ -208,7 +224,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, bounds in slices(batch):
             out, raw = [], data.tobytes()
-            for k, found in enumerate(part.column(part.schema.get_field_index("repeats")).to_pylist()):
+            for k, found in enumerate(part.column(part.schema.get_field_index(_SPANS)).to_pylist()):
                 words, gone = raw[bounds[k] : bounds[k + 1]].split(), 0
                 n = len(words)
                 if found:
@@ -226,7 +242,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in slices(batch):
             words, raw, out = None, data.tobytes(), []
             texts = part.column(part.schema.get_field_index("text")).to_pylist()
-            for k, found in enumerate(part.column(part.schema.get_field_index("repeats")).to_pylist()):
+            for k, found in enumerate(part.column(part.schema.get_field_index(_SPANS)).to_pylist()):
                 if not found:
                     out.append((texts[k], 0, False))
                     continue
@@ -237,13 +253,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pieces = [raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(stay).tolist()]
                 out.append((b"".join(pieces).strip().decode("utf-8", "replace"), gone, gone == b - a))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.bool_()], strict=True)]
-            rest = part.drop_columns(["text", "repeats"])
+            rest = part.drop_columns(["text", _SPANS])
             yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "text", "n_removed", "emptied"])
 
 
 def _with_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    spans = repeats(docs, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
-    return docs.join(spans, "doc_id", "left")
+    spans = repeats(docs, scratch).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias(_SPANS))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__row"))
+    return docs.join(spans, same, "left").drop("__id", "__row")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
@@ -253,9 +270,9 @@ def removal_report(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the cut text, then n_removed and emptied (true if every word has gone)."""
+    """All columns of ``docs`` with the cut text, then n_removed and emptied (true if every word has gone), which replace columns of these names."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    others = [c for c in docs.columns if c not in ("text", "n_removed", "emptied", "repeats")]
+    others = [c for c in docs.columns if c not in ("text", "n_removed", "emptied")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    cut = _with_repeats(docs.select(*others, "text"), scratch).select(*others, "text", "repeats")
+    cut = _with_repeats(docs.select(*others, "text"), scratch).select(*others, "text", _SPANS)
     return cut.mapInArrow(_texts, f"{fields}, text string, n_removed long, emptied boolean")
