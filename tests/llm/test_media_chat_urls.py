@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ def test_escapes_are_reversible():
 
 def test_conversations_read_back(spark):
     rows = [(i, t, r, x) for i in range(40) for t, (r, x) in enumerate(random.Random(i).choices([(r, x) for r in ("user", "assistant", "system", None) for x in [*HOSTILE, None]], k=i % 9 + 1))]
+    rows += [(97, 0, "user", x) for x in ("a b", "a\nb", "a\"b", "a\\b", "a")] + [(k, 0, r, "same") for k in (94, 95, 96) for r in ("user", "assistant", "")]
     rows += [(None, 0, "user", "a"), (None, None, "assistant", "b"), (99, 0, "assistant", "tie b"), (99, 0, "assistant", "tie a"), (98, 0, "user", "r"), (98, 0, "user", "r")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))
     got = {r.conv_id: r for r in chat.conversation_report(chat.turn_records(df)).collect()}
@@ -92,6 +94,25 @@ def test_layouts():
     assert chat.fingerprint(chat.paths(json.loads('{"b": 1, "a": {"c": [1]}}'))) == chat.fingerprint({"a.c[]", "b"})
 
 
+def test_unknown_layouts_are_rejected_and_the_rest_is_formatted(spark):
+    records = [
+        (1, 0, json.dumps({"role": "user", "text": "a"})), (1, 1, json.dumps({"role": "assistant", "text": "b", "id": 7})), (2, 0, json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]})),
+        (3, 0, "not JSON"), (4, 0, None), (5, 0, "[1, 2]"), (6, 0, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "one "}, {"type": "text", "text": "two"}]}]})),
+        (7, 0, json.dumps({"prompt": "p", "completion": "c"})), (7, 0, json.dumps({"instruction": "i", "input": "j", "output": "o"})),
+    ]
+    df = spark.createDataFrame(records, "conv_id long, turn long, record string")
+    got = {}
+    for r in chat.format_conversations(df).collect():
+        got[r.conv_id] = got.get(r.conv_id, "") + r.formatted
+    turns = {k: [(a, b) for a, b, _ in chat.read_turns(v)] for k, v in got.items()}
+    assert turns == {
+        1: [("user", "a")], 2: [("user", "q"), ("assistant", "")], 6: [("user", "one two")],
+        7: [("user", "i"), ("user", "j"), ("assistant", "o"), ("user", "p"), ("assistant", "c")],
+    }
+    bad = {(r.conv_id, r.turn): r.reason for r in chat.rejected(df).collect()}
+    assert set(bad) == {(1, 1), (3, 0), (4, 0), (5, 0)} and "id" in bad[1, 1]
+
+
 URLS = [
     ("https://a.b.NET/x?q#f", "a.b.net", "/x", "net/", "block"), ("http://example.net/en/1", "example.net", "/en/1", "example.net/en/", "allow"), ("http://m.example.net/de/1", "m.example.net", "/de/1", "net/", "block"),
     ("http://x.example.com/de/a", "x.example.com", "/de/a", "example.com/de/", "block"), ("http://w.org/fr/", "w.org", "/fr/", "org/fr/", "allow"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
@@ -124,3 +145,28 @@ def test_labels_reach_templates_without_any(spark):
     assert len(got) == len(rows)
     assert [got[i].verdict for i in range(500, 505)] == ["block", "block", "allow", "allow", "block"]
     assert got[502].purity < got[503].purity == 0.5 < got[501].purity < got[500].purity
+
+
+def test_deep_paths_and_repeated_rows(spark):
+    rows = [(i, f"http://deep.test/a/b/c/d/{'spam' if i % 2 else 'docs'}/{i}", i % 2) for i in range(80)]
+    rows += [(200, "http://deep.test/a/b/c/d/spam/x/y/z", None), (201, "http://deep.test/a/b/c/d/docs/x/y/z", None), (202, "http://deep.test/" + "a/" * 300, None)]
+    rows += [(300 + i, f"http://deep.test/u/{'abcdefghij'[i]}/{x}", 1) for i in range(10) for x in ("profile", "files")] + [(400, "http://deep.test/u/nobody/profile", None)]
+    judged = lambda times: {r.page_id: (r.template, r.verdict) for r in url_filters.judge(spark.createDataFrame(rows * times, "page_id long, url string, bad int")).collect()}
+    got = judged(1)
+    assert (got[200][1], got[201][1]) == ("block", "allow") and got[400] == ("/u/<*>/profile", "block")
+    assert got[202][0] == "/a" * 300
+    assert {k: v[0] for k, v in judged(4).items()} == {k: v[0] for k, v in got.items()}
+
+
+def test_inner_branches_merge(spark):
+    rows = [(100 * k + i, f"http://m.test/{lang}/{kind}/{i}", bad) for k, (lang, kind, bad) in enumerate((x, y, b) for x in ("en", "fr") for y, b in (("ads", 1), ("news", 0))) for i in range(20)]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame([*rows, (900, "http://m.test/en/ads/7", None)], "page_id long, url string, bad int")).collect()}
+    assert {r.branch for r in got.values()} == {"/<~>/ads/<n>", "/<~>/news/<n>"} and (got[900].verdict, got[110].verdict) == ("block", "allow")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="the driver's tables are not here")
+def test_verdicts_without_a_rule_differ(spark):
+    from threadloom.llm import queries
+
+    got = queries.op6_path_template_url_filters(spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"} and min(r["count"] for r in got) >= 100

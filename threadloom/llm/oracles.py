@@ -67,32 +67,39 @@ def url_filter_sql() -> str:
     rule = "coalesce(" + ", ".join(fits[k].format(f"'{U.RULES[k][0]}{U.RULES[k][1]}'") for k in longest) + ")"
     ruled = "coalesce(" + ", ".join(fits[k].format(f"'{U.RULES[k][2]}'") for k in longest) + ")"
     form = "CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<n>' WHEN regexp_matches(x, '^[0-9a-fA-F-]{8,}$') THEN '<x>' WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') THEN '<w>' ELSE x END"
+    domain = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.')"
+    prefix = "array_to_string(list_slice(p, 1, {0}), '/')"
     parts = [
         "r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         f"h AS (SELECT page_id, {host} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r)",
-        f"s AS (SELECT *, {rule} AS rule, {ruled} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {form}) AS parts FROM h)",
-        f"p AS (SELECT *, CASE WHEN len(parts) > {U.DEPTH} THEN list_concat(list_slice(parts, 1, {U.DEPTH}), ['<more>']) ELSE parts END AS form, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad FROM s)",
-        "t0 AS (SELECT host, form, count(*) AS pages, count(bad) AS labels, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad, '' AS template, '' AS parent FROM p GROUP BY host, form)",
-    ]
-    for k in range(U.DEPTH + 1):
-        parts += [
-            f"c{k} AS (SELECT host, template, form[{k + 1}] AS child, sum(pages) AS pages FROM t{k} WHERE len(form) > {k} GROUP BY ALL)",
-            f"n{k} AS (SELECT host, template, TRUE AS wild FROM c{k} GROUP BY host, template HAVING count(*) >= {U.MANY_CHILDREN} AND sum(pages) < count(*) * {U.PAGES_A_CHILD})",
-            f"""t{k + 1} AS (SELECT host, form, pages, labels, bad, CASE WHEN len(form) > {k} THEN t.template || '/' || CASE WHEN wild THEN '<*>' ELSE form[{k + 1}] END ELSE t.template END AS template,
-                CASE WHEN len(form) > {k} THEN t.template ELSE parent END AS parent FROM t{k} t LEFT JOIN n{k} n USING (host, template))""".replace("t.template", "template"),
-        ]
-    parts += [
-        f"leaf AS (SELECT host, parent, template, CAST(sum(labels) AS BIGINT) AS labels, CAST(sum(bad) AS BIGINT) AS bad FROM t{U.DEPTH + 1} GROUP BY ALL)",
-        f"pool AS (SELECT host, parent, sum(bad) / sum(labels)::DOUBLE AS rate FROM leaf WHERE labels >= {U.LABELS} GROUP BY ALL)",
-        "prior AS (SELECT coalesce(sum(bad) / nullif(sum(labels), 0)::DOUBLE, 0.0) AS prior FROM leaf)",
-        f"""j AS (SELECT host, template, labels, bad, CASE WHEN labels >= {U.LABELS} AND abs(bad / labels::DOUBLE - rate) <= {U.Z} * sqrt(rate * (1 - rate) / labels) THEN parent || '/<~>' ELSE template END AS branch
-            FROM leaf LEFT JOIN pool USING (host, parent))""",
-        f"b AS (SELECT host, branch, (sum(bad) + {U.WEIGHT} * (SELECT prior FROM prior)) / (sum(labels) + {U.WEIGHT}) AS purity FROM j GROUP BY host, branch)",
-        f"k AS (SELECT t.host, t.form, t.template, purity FROM t{U.DEPTH + 1} t JOIN j ON j.host = t.host AND j.template = t.template JOIN b ON b.host = j.host AND b.branch = j.branch)",
+        f"s AS (SELECT *, {rule} AS rule, {ruled} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {form}) AS form FROM h)",
+        "p AS (SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad FROM s)",
+        f"""t AS (SELECT host, form, count(bad) AS labels, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad, 0 AS k, '' AS template, len(form) > 0 AS live FROM p GROUP BY host, form
+            UNION ALL SELECT host, form, labels, bad, k + 1, template || '/' || CASE WHEN forms < {U.MANY_CHILDREN} THEN array_to_string(list_slice(form, k + 1, len(form)), '/')
+                WHEN children >= {U.MANY_CHILDREN} AND forms < children * {U.FORMS_A_CHILD} THEN '<*>' ELSE form[k + 1] END, forms >= {U.MANY_CHILDREN} AND len(form) > k + 1
+            FROM (SELECT *, count(*) OVER (PARTITION BY host, template) AS forms, count(DISTINCT form[k + 1]) OVER (PARTITION BY host, template) AS children FROM t WHERE live))""",
+        "tree AS (SELECT host, form, labels, bad, template, list_filter(string_split(template, '/'), lambda x: x <> '') AS p FROM t WHERE NOT live)",
+        "leaf AS (SELECT host, template, p, CAST(sum(labels) AS BIGINT) AS labels, CAST(sum(bad) AS BIGINT) AS bad FROM tree GROUP BY ALL)",
+        f"e AS (SELECT *, {prefix.format('j')} AS node, {prefix.format('j - 1')} AS above, p[j] AS segment FROM (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM leaf))",
+        f"n AS (SELECT host, j, above, node, sum(labels) AS n, sum(bad) AS b FROM e GROUP BY ALL HAVING sum(labels) >= {U.LABELS})",
+        "pool AS (SELECT host, j, above, sum(b) / sum(n)::DOUBLE AS rate FROM n GROUP BY ALL HAVING count(*) > 1)",
+        f"same AS (SELECT host, j, node FROM n JOIN pool USING (host, j, above) WHERE abs(b / n::DOUBLE - rate) <= {U.Z} * sqrt(rate * (1 - rate) / n) + 1e-12)",
+        "nb AS (SELECT e.host, e.template, string_agg('/' || CASE WHEN same.node IS NULL THEN segment ELSE '<~>' END, '' ORDER BY e.j) AS branch FROM e LEFT JOIN same ON same.host = e.host AND same.j = e.j AND same.node = e.node GROUP BY ALL)",
+        "nl AS (SELECT leaf.host, leaf.template, labels, bad, coalesce(branch, '') AS branch FROM leaf LEFT JOIN nb ON nb.host = leaf.host AND nb.template = leaf.template)",
+        "br AS (SELECT host, branch, list_filter(string_split(branch, '/'), lambda x: x <> '') AS p, CAST(sum(labels) AS BIGINT) AS labels, CAST(sum(bad) AS BIGINT) AS bad FROM nl GROUP BY ALL)",
+        "prior AS (SELECT coalesce(sum(bad) / nullif(sum(labels), 0)::DOUBLE, 0.0) AS prior FROM br)",
+        f"""sc AS (SELECT host, branch, labels, bad, 0 AS level, '*' AS owner, branch AS node FROM br UNION ALL SELECT host, branch, labels, bad, 1, {domain}, '' FROM br UNION ALL SELECT host, branch, labels, bad, 2, {domain}, branch FROM br
+            UNION ALL SELECT host, branch, labels, bad, j + 3, host, {prefix.format('j')} FROM (SELECT *, unnest(range(0, len(p) + 1)) AS j FROM br))""",
+        "sums AS (SELECT level, owner, node, sum(CASE level WHEN 0 THEN least(labels, 1) ELSE labels END) AS n, sum(CASE level WHEN 0 THEN coalesce(bad / nullif(labels, 0)::DOUBLE, 0) ELSE bad END) AS b FROM sc GROUP BY ALL)",
+        "steps AS (SELECT host, branch, level, n, b FROM sc JOIN sums USING (level, owner, node))",
+        f"""f AS (SELECT host, branch, -1 AS level, (SELECT prior FROM prior) AS share FROM br UNION ALL
+            SELECT f.host, f.branch, f.level + 1, (b + {U.WEIGHT} * share) / (n + {U.WEIGHT})::DOUBLE FROM f JOIN steps ON steps.host = f.host AND steps.branch = f.branch AND steps.level = f.level + 1)""",
+        "q AS (SELECT host, branch, round(arg_max(share, level), 9) AS purity FROM f GROUP BY ALL)",
+        "k AS (SELECT tree.host, tree.form, tree.template, nl.branch, purity FROM tree JOIN nl ON nl.host = tree.host AND nl.template = tree.template JOIN q ON q.host = nl.host AND q.branch = nl.branch)",
     ]
     return (
-        "WITH " + ",\n".join(parts) + f""" SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
-        FROM p LEFT JOIN k ON k.host = p.host AND k.form = p.form"""
+        "WITH RECURSIVE " + ",\n".join(parts) + f""" SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, branch, round(purity, 6) AS purity
+        FROM p JOIN k ON k.host = p.host AND k.form = p.form"""
     )
 
 

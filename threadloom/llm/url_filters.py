@@ -3,30 +3,36 @@
 Rules (host, path, verdict) decide first: a rule fits its host and all subdomains if the path starts with the rule's, and
 the longest wins. For the rest, paths become templates:
 
-1. Segments of digits, of hexadecimal digits and of mixed letters and digits become wildcards by their form.
-2. Level by level, a node of a host's tree with many different children for its pages gets one wildcard child instead.
-3. Sibling branches with labels enough whose share of bad labels doesn't differ from their parent's by a z-test are
-   merged; branches without labels are left as they are.
-4. A template whose smoothed share of bad labels reaches PURITY is rejected. Smoothing is towards the share of the node
-   above, that towards the next one's up to the host's, then towards the domain's (the host's last two names) and all labels'.
-   Without ``back_off`` it is towards all labels' share at once, so that templates without labels all get the same.
+1. Segments of digits, of hexadecimal digits and of mixed letters and digits become wildcards by their form. What follows
+   works on a host's distinct path forms, so repeated rows change nothing but the labels' counts.
+2. Level by level, a node of a host's tree gets one wildcard child if it has MANY_CHILDREN different children or more and fewer than
+   FORMS_A_CHILD path forms for each. Levels go on as deep as any node has MANY_CHILDREN forms; below, nothing can change.
+3. Sibling nodes, inner ones and leaves, with LABELS labels or more whose share of bad ones doesn't differ from their common share
+   by a z-test are merged. Nodes with fewer labels are left as they are.
+4. A branch whose smoothed share of bad labels, its purity, reaches PURITY is rejected. The share is smoothed step by step: all
+   labels, the same branch on all hosts (one label a host, its share), the domain (the host's last two names), the same branch in the domain, the host, the nodes on
+   the way, and the branch itself; each step adds its labels to WEIGHT labels of the step before. So a
+   branch without labels is judged by what is known around it.
 
 Labels are a nullable 0/1 column ``bad``; the query labels the pages that a rule decides. Pages are combined to counts
-per host and path form before anything is joined, so the tree's tables grow with distinct path forms. Levels beyond DEPTH
-share one wildcard. Null urls and urls without ``://`` have an empty host and path. Rules are a list of the caller's, held in
-the plan.
+per host and path form before anything is joined, so the tree's tables grow with distinct path forms; joins split
+nodes that hold a large share of them. Null urls and urls without ``://`` have an empty host and path; pages with null ids and repeated
+pages keep their rows; an empty table gives an empty result. Rules are a list of the caller's, held in the plan. Paths of any
+length are read whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import split_join
 
-DEPTH = 4
 MANY_CHILDREN = 8
-PAGES_A_CHILD = 4
+FORMS_A_CHILD = 4
 LABELS = 5
 Z = 1.96
 WEIGHT = 10.0
@@ -53,71 +59,87 @@ def ruling(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def path_form(path: Column) -> Column:
-    """The path's segments, variable ones as wildcards by form; all beyond DEPTH as one."""
+    """The path's segments, variable ones as wildcards by form."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    forms = F.transform(
+    return F.transform(
         parts,
         lambda x: F.when(x.rlike("^[0-9]+$"), "<n>")
         .when(x.rlike("^[0-9a-fA-F-]{8,}$"), "<x>")
         .when(x.rlike("[0-9]") & x.rlike("[A-Za-z]"), "<w>")
         .otherwise(x),
     )
-    return F.when(F.size(forms) > DEPTH, F.concat(F.slice(forms, 1, DEPTH), F.array(F.lit("<more>")))).otherwise(forms)
+
+
+def _segments(template: str) -> Column:
+    """The segments of a template, which has a slash before each."""
+    return F.filter(F.split(template, "/"), lambda x: x != "")
 
 
 def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, form, template, parent) with the labels (n, bad) of each path form, from (host, path, bad)."""
-    tree = pages.groupBy("host", path_form(F.col("path")).alias("form")).agg(
-        F.count("*").alias("pages"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
-    )
-    tree = scratch.write(tree.withColumns({"template": F.lit(""), "parent": F.lit("")}), "level")
-    for level in range(DEPTH + 1):
+    """(host, form, template) with the labels and how many are bad of each path form, from (host, path, bad)."""
+    forms = pages.groupBy("host", path_form(F.col("path")).alias("form")).agg(F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    live = scratch.write(forms.withColumn("template", F.lit("")), "forms")
+    done, level = [live.where(F.size("form") == 0)], 0
+    live = live.where(F.size("form") > 0)
+    while total := live.count():
         child = F.get("form", F.lit(level))
-        nodes = tree.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.sum("pages").alias("pages"))
-        nodes = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("pages").alias("pages"))
-        wild = nodes.where((F.col("children") >= MANY_CHILDREN) & (F.col("pages") < F.col("children") * PAGES_A_CHILD)).select("host", "template", F.lit(True).alias("wild"))
-        tree = tree.join(wild, ["host", "template"], "left")
-        step = F.concat("template", F.lit("/"), F.when(F.col("wild"), "<*>").otherwise(child))
-        tree = tree.withColumns({"parent": F.when(child.isNotNull(), F.col("template")).otherwise(F.col("parent")), "template": F.coalesce(step, "template")}).drop("wild")
-        tree = scratch.write(tree, f"level{level}")  # each level reads the one before twice
-    return tree
-
-
-def expected_shares(leaf: DataFrame, prior: DataFrame) -> DataFrame:
-    """(host, template, expected): the share of bad labels that the nodes above the template, its host and its domain let expect."""
-    domain = F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)), 2), ".")
-    size = F.size(F.split("template", "/")) - 1  # a template has a slash before each of its segments
-    above = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda k: F.array_join(F.slice(F.split("template", "/"), F.lit(1), k + 1), "/"))
-    scopes = F.concat(F.array(F.struct(F.lit(-1).alias("level"), domain.alias("owner"), F.lit("").alias("node"))),
-                      F.transform(above, lambda x, k: F.struct(k.alias("level"), F.col("host").alias("owner"), x.alias("node"))))
-    each = leaf.select("host", "template", "labels", "bad", F.explode(scopes).alias("scope")).select("host", "template", "labels", "bad", "scope.*")
-    sums = each.groupBy("level", "owner", "node").agg(F.sum("labels").alias("n"), F.sum("bad").alias("k")).where("n > 0")
-    chains = each.drop("labels", "bad").join(sums, ["level", "owner", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "n", "k"))).alias("chain"))
-    smooth = F.aggregate("chain", F.col("prior"), lambda share, x: (x["k"] + F.lit(WEIGHT) * share) / (x["n"] + F.lit(WEIGHT)))
-    return chains.crossJoin(F.broadcast(prior)).select("host", "template", smooth.alias("expected"))
-
-
-def judged_templates(tree: DataFrame, scratch: Scratch, back_off: bool = True) -> DataFrame:
-    """(host, template, branch, purity): similar siblings share a branch, and its smoothed share of bad labels."""
-    leaf = tree.groupBy("host", "parent", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-    enough = leaf.where(F.col("labels") >= LABELS)
-    pooled = enough.groupBy("host", "parent").agg((F.sum("bad") / F.sum("labels")).alias("rate"))
-    prior = leaf.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labels")), F.lit(0.0)).alias("prior"))  # one row
-    joined = leaf.join(pooled, ["host", "parent"], "left")
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("labels"))
-    alike = (F.col("labels") >= LABELS) & (F.abs(F.col("bad") / F.col("labels") - F.col("rate")) <= Z * spread)
-    joined = scratch.write(joined.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/<~>"))).otherwise(F.col("template"))), "branches")
-    shares = joined.groupBy("host", "branch").agg(F.sum("labels").alias("n"), F.sum("bad").alias("k")).crossJoin(F.broadcast(prior))
-    known = joined.select("host", "template", "branch").join(shares, ["host", "branch"])
-    expected = F.col("prior")
-    if back_off:
-        known = known.join(expected_shares(joined, prior), ["host", "template"], "left")
-        expected = F.coalesce("expected", "prior")
-    purity = (F.col("k") + F.lit(WEIGHT) * expected) / (F.col("n") + F.lit(WEIGHT))
-    return known.select("host", "template", "branch", purity.alias("purity"))
-
-
-def judge(pages: DataFrame, rules=RULES, back_off: bool = True) -> DataFrame:
+        nodes = live.groupBy("host", "template", child.alias("child")).agg(F.count("*").alias("forms"))
+        nodes = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("forms").alias("k")).where(F.col("k") >= MANY_CHILDREN)
+        wild = (F.col("children") >= MANY_CHILDREN) & (F.col("k") < F.col("children") * FORMS_A_CHILD)
+        nodes = scratch.write(nodes.select("host", "template", "k", wild.alias("wild")), f"nodes{level}")
+        known = split_join(live, nodes, ["host", "template"], total, how="left")
+        rest = F.slice("form", level + 1, F.size("form"))  # under a node of few forms nothing changes any more
+        step = F.when(F.col("wild").isNull(), F.array_join(rest, "/")).when(F.col("wild"), "<*>").otherwise(child)
+        ended = F.col("wild").isNull() | (F.size("form") == level + 1)
+        known = known.select("host", "form", "labels", "bad", F.concat("template", F.lit("/"), step).alias("template"), ended.alias("ended"))
+        known = scratch.write(known, f"level{level}")  # each level reads the one before several times
+        done.append(known.where("ended").drop("ended"))
+        live, level = known.where("NOT ended").drop("ended"), level + 1
+    return scratch.write(reduce(DataFrame.unionByName, done), "tree")
+
+
+def merged_branches(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, template, branch) of the leaves (host, template, labels, bad): a segment merged with its siblings reads <~>."""
+    parts = _segments("template")
+    steps = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda j: F.struct(
+        j.alias("depth"), F.array_join(F.slice(parts, F.lit(1), j), "/").alias("node"), F.array_join(F.slice(parts, F.lit(1), F.greatest(j - 1, F.lit(0))), "/").alias("above"),
+        F.when(j > 0, F.get(parts, j - 1)).alias("segment")))
+    each = scratch.write(leaves.select("host", "template", "labels", "bad", F.explode(steps).alias("s")).select("host", "template", "labels", "bad", "s.*"), "steps")
+    nodes = each.where("depth > 0").groupBy("host", "depth", "above", "node").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("k")).where(F.col("n") >= LABELS)
+    pooled = nodes.groupBy("host", "depth", "above").agg((F.sum("b") / F.sum("n")).alias("rate"), F.count("*").alias("siblings")).where("siblings > 1")
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
+    alike = F.abs(F.col("b") / F.col("n") - F.col("rate")) <= Z * spread + 1e-12
+    same = nodes.join(pooled, ["host", "depth", "above"]).where(alike).select("host", "depth", "node", "k", F.lit("<~>").alias("merged"))
+    same = scratch.write(same, "merged")
+    named = split_join(each, same, ["host", "depth", "node"], each.count(), how="left")
+    shown = F.struct("depth", F.coalesce("merged", "segment").alias("segment"))
+    path = F.transform(F.filter(F.array_sort(F.collect_list(shown)), lambda x: x["depth"] > 0), lambda x: x["segment"])  # as long as a path
+    return named.groupBy("host", "template").agg(path.alias("parts")).select("host", "template", F.concat_ws("", F.transform("parts", lambda x: F.concat(F.lit("/"), x))).alias("branch"))
+
+
+def purities(branches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, branch, purity) of the branches (host, branch, labels, bad)."""
+    names = F.split("host", r"\.")
+    domain = F.array_join(F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), 2), ".")
+    parts = _segments("branch")
+    scope = lambda level, owner, node: F.struct(level.cast("int").alias("level"), owner.alias("owner"), node.alias("node"))
+    around = F.array(scope(F.lit(0), F.lit("*"), F.col("branch")), scope(F.lit(1), domain, F.lit("")), scope(F.lit(2), domain, F.col("branch")))
+    on_the_way = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda j: scope(j + 3, F.col("host"), F.array_join(F.slice(parts, F.lit(1), j), "/")))
+    each = branches.select("host", "branch", "labels", "bad", F.explode(F.concat(around, on_the_way)).alias("s")).select("host", "branch", "labels", "bad", "s.*")
+    each = scratch.write(each, "scopes")
+    own = F.col("level") == 0  # a host counts once among all hosts, so that no single one speaks for the others
+    n = F.when(own, F.least(F.col("labels"), F.lit(1))).otherwise(F.col("labels"))
+    b = F.when(own, F.coalesce(F.try_divide("bad", "labels"), F.lit(0.0))).otherwise(F.col("bad"))
+    sums = each.groupBy("level", "owner", "node").agg(F.sum(n).alias("n"), F.sum(b).alias("b"), F.count("*").alias("k"))
+    sums = scratch.write(sums, "sums")
+    chains = split_join(each.select("host", "branch", "level", "owner", "node"), sums, ["level", "owner", "node"], each.count())
+    chains = chains.groupBy("host", "branch").agg(F.array_sort(F.collect_list(F.struct("level", "n", "b"))).alias("chain"))  # as long as a path
+    prior = branches.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labels")), F.lit(0.0)).alias("prior"))  # one row
+    smooth = F.aggregate("chain", F.col("prior"), lambda share, x: (x["b"] + F.lit(WEIGHT) * share) / (x["n"] + F.lit(WEIGHT)))
+    return chains.crossJoin(F.broadcast(prior)).select("host", "branch", F.round(smooth, 9).alias("purity"))
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per row of ``pages`` (page_id, url, and bad if there are labels): page_id, host, path, rule, verdict, template, purity."""
     host, path = split_url(F.col("url"))
     split = pages.withColumns({"host": host, "path": path})
@@ -125,10 +147,15 @@ def judge(pages: DataFrame, rules=RULES, back_off: bool = True) -> DataFrame:
     label = F.when(rule["verdict"] == "block", 1).when(rule["verdict"] == "allow", 0)
     bad = F.coalesce("bad", label) if "bad" in pages.columns else label
     scratch = Scratch(pages.sparkSession, "url-filters")
-    split = scratch.write(split.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad")), "split")
+    split = split.select("page_id", "host", "path", path_form(F.col("path")).alias("form"), rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad"))
+    split = scratch.write(split, "split")
     tree = template_tree(split.select("host", "path", "bad"), scratch)
-    known = scratch.write(tree.select("host", "form", "template").join(judged_templates(tree, scratch, back_off), ["host", "template"]), "known")
-    # forms of one host are many, so the hot host's pages spread over them
-    out = split.withColumn("form", path_form(F.col("path"))).join(known, ["host", "form"], "left")
+    leaves = scratch.write(tree.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "leaves")
+    named = scratch.write(leaves.join(merged_branches(leaves, scratch), ["host", "template"]), "named")
+    found = purities(named.groupBy("host", "branch").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), scratch)
+    known = tree.select("host", "form", "template").join(named.select("host", "template", "branch").join(found, ["host", "branch"]), ["host", "template"])
+    counts = split.groupBy("host", "form").agg(F.count("*").alias("k"))
+    known = scratch.write(known.join(counts, ["host", "form"]), "known")
+    out = split_join(split, known, ["host", "form"], split.count())
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "branch", "purity")
