@@ -2,8 +2,8 @@
 
 The nested field paths of a record (sorted, array steps as ``[]``) are hashed; the fingerprint selects a declarative
 mapping that turns the record into canonical turns (role, text). Known layouts are single turns, message lists,
-instruction with output, and prompt with completion; ``Layout`` adds more. A record of unknown layout raises an error that
-names its paths, as dropping it would lose text.
+instruction with output, prompt with completion, and message lists whose content is a list of text parts; ``Layout`` adds more.
+Records of unknown layout, and those that aren't JSON objects, are not formatted: ``rejected`` returns them with their paths.
 
 The template writes ``<s>[TURN role]text[/TURN]`` and so on; every ``\\``, ``<``, ``>``, ``[`` and ``]`` inside a role or
 text is escaped by a backslash and a letter, so no text can make a control string and reading is exact. Loss falls on
@@ -11,8 +11,9 @@ assistant texts.
 
 Rows are put in order of conversation and turn within partitions and streamed, one row at a time, so a conversation of any
 number of turns needs constant memory. Hashes are sequential by nature, so one conversation is one task's work.
-Null texts and roles are empty; null turns come first; equal turns are ordered by role and text; a null conversation is one
-of its own. An empty table gives an empty result.
+Null texts and roles are empty; null turns come first; equal turns are ordered by the role and text of their first turn, then by
+the record; a null conversation is one of its own. An empty table gives an empty result. One very long text needs about
+10 times its bytes in a worker. Columns other than conv_id, turn and the record are not looked at.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..skew import let
+
 _ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g", "[": "\\o", "]": "\\c"}
 _BACK = {v[1]: k for k, v in _ESCAPES.items()}
 TRAINED = "assistant"
@@ -42,6 +45,7 @@ LAYOUTS: dict[tuple[str, ...], Layout] = {
     ("role", "text"): Layout(None, ((None, "role", "text"),)),
     ("content", "role"): Layout(None, ((None, "role", "content"),)),
     ("messages[].content", "messages[].role"): Layout("messages", ((None, "role", "content"),)),
+    ("messages[].content[].text", "messages[].content[].type", "messages[].role"): Layout("messages", ((None, "role", "content"),)),
     ("conversations[].from", "conversations[].value"): Layout("conversations", ((None, "from", "value"),)),
     ("instruction", "output"): Layout(None, (("user", None, "instruction"), (TRAINED, None, "output"))),
     ("input", "instruction", "output"): Layout(None, (("user", None, "instruction"), ("user", None, "input"), (TRAINED, None, "output"))),
@@ -67,6 +71,11 @@ _BY_PRINT = {fingerprint(p): layout for p, layout in LAYOUTS.items()}
 _EMPTY_LISTS = {f"{layout.over}[]" for layout in LAYOUTS.values() if layout.over}
 
 
+def _said(value: object) -> str:
+    """A text, or the texts of its parts in order."""
+    return "".join(part["text"] or "" for part in value) if isinstance(value, list) else str(value or "")
+
+
 def canonical_turns(record: dict, mappings: dict[str, Layout] | None = None) -> list[tuple[str, str]]:
     """(role, text) of each turn of a record of any known layout."""
     found = paths(record)
@@ -76,7 +85,15 @@ def canonical_turns(record: dict, mappings: dict[str, Layout] | None = None) ->
             return []
         raise ValueError(f"no layout for the fields {sorted(found)}")
     elements = record[layout.over] if layout.over else [record]
-    return [(role or x[field] or "", x[text] or "") for x in elements for role, field, text in layout.turns]
+    return [(role or str(x[field] or ""), _said(x[text])) for x in elements for role, field, text in layout.turns]
+
+
+def read_record(source: str | None) -> tuple[list[tuple[str, str]], str | None]:
+    """(turns, None) of a record's JSON, or ([], why it can't be read)."""
+    try:
+        return canonical_turns(json.loads(source or "")), None
+    except (ValueError, KeyError, TypeError) as error:  # not JSON, or of no known layout
+        return [], str(error)
 
 
 def escape(text: str) -> str:
@@ -139,7 +156,7 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     for batch in batches:
         out = []
         for conversation, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for role, text in canonical_turns(json.loads(record)):
+            for role, text in read_record(record)[0]:
                 out.append((conversation, format_turn(role, text, conversation != seen), conversation != seen))
                 seen = conversation
         yield out
@@ -169,16 +186,54 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _KINDS, strict=True)], _NAMES)
 
 
+_MESSAGE = "struct<role:string,content:string>"
+_FIRST = f"role string, text string, content string, messages array<{_MESSAGE}>, conversations array<struct<`from`:string,value:string>>, instruction string, prompt string"
+
+
+def _first_turn(record: str) -> Column:
+    """(role, text) of a record's first turn, by which records of one turn number are ordered."""
+
+    def of(x: Column) -> Column:
+        message, said = F.get(x["messages"], F.lit(0)), F.get(x["conversations"], F.lit(0))
+        role = F.coalesce(x["role"], message["role"], said["from"], F.when(F.coalesce(x["instruction"], x["prompt"]).isNotNull(), "user"), F.lit(""))
+        return F.struct(role.alias("role"), F.coalesce(x["text"], x["content"], message["content"], said["value"], x["instruction"], x["prompt"], F.lit("")).alias("text"))
+
+    return let(F.from_json(record, _FIRST), of)
+
+
 def _ordered(records: DataFrame) -> DataFrame:
-    return records.select("conv_id", "turn", "record").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "record").select("conv_id", "record")
+    dealt = records.select("conv_id", "turn", "record").repartition("conv_id").withColumn("first", _first_turn("record"))
+    return dealt.sortWithinPartitions("conv_id", "turn", "first", "record").select("conv_id", "record")
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, record) from rows by turn: each record the JSON of its role and text."""
-    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    """(conv_id, turn, record) from rows by turn: each record the JSON of its role and text.
+
+    Conversations come in four layouts by their id, as a corpus of several sources would.
+    """
+    role, text, kind = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    message = F.struct(role.alias("role"), text.alias("content"))
+    record = (
+        F.when(kind == 1, F.to_json(message))
+        .when(kind == 2, F.to_json(F.struct(F.array(message).alias("messages"))))
+        .when(kind == 3, F.to_json(F.struct(F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"))))
+        .otherwise(F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+    )
     return conversations.select("conv_id", "turn", record.alias("record"))
 
 
+def _reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        reasons = [read_record(x)[1] for x in batch.column(2).to_pylist()]
+        bad = pa.array([r is not None for r in reasons], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], ["conv_id", "turn", "record", "reason"]).filter(bad)
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """(conv_id, turn, record, reason) of the records that no layout fits."""
+    return records.select("conv_id", "turn", "record").mapInArrow(_reject, "conv_id long, turn long, record string, reason string")
+
+
 def format_conversations(records: DataFrame) -> DataFrame:
     """(conv_id, formatted): one row per turn, in order within a conversation, from (conv_id, turn, record JSON) of any known layouts."""
     return _ordered(records).mapInArrow(_format, "conv_id long, formatted string")
