@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import packing as P
 from threadloom.llm import token_counts as C
@@ -88,3 +89,22 @@ def test_packing_beats_greedy():
     bins, offsets = P.pack_lengths(lengths, 2048)
     assert bins.max() + 1 <= 1.003 * -(-lengths.sum() // 2048) + 1
     assert np.bincount(bins, lengths).max() <= 2048
+
+
+def test_cache_hits_keep_their_counts(spark, docs_of, tmp_path):
+    path, cache = tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    C.count_tokens(docs_of((1, "one text"), (2, "two")), path, cache=cache).collect()
+    odd = spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 100)  # a hit shows that the stored count is used
+    odd.write.partitionBy("tokenizer").parquet(str(tmp_path / "odd"))
+    got = {r.doc_id: r.n_tokens for r in C.count_tokens(docs_of((5, "one text"), (6, "new"), (7, "one text")), path, cache=str(tmp_path / "odd")).collect()}
+    assert got[5] == got[7] > 100 > got[6]
+    C.compact(spark, str(tmp_path / "odd"), str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == 3
+
+
+def test_repeated_rows_fall_into_even_blocks(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    got = P.pack(docs, tokenizers.path("word_bpe_49k.json"), capacity=64, block_pieces=10_000)
+    blocks = got.groupBy(F.shiftright("sequence_id", 32).alias("block")).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins"), F.max("length").alias("length")).collect()
+    assert len(blocks) == 10 and sum(r.n for r in blocks) == 100_000 and max(r.n for r in blocks) < 11_000
+    assert all(r.bins == -(-r.n // (64 // r.length)) for r in blocks)

@@ -5,7 +5,10 @@ and file). Texts are joined to the stored counts; only distinct texts without on
 appended to the cache. Normalisation only makes a null text empty, since anything more would change counts.
 
 Copies are found on digests alone, the text of one row per distinct miss is fetched by id and digest, so no group of
-copies is ever gathered. Ids may be null or repeated. An empty table gives an empty result.
+copies is ever gathered; a digest of many rows is split when counts go back to them. The cache is a folder a tokenizer, and only
+this batch's digests are joined with it. Texts travel once, to be met by their misses. Ids may be null or repeated. An
+empty table gives an empty result; other columns are not looked at. One very long text needs about 40 times its bytes in
+a worker.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import split_join
 from .arrowtext import slices
 from .packing import BYTE_ALPHABET, cut_anywhere, loaded_tokenizer
 
-_CACHE = "content string, tokenizer string, n_tokens long"
+_CACHE = "content string, n_tokens long, tokenizer string"
 
 
 def tokenizer_digest(path: str) -> str:
@@ -90,11 +94,24 @@ def _counter(path: str):
     return count
 
 
-def cached_counts(spark: SparkSession, cache: str) -> DataFrame:
-    """The cache's rows; none if nothing has been stored yet."""
+def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """The cache's counts of one tokenizer, whose folder alone is read; none if nothing has been stored yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(_CACHE).parquet(cache) if there else spark.createDataFrame([], _CACHE)
+    every = spark.read.schema(_CACHE).parquet(cache) if there else spark.createDataFrame([], _CACHE)
+    return every.where(F.col("tokenizer") == version).select("content", "n_tokens")
+
+
+def _stored(batch: DataFrame, cache: str, version: str) -> DataFrame:
+    """(content, k, n_tokens) of the batch's digests that the cache knows; a digest stored twice counts once."""
+    known = cached_counts(batch.sparkSession, cache, version)
+    return batch.join(known, "content").groupBy("content", "k").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def compact(spark: SparkSession, cache: str, to: str) -> None:
+    """Writes the cache anew, each digest once and few files a tokenizer."""
+    every = spark.read.schema(_CACHE).parquet(cache).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+    every.repartition("tokenizer", F.substring("content", 1, 2)).write.mode("overwrite").partitionBy("tokenizer").parquet(to)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str | None = None) -> DataFrame:
@@ -105,12 +122,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str |
     text = F.coalesce("text", F.lit("")).alias("text")
     content = F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")
     keyed = scratch.write(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content), "keyed")
-    known = cached_counts(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
-    misses = keyed.groupBy("content").agg(F.min("doc_id").alias("id")).join(known.select("content"), "content", "left_anti")
+    batch = scratch.write(keyed.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")), "batch")
+    misses = batch.join(cached_counts(spark, cache, version), "content", "left_anti").select(F.col("id").alias("i"), F.col("content").alias("c"), "k")
+    misses = scratch.write(misses, "misses")
     have = docs.select(F.col("doc_id").alias("id"), content, text)
     # rows of one id and text count once; a repeated row is encoded twice at most where it is repeated
-    fetched = have.join(misses.select(F.col("id").alias("i"), F.col("content").alias("c")), F.expr("id <=> i AND content = c"), "left_semi")
+    fetched = have.join(misses, F.expr("id <=> i AND content = c"), "left_semi")
     fresh = scratch.write(fetched.select("content", "text").mapInArrow(_counter(tokenizer), "content string, n_tokens long"), "fresh")
-    fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    stored = cached_counts(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    new = fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", "n_tokens", F.lit(version).alias("tokenizer"))
+    new.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    stored = scratch.write(_stored(batch.select("content", "k"), cache, version), "stored")
+    counted = split_join(keyed, stored, "content", keyed.count())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
