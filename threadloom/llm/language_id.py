@@ -1,17 +1,17 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram of a word (word ends count as a blank) binds
-the permuted vectors of its letters by multiplication; a language prototype bundles (adds) the trigram vectors of
-all its labelled texts; a document's bundle is compared with each prototype by cosine. The dot product of a bundle
-with a prototype is the sum of the dot products of its trigrams, so a worker keeps those per trigram and never
-builds a document's vector; the bundle's norm is its expectation for nearly orthogonal trigram vectors.
+Every letter, by its code point, has a random vector of +1 and -1. A letter trigram of a word (word ends count as a blank)
+binds the permuted vectors of its letters by multiplication; a language prototype bundles (adds) the trigram vectors of
+all its labelled texts; a document's bundle is compared with each prototype by cosine, with the bundle's own norm.
+Prototypes are compared after their common mean is taken out, which removes what all languages share.
 
-Prototypes are compared after their common mean is taken out, which removes what all languages share. Letters
-a-z have vectors of their own; the other letters share 101 vectors by code point.
+Bundles are products of counts and trigram vectors, for GROUP texts at a time. A worker keeps the trigram vectors that it has
+used, HELD of them at most, which is memory only: vectors are made again from their letters when needed. No document sends
+more than its prediction.
 
 Nulls and texts without letters are ``und`` with score 0; rows whose label is null or whose text is null teach
-nothing; an empty training set predicts ``und`` for all. Equal cosines go to the label that sorts first. One
-document at a time must fit in a worker (about 60 bytes a character).
+nothing; an empty training set predicts ``und`` for all. Equal cosines go to the label that sorts first. Repeated rows
+teach as often as they stand. One document at a time must fit in a worker (about 60 bytes a character).
 """
 
 from __future__ import annotations
@@ -19,81 +19,106 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import slices
+from .arrowtext import mix, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
 #: A score that unrelated vectors do not reach: four deviations of their cosine.
 LEAST_SCORE = 4 / DIMENSIONS**0.5
-_LETTERS = 128  # 0: blank, 1-26: a-z, the rest: other letters
-_HELD_LANGUAGES = 4
+GROUP = 64
+HELD = 24_000
+_BLANK = ord(" ")
+_POINT = 21  # bits of a code point
 
 
-def letter_codes() -> np.ndarray:
-    """The letter number of each code point; 0 if it is no letter."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x323B0) if chr(c).isalpha()])
-    table[letters] = 27 + letters % 101
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    table = np.zeros(0x110000, bool)
+    table[[c for c in range(0x323B0) if chr(c).isalpha()]] = True
     return table
 
 
-def trigram_vectors(trigrams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """Bound vectors (+1, -1) of trigram numbers."""
-    memory = np.random.default_rng(seed).integers(0, 2, (_LETTERS, dimensions), np.int8) * 2 - 1
-    first, second = np.roll(memory, 2, 1), np.roll(memory, 1, 1)
-    return first[trigrams >> 14] * second[trigrams >> 7 & 127] * memory[trigrams & 127]
+def letter_vectors(points: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The vectors (+1, -1) of code points, from hashes of the point and each 64 dimensions."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64)
+    bits = mix(mix(points.astype(np.uint64) + np.uint64(seed << 32))[:, None] + words * np.uint64(0x9E3779B97F4A7C15))
+    flags = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, :dimensions]
+    return flags.astype(np.int8) * 2 - 1
 
 
-def trigrams_of(texts: list[str | None], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram numbers of all texts in order, and where each text's begin (with the end)."""
+def trigram_vectors(trigrams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """Bound vectors (+1, -1) of trigrams, each three code points in one number."""
+    mask = (1 << _POINT) - 1
+    points, at = np.unique(np.concatenate([trigrams >> 2 * _POINT, trigrams >> _POINT & mask, trigrams & mask]), return_inverse=True)
+    own, at = letter_vectors(points, dimensions, seed), at.reshape(3, -1)
+    return np.roll(own, 2, 1)[at[0]] * np.roll(own, 1, 1)[at[1]] * own[at[2]]
+
+
+class TrigramMemory:
+    """Trigram vectors that have been used before, as rows of a table that starts anew when it is full."""
+
+    def __init__(self, dimensions: int, seed: int) -> None:
+        self.dimensions, self.seed = dimensions, seed
+        self.known, self.place, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dimensions), np.int8)
+
+    def __call__(self, trigrams: np.ndarray) -> np.ndarray:
+        """The vectors of sorted distinct trigrams."""
+        if len(trigrams) > HELD // 2:
+            return trigram_vectors(trigrams, self.dimensions, self.seed)
+        fresh = np.setdiff1d(trigrams, self.known, assume_unique=True)
+        if len(self.known) + len(fresh) > HELD:
+            self.known, self.place, self.rows, fresh = self.known[:0], self.place[:0], self.rows[:0], trigrams
+        if len(fresh):
+            at = np.arange(len(self.rows), len(self.rows) + len(fresh))
+            self.rows = np.concatenate([self.rows, trigram_vectors(fresh, self.dimensions, self.seed)])
+            known, place = np.concatenate([self.known, fresh]), np.concatenate([self.place, at])
+            order = np.argsort(known)
+            self.known, self.place = known[order], place[order]
+        return self.rows[self.place[np.searchsorted(self.known, trigrams)]]
+
+
+def trigrams_of(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of all texts in order, and where each text's begin (with the end)."""
     lowered = [(t or "").lower() for t in texts]
     whole = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "replace"), np.uint32)
-    letters = codes[whole].astype(np.int64)
-    middle = np.flatnonzero(letters[1:-1]) + 1
-    trigrams = letters[middle - 1] << 14 | letters[middle] << 7 | letters[middle + 1]
+    letter = is_letter[whole]
+    points = np.where(letter, whole, _BLANK).astype(np.int64)
+    middle = np.flatnonzero(letter[1:-1]) + 1
+    trigrams = points[middle - 1] << 2 * _POINT | points[middle] << _POINT | points[middle + 1]
     ends = np.cumsum([0] + [len(t) + 1 for t in lowered])
     return trigrams, np.searchsorted(middle, ends + 1)
 
 
-def bundle(counts: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """The sum of all trigram vectors by their counts."""
-    total = np.zeros(dimensions)
-    seen = np.flatnonzero(counts)
-    for part in np.array_split(seen, max(1, len(seen) // 4096)):
-        total += counts[part].astype(np.float64) @ trigram_vectors(part, dimensions, seed)
+def bundles(trigrams: np.ndarray, owner: np.ndarray, owners: int, memory: TrigramMemory) -> np.ndarray:
+    """(owners, dimensions) sums of the vectors of each owner's trigrams."""
+    seen, at = np.unique(trigrams, return_inverse=True)
+    total = np.zeros((owners, memory.dimensions))
+    for low in range(0, len(seen), 8192):
+        some = seen[low : low + 8192]
+        inside = (at >= low) & (at < low + len(some))
+        counts = np.bincount(owner[inside] * len(some) + at[inside] - low, minlength=owners * len(some)).reshape(owners, len(some))
+        total += counts.astype(np.float32) @ memory(some).astype(np.float32)  # whole numbers, exact below 2**24
     return total
 
 
 def _learner(dimensions: int, seed: int):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = letter_codes(), {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, bundle(c, dimensions, seed)) for lang, c in counts.items()]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-                ["lang", "total"],
-            )
-
+        is_letter, memory, totals = letters(), TrigramMemory(dimensions, seed), {}
         for batch in batches:
             for part, _, _ in slices(batch):
                 langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-                trigrams, first = trigrams_of(part.column(part.schema.get_field_index("text")).to_pylist(), codes)
-                own = np.repeat(pd.factorize(np.array(langs, object))[0], np.diff(first))
-                for k, lang in enumerate(dict.fromkeys(langs)):
-                    if lang not in counts and len(counts) >= _HELD_LANGUAGES:
-                        yield flush()
-                    have = counts.setdefault(lang, np.zeros(1 << 21, np.int64))
-                    have += np.bincount(trigrams[own == k], minlength=1 << 21)
-        if counts:
-            yield flush()
+                trigrams, first = trigrams_of(part.column(part.schema.get_field_index("text")).to_pylist(), is_letter)
+                names = list(dict.fromkeys(langs))
+                of = {n: k for k, n in enumerate(names)}
+                own = np.repeat(np.array([of[x] for x in langs]), np.diff(first))
+                for name, row in zip(names, bundles(trigrams, own, len(names), memory), strict=True):
+                    totals[name] = totals[name] + row if name in totals else row
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.list_(pa.float64()))], ["lang", "total"])
 
     return learn
 
@@ -112,47 +137,56 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 20) -> dict[s
     return {lang: out[lang] for lang in sorted(out)}
 
 
+def cosines(texts: list[str | None], prototypes: np.ndarray, is_letter: np.ndarray, memory: TrigramMemory) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) cosines with the prototypes (unit rows), and which texts have letters."""
+    out, some = np.zeros((len(texts), len(prototypes))), np.zeros(len(texts), bool)
+    for low in range(0, len(texts), GROUP):
+        part = texts[low : low + GROUP]
+        trigrams, first = trigrams_of(part, is_letter)
+        sums = bundles(trigrams, np.repeat(np.arange(len(part)), np.diff(first)), len(part), memory)
+        norm = np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        out[low : low + GROUP], some[low : low + GROUP] = sums @ prototypes.T / norm, np.diff(first) > 0
+    return out, some
+
+
 def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, dropped: tuple[str, ...]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = letter_codes()
-        slot = np.full(1 << 21, -1, np.int32)
-        similar = np.zeros((0, len(names)), np.float32)
+        is_letter, memory = letters(), TrigramMemory(dimensions, seed)
         for batch in batches:
             for part, _, _ in slices(batch):
-                trigrams, first = trigrams_of(part.column(part.schema.get_field_index("text")).to_pylist(), codes)
-                fresh = np.unique(trigrams[slot[trigrams] < 0])
-                slot[fresh] = np.arange(len(similar), len(similar) + len(fresh))
-                blocks = [trigram_vectors(x, dimensions, seed).astype(np.float32) @ prototypes for x in np.array_split(fresh, max(1, len(fresh) // 4096))]
-                similar = np.concatenate([similar, *blocks])
-                where = slot[trigrams]
-                own = np.repeat(np.arange(part.num_rows), np.diff(first))
-                keys, times = np.unique(own << 21 | trigrams, return_counts=True)
-                norm = np.sqrt(dimensions * np.bincount(keys >> 21, times.astype(np.float64) ** 2, part.num_rows))
-                dots = np.stack([np.bincount(own, similar[where, k], part.num_rows) for k in range(len(names))], 1) if names else np.zeros((part.num_rows, 1))
-                best = dots.argmax(1)
-                known = np.diff(first) > 0 if names else np.zeros(part.num_rows, bool)
-                cosine = np.where(known, dots[np.arange(part.num_rows), best] / np.maximum(norm, 1e-9), 0)
-                langs = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                if names:
+                    found, known = cosines(texts, prototypes, is_letter, memory)
+                    best = found.argmax(1)
+                    score = np.where(known, np.clip(found[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
+                    langs = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
+                else:
+                    score, langs = np.zeros(len(texts)), [UNKNOWN] * len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.drop_columns(list(dropped)).columns, pa.array(langs, pa.string()), pa.array(np.clip(cosine, 0.0, 1.0), pa.float64())],
+                    [*part.drop_columns(list(dropped)).columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                     [*[n for n in part.schema.names if n not in dropped], "lang_pred", "score"],
                 )
 
     return predict
 
 
-def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dimensions: int = DIMENSIONS, seed: int = 20, keep_text: bool = False) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (and its text, if asked for), with lang_pred and score (the cosine, 0 at least), from the whole text alone."""
-    names = list(model)
-    raw = np.array([model[n] for n in names], np.float64).reshape(len(names), dimensions)
+def centred(model: dict[str, list[float]], dimensions: int) -> np.ndarray:
+    """The prototypes as unit rows, without their common mean."""
+    raw = np.array([model[n] for n in model], np.float64).reshape(len(model), dimensions)
     raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-    if len(names) > 1:
+    if len(model) > 1:
         raw -= raw.mean(0)
         raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+    return raw
+
+
+def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dimensions: int = DIMENSIONS, seed: int = 20, keep_text: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (and its text, if asked for), with lang_pred and score (the cosine, 0 at least), from the whole text alone."""
+    names = list(model)
     source = docs.select(*keep, "text")
     dropped = () if keep_text else ("text",)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name not in dropped)
-    return source.mapInArrow(_predictor(names, raw.T.astype(np.float32), dimensions, seed, dropped), f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(_predictor(names, centred(model, dimensions), dimensions, seed, dropped), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
