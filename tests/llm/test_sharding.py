@@ -58,3 +58,11 @@ def test_brute_force_greedy(docs_of):
 def test_native_plan(docs_of):
     plan = S.place(S.records(docs_of((1, "a"))), S.build_map(S.slot_sizes(S.records(docs_of((1, "a")))), 2)).agg(F.count("*"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_repeated_rows_do_not_make_one_shard_heavy(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), "id")).alias("text"))
+    got = S.shard(docs, shards=8)
+    loads = [r.b for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 8 and max(loads) < 1.02 * min(loads) and got.count() == 20_000
+    assert got.groupBy("shard").agg((F.max("slot") + 1 - F.countDistinct("slot")).alias("gaps")).where("gaps <> 0").count() == 0

@@ -6,7 +6,10 @@ stay where they are as far as a shard is not over its share, only the surplus mo
 the data, so it is built in one task and broadcast.
 
 Law: ``bytes``. A record's size is its UTF-8 bytes plus 1, a null text has none. Records with the same id and text share a
-slot; ids may be null. An empty table gives an empty result.
+slot, unless there are so many of them that their slot holds over HOT times the mean number of rows: the rows of such
+slots, which only repeated rows make, are dealt over all slots by their place in the table. Ids may be null. Places within a slot
+are one task's work a slot, so for tables beyond some billion rows ``slots`` should be raised with them. Texts are read whole and only
+counted and hashed; other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Window
 from ..scratch import Scratch
 
 SLOTS = 4096
+HOT = 16
 SLACK = 0.01  # of a shard's share, before a rebalance moves slots away
 _OWNERS = "array<struct<slot:int,shard:int>>"
 
@@ -32,6 +36,16 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
+def spread_repeats(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``rows`` (written ones) with the rows of overfull slots dealt over all slots. There are fewer than slots / HOT of these."""
+    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"))  # a row a slot
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") > HOT * F.col("total") / slots) & (F.col("n") > HOT)).select("virtual_slot", F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "virtual_slot", "left")
+    other = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    return marked.withColumn("virtual_slot", F.when(F.col("hot"), other).otherwise(F.col("virtual_slot"))).drop("hot")
+
+
 def slot_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
@@ -102,6 +116,7 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot (its place in the shard), grown_shard, virtual_slot, map_version."""
     scratch = Scratch(docs.sparkSession, "sharding")
     rows = scratch.write(records(docs, slots), "records")
+    rows = scratch.write(spread_repeats(rows, slots), "spread")
     store_map(build_map(slot_sizes(rows), shards), f"{scratch.root}/maps")
     placed = place(rows, stored_map(docs.sparkSession, f"{scratch.root}/maps"))
     return placed.select(
