@@ -170,3 +170,29 @@ def test_verdicts_without_a_rule_differ(spark):
 
     got = queries.op6_path_template_url_filters(spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()
     assert {r.verdict for r in got} == {"allow", "block"} and min(r["count"] for r in got) >= 100
+
+
+def test_odd_figures_and_sources():
+    read = lambda page: [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in media.parse_items(page)]
+    assert read('<figure><figcaption>First</figcaption><img src="a"><img data-src="b" alt="x"></figure>after') == [("image", "a", "First"), ("image", "b", "First"), ("text", "after", None)]
+    assert read('<figure><img src="a"><figcaption>Not closed') == [("image", "a", "Not closed")]
+    assert read('<figure><img src="a"><figcaption>Not closed</figure><p>more') == [("image", "a", "Not closed"), ("text", "more", None)]
+    assert read('<img srcset="s.png 1x, t.png 2x" alt="y">') == [("image", "s.png", "y")]
+    assert read('<picture><source srcset="w.webp 1x, v.webp 2x"><img src="w.png" alt="z"></picture>') == [("image", "w.png", "z")]
+    assert read('<picture><source srcset="w.webp"></picture>') == [("image", "w.webp", None)]
+    assert read('<video src="v"><source src="v2"></video><video><source src="u1"><source src="u2"></video><img src="i">') == [("video", "v", None), ("media", "u1", None), ("image", "i", None)]
+    assert read("<figure><figcaption>Only words</figcaption></figure>") == [("text", "Only words", None)]
+    assert read('<figure><img src="a"><figure><img src="b"><figcaption>B') == [("image", "a", None), ("image", "b", "B")]
+
+
+def test_pages_query_reads_the_pages(spark):
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("the driver's tables are not here")
+    from threadloom.llm import queries
+
+    got = {}
+    for r in queries.pages_interleaved(spark, "/root/testdata/sf0.001").orderBy("page_id", "position").collect():
+        got.setdefault(r.page_id, []).append(r)
+    for r in queries.table(spark, "/root/testdata/sf0.001", "pages").collect():
+        assert [(x.kind, x.text, x.ref) for x in got[r.page_id]] == [(i["kind"], i["text"], i["ref"]) for i in media.parse_items(r.html)]
+        assert [x.position for x in got[r.page_id]] == list(range(len(got[r.page_id])))

@@ -1,12 +1,16 @@
 """Interleaved document sequences: text and media in the order of the page.
 
 HTML is parsed to an ordered array of items, text runs and media references; a reference holds the digest of its
-payload and its caption (the figure's, or else the alternative text). Payloads live once in a store keyed by digest, and a digest
+payload and its caption (the figure's, before or after it, or else the alternative text). A reference is src, or else the first address of
+srcset, data-src or data-srcset; inside a picture, video or audio with a reference of its own, sources are other forms of it and add
+none. A caption or figure that is not closed ends with its figure or the page. Payloads live once in a store keyed by digest, and a digest
 join resolves them while positions and captions stay with the items.
 
 The stored form here is an 8-bit grey PNG whose rows are WIDTH samples. A task stores a digest once; copies in
 other tasks are dropped when features are read back, by digest, combined before the shuffle. Media bytes are never
-shuffled. Null and empty texts are one row of blanks. Malformed HTML is read as far as the parser gets; null HTML has no items.
+shuffled, and a digest that many rows refer to is split. Null and empty texts are one row of blanks; repeated rows keep their rows.
+Malformed HTML is read as far as the parser gets; null HTML has no items; an empty table gives an empty result. Columns to keep
+may have any names but position, caption and digest. One very long text needs about 10 times its bytes in a worker.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import split_join
 from .arrowtext import slices
 
 WIDTH = 192
@@ -32,6 +37,8 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 _REMEMBERED = 200_000
 _HIDDEN = {"script", "style", "template", "noscript"}
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "media"}
+_WRAPPERS = {"picture", "video", "audio"}
+_INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup"}
 
 
 def pad(raw: bytes, width: int = WIDTH) -> bytes:
@@ -82,6 +89,8 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden, self.figure, self.caption = 0, None, None
+        self.said: str | None = None  # the caption of the figure that is open
+        self.wrapped: list[bool] = []  # open pictures, videos and audios, and whether they have a reference
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -93,31 +102,64 @@ class _Items(HTMLParser):
         have = dict(attrs)
         if tag in _HIDDEN:
             self.hidden += 1
-        elif tag in _MEDIA and have.get("src"):
-            self.flush()
-            self.items.append({"position": len(self.items), "kind": _MEDIA[tag], "text": None, "ref": have["src"], "caption": have.get("alt")})
+        elif tag in _MEDIA or tag in _WRAPPERS:
+            self.refer(tag, have)
         elif tag == "figure":
+            self.end_figure()
             self.flush()
             self.figure = len(self.items)
         elif tag == "figcaption" and self.figure is not None:
             self.flush()
             self.caption = []
-        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup"):
+        elif tag not in _INLINE:
+            self.flush()
+
+    def refer(self, tag: str, have: dict) -> None:
+        ref = next((first for name in ("src", "srcset", "data-src", "data-srcset") if (first := address(name, have.get(name)))), None)
+        again = tag in ("source", "img") and bool(self.wrapped) and self.wrapped[-1]
+        if again and tag == "img":  # the image itself stands for its sources
+            self.items[-1].update(kind="image", caption=have.get("alt") or self.items[-1]["caption"], ref=ref or self.items[-1]["ref"])
+        elif ref and not again:
             self.flush()
+            kind = "image" if tag == "source" and self.within == "picture" else _MEDIA.get(tag, "image")
+            self.items.append({"position": len(self.items), "kind": kind, "text": None, "ref": ref, "caption": have.get("alt")})
+            if self.wrapped:
+                self.wrapped[-1] = True
+        if tag in _WRAPPERS:
+            self.wrapped.append(bool(ref))
+            self.within = tag
+
+    within: str | None = None
+
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            self.said = " ".join("".join(self.caption).split())
+            self.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        if self.figure is not None and self.said is not None:
+            held = [item for item in self.items[self.figure :] if item["ref"]]
+            for item in held:
+                item["caption"] = self.said
+            if not held and self.said:  # a caption of nothing is text
+                self.text.append(self.said)
+                self.flush()
+        self.figure = self.said = None
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure :]:
-                if item["ref"]:
-                    item["caption"] = said
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
             self.flush()
-            self.figure = None
-        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup"):
+            self.end_figure()
+        elif tag in _WRAPPERS:
+            if self.wrapped:
+                self.wrapped.pop()
+            self.within = None
+        elif tag not in _INLINE:
             self.flush()
 
     def handle_data(self, data: str) -> None:
@@ -125,11 +167,18 @@ class _Items(HTMLParser):
             (self.text if self.caption is None else self.caption).append(data)
 
 
+def address(name: str, value: str | None) -> str | None:
+    """The address that an attribute gives first."""
+    words = (value or "").split()
+    return (words[0].rstrip(",") if name.endswith("set") else value.strip()) if words else None
+
+
 def parse_items(source: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(source or "")
     parser.close()
     parser.flush()
+    parser.end_figure()
     return parser.items
 
 
@@ -153,10 +202,15 @@ def interleave(pages: DataFrame, keep: list[str], column: str = "html") -> DataF
 
 
 def resolve(sequences: DataFrame, keep: list[str], store: DataFrame) -> DataFrame:
-    """A row per media item whose payload is in ``store`` (digest, ...): columns ``keep``, position, caption, digest and the store's."""
+    """A row per media item whose payload is in ``store`` (digest, ...): columns ``keep``, position, caption, digest and the store's.
+
+    References are written, as those of a digest are counted before they are joined.
+    """
+    scratch = Scratch(sequences.sparkSession, "media-references")
     refs = sequences.select(*keep, F.explode("items").alias("item")).where("item.ref IS NOT NULL")
-    refs = refs.select(*keep, "item.position", "item.caption", F.regexp_replace("item.ref", "^sha256:", "").alias("digest"))
-    return refs.join(store, "digest")
+    refs = scratch.write(refs.select(*keep, "item.position", "item.caption", F.regexp_replace("item.ref", "^sha256:", "").alias("digest")), "references")
+    side = scratch.write(refs.groupBy("digest").agg(F.count("*").alias("k")).join(store, "digest"), "resolved")
+    return split_join(refs, side, "digest", refs.count())
 
 
 def _storer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

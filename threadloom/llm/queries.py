@@ -49,6 +49,12 @@ def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' own HTML as ordered items, one row each (a second query of the seventh operator)."""
+    found = media.interleave(table(spark, sf_dir, "pages"), ["page_id"])
+    return found.select("page_id", F.inline_outer("items"))
+
+
 def op8_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_best_fit_packing,
         op6_path_template_url_filters,
         op7_interleaved_media,
+        pages_interleaved,
         op8_schema_fingerprint_chat,
         op9_benchmark_decontamination,
         op10_language_id,
