@@ -6,13 +6,16 @@ that an item of the partition's largest size may miss: a document that contains
 hold one of these k, so the search loses nothing. Every document looks all its shingles up in the sketches; what it
 hits is verified by exact containment of the item's whole set.
 
-Items are stated queries: they are sent to the workers in blocks of at most BLOCK_SHINGLES shingles, each block
-against all documents, so a broadcast is bounded whatever the number of items. Documents are read once a block and
-never shuffled.
+Items are stated queries: they are sent to the workers in blocks of at most BLOCK_SHINGLES shingles (or one item, if that is
+longer), each block against all documents, so a broadcast is bounded whatever the number of items. The driver holds one
+block at a time; what a block finds is written before the next is made. Documents are read once a block and never
+shuffled.
 
 Words are runs of anything but white space and ASCII punctuation, A-Z in lower case. An item with fewer words than
 a shingle is one shingle, its whole sequence, looked for among the documents' runs of that length. Null and empty
-items and texts match nothing. Repeated items and documents each give their own rows.
+items and texts match nothing. Repeated items and documents each give their own rows. Empty tables give
+empty results; of other columns ``decontaminate`` alone keeps the documents'. One very long text needs about 40 times its bytes in
+a worker.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .arrowtext import WordHasher, Words, runs, slices
 
 SHINGLE = 5
@@ -139,9 +143,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: fl
 
     ``items`` (item_id, text) is streamed through the driver in blocks; ``docs`` (doc_id, text) stays distributed.
     """
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    parts = [texts.mapInArrow(_searcher(block), _OUT) for block in _blocks(items, size, share)]
-    return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], _OUT)
+    texts, scratch = docs.select("doc_id", "text").where("text IS NOT NULL"), Scratch(docs.sparkSession, "leaks")
+    blocks = _blocks(items, size, share)
+    first = next(blocks, None)
+    if first is None:
+        return texts.sparkSession.createDataFrame([], _OUT)
+    found = [texts.mapInArrow(_searcher(first), _OUT)]
+    for k, block in enumerate(blocks):
+        if not k:
+            found = [scratch.write(found[0], "block")]
+        found.append(scratch.write(texts.mapInArrow(_searcher(block), _OUT), f"block{k}"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
@@ -153,6 +165,10 @@ def leaked_documents(docs: DataFrame, items: DataFrame, size: int = SHINGLE, sha
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE) -> DataFrame:
     """The documents without a leak, all columns, filtered where they are read: nothing is shuffled or joined."""
-    for block in _blocks(items, size, share):
-        docs = docs.mapInArrow(_cleaner(block), docs.schema)
-    return docs
+    scratch, clean = Scratch(docs.sparkSession, "clean"), docs
+    for k, block in enumerate(_blocks(items, size, share)):
+        if k:
+            clean = scratch.write(clean, f"after{k}")
+            scratch.drop(f"after{k - 1}")
+        clean = clean.mapInArrow(_cleaner(block), docs.schema)
+    return clean
