@@ -29,6 +29,8 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 #: A score that unrelated vectors do not reach: four deviations of their cosine.
 LEAST_SCORE = 4 / DIMENSIONS**0.5
+#: Texts of fewer letters hold too few trigrams to be told from chance, so a low score says nothing about them.
+LEAST_LETTERS = 64
 GROUP = 64
 HELD = 24_000
 _BLANK = ord(" ")
