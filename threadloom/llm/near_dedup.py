@@ -46,6 +46,7 @@ from .id_filter import bitmap, passes, place
 SHINGLE, PERCENT = 5, 80
 HASHES, CHUNKS, BLOCK = 60, 10, 4000
 LEAST_PLACES, MOST_PLACES, PLACES_EACH = 256, 1 << 15, 4
+COMPARED = 1 << 23  # bytes of bitmaps that are compared at once
 RADIUS = 2 * CHUNKS - 1
 _WIDTH = HASHES // CHUNKS
 
@@ -86,7 +87,9 @@ def folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     """Bitmaps of ``width`` or 2, 4, ... times as many bytes as rows of 64-bit words of ``width`` bytes."""
     out = np.zeros((len(bitmaps), width // 8), np.uint64)
     for k, raw in enumerate(bitmaps):
-        if len(raw) >= width:
+        if len(raw) == width:
+            out[k] = np.frombuffer(raw, np.uint64)
+        else:
             np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width // 8), axis=0, out=out[k])
     return out
 
@@ -96,10 +99,14 @@ def may_be_similar(bitmaps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.nda
     size = np.array([len(b) for b in bitmaps])
     width, good = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
     for w in np.unique(width).tolist():
-        rows, at = folded(bitmaps, w), np.flatnonzero(width == w)
-        x, y = rows[i[at]], rows[j[at]]
-        common = np.minimum(n[i[at]] - np.bitwise_count(x & ~y).sum(1, np.int64), n[j[at]] - np.bitwise_count(y & ~x).sum(1, np.int64))
-        good[at] = 100 * common >= percent * (n[i[at]] + n[j[at]] - common)
+        alike, step = np.flatnonzero(width == w), COMPARED // w
+        for low in range(0, len(alike), step):
+            at = alike[low : low + step]
+            some, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            rows = folded([bitmaps[k] for k in some.tolist()], w)
+            x, y = rows[place[: len(at)]], rows[place[len(at) :]]
+            common = np.minimum(n[i[at]] - np.bitwise_count(x & ~y).sum(1, np.int64), n[j[at]] - np.bitwise_count(y & ~x).sum(1, np.int64))
+            good[at] = 100 * common >= percent * (n[i[at]] + n[j[at]] - common)
     return good
 
 
