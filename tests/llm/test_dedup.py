@@ -106,6 +106,17 @@ def test_bitmaps_refute_no_similar_pair():
             assert ok or 100 * common < 85 * (len(sets[a]) + len(sets[b]) - common)
 
 
+def test_bitmaps_compared_in_pieces_give_the_same(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:n][rng.random(n) > 0.1], base[:1]])) for n in rng.integers(1, 9000, 30)]
+    bitmaps, sizes = [N.occupancy(s) for s in sets], np.array([len(s) for s in sets])
+    i, j = np.triu_indices(30, 1)
+    whole = N.may_be_similar(bitmaps, sizes, i, j, 80)
+    monkeypatch.setattr(N, "COMPARED", N.MOST_PLACES // 4)
+    assert 0 < whole.sum() < len(i) and (N.may_be_similar(bitmaps, sizes, i, j, 80) == whole).all()
+
+
 def test_one_id_with_two_texts(docs_of):
     same, other = "a b c d e f g", "q r s t u v w x"
     got = N.near_duplicates(docs_of((1, same), (2, same), (2, other), (None, same)), 3, 85).collect()
