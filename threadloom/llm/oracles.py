@@ -1,7 +1,7 @@
 """DuckDB SQL of those queries that SQL can express.
 
-Not among them: op1 and op7 need CRC-32 and Spark's hash, op4 and op5 a tokenizer, op10 trained vectors; tests hold these
-against plain code.
+Not among them: op1 and op7 need CRC-32 and Spark's hash, op4 and op5 a tokenizer, op10 trained vectors, op11 trained
+dictionaries; tests hold these against plain code.
 """
 
 from __future__ import annotations
@@ -103,10 +103,50 @@ def url_filter_sql() -> str:
     )
 
 
+_TOKEN = r"'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'"
+_DRAW = "CAST('0x' || substr(h, {0}, 8) AS BIGINT)"
+FILL_IN_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(text, {_TOKEN}) AS ts FROM d),
+c AS (SELECT *, len(ts) AS n, {_DRAW.format(1)} % (len(ts) + 1) AS x, {_DRAW.format(9)} % (len(ts) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_DRAW.format(17)} % 100 >= 50 THEN 'plain'
+        WHEN {_DRAW.format(25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(list_slice(ts, 1, least(x, y)), '') AS prefix, array_to_string(list_slice(ts, least(x, y) + 1, greatest(x, y)), '') AS middle,
+    array_to_string(list_slice(ts, greatest(x, y) + 1, n), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def clustering_sql() -> str:
+    """Lloyd's rounds over (id, position, value) rows; ``d`` tells rows of one id apart."""
+    parts = [
+        "r AS (SELECT row_number() OVER () AS d, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "v AS (SELECT d, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM r)",
+        "x AS (SELECT d, unnest(range(64)) AS i, unnest(v) AS a FROM v)",
+        "s0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM v QUALIFY c < 16)",
+        "c0 AS (SELECT c, unnest(range(64)) AS i, unnest(v) AS a FROM s0)",
+    ]
+    for k in range(4):
+        parts.append(f"a{k} AS (SELECT d, min(struct_pack(far, c)) AS near FROM (SELECT d, c, CAST(sum((x.a - c{k}.a) * (x.a - c{k}.a)) AS BIGINT) AS far FROM x JOIN c{k} USING (i) GROUP BY d, c) GROUP BY d)")
+        if k < 3:
+            parts.append(f"m{k} AS (SELECT near.c AS c, i, CAST(sum(a) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (d) GROUP BY ALL)")
+            parts.append(f"c{k + 1} AS (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, a) AS a FROM c{k} LEFT JOIN m{k} USING (c, i))")
+    parts.append("h AS (SELECT c, sha256(string_agg(CAST(a AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)")
+    return (
+        "WITH " + ",\n".join(parts) + """ SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.far AS distance, CAST(sum(near.far) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(near.far) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 JOIN v USING (d) JOIN h ON h.c = near.c"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_fm_index_substring_dedup": SUBSTRING_DEDUP,
     "op6_path_template_url_filters": url_filter_sql(),
     "op8_schema_fingerprint_chat": CHAT,
     "op9_benchmark_decontamination": DECONTAMINATION,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_annulus_clustering": clustering_sql(),
 }

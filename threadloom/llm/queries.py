@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, media, near_dedup, packing, sharding, substring_dedup, token_counts, url_filters
+from . import annulus, chat, decontaminate, fill_in_middle, language_id, media, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, url_filters
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -70,6 +70,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_annulus_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_schema_fingerprint_chat,
         op9_benchmark_decontamination,
         op10_language_id,
+        op11_compression_toxicity,
+        op12_fill_in_middle,
+        op13_annulus_clustering,
     )
 }
 
