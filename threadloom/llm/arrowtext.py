@@ -11,10 +11,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
-_BASE = 0x9E3779B97F4A7C15 | 1
+LONG_WORD = 512
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(NamedTuple):
@@ -66,26 +68,40 @@ def separators(extra: bytes = b"") -> np.ndarray:
     return table
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def word_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its lanes of eight bytes are mixed into a state one after the other.
+
+    The state goes through a non-linear permutation after every lane, so words of up to eight bytes never collide, and no pair of
+    longer ones does by construction, as pairs do under a sum of powers. Words of over LONG_WORD bytes are hashed one by one.
+    """
+    padded = np.concatenate([letters, np.zeros(8, np.uint8)])
+    length = ends - starts
+    out = length.astype(np.uint64) * _ODD
+    live = np.flatnonzero(length <= LONG_WORD)
+    spread = np.arange(8)
+    for lane in range(0, LONG_WORD, 8):
+        live = live[length[live] > lane]
+        for low in range(0, len(live), 1 << 16):
+            some = live[low : low + (1 << 16)]
+            at = starts[some] + lane
+            bytes_ = padded[at[:, None] + spread]
+            bytes_[spread >= (length[some] - lane)[:, None]] = 0
+            out[some] = mix(out[some] ^ bytes_.view(np.uint64)[:, 0]) * _ODD
+        if not len(live):
+            break
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(letters[starts[k] : ends[k]].tobytes())
+    return mix(out)
 
 
 class WordHasher:
-    """Splits texts into words and hashes each to 64 bits (a polynomial modulo 2**64, then mixed)."""
+    """Splits texts into words and hashes each to 64 bits."""
 
     def __init__(self, lower: bool, extra_separators: bytes = b"") -> None:
         self.lower = lower_ascii() if lower else None
         self.separator = separators(extra_separators)
-        self.powers = powers(1)
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> Words:
-        n = len(data)
-        if len(self.powers[0]) < n + 1:
-            self.powers = powers(max(n + 1, SLICE_BYTES + 1))
-        up, down = self.powers
         inside = ~self.separator[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -95,24 +111,35 @@ class WordHasher:
         edge = bounds[1:][np.diff(bounds) > 0] - 1
         stops[edge] = inside[edge]
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        total = np.zeros(n + 1, np.uint64)
-        letters = data if self.lower is None else self.lower[data]
-        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+        hashes = word_hashes(data if self.lower is None else self.lower[data], starts, ends)
         return Words(data, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers without a pattern, one a place in a run."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` consecutive words (runs may cross texts; callers cut by text)."""
     if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    odd = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    odd = multipliers(size)
     out = np.zeros(len(hashes) - size + 1, np.uint64)
     for i in range(size):
         out += hashes[i : i + len(out)] * odd[i]
     return mix(out)
 
 
+def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words from ``start`` to ``end`` of each span; spans are short."""
+    out, length = (end - start).astype(np.uint64), end - start
+    for i, odd in enumerate(multipliers(int(length.max(initial=0)))):
+        live = np.flatnonzero(length > i)
+        out[live] += hashes[start[live] + i] * odd
+    return mix(out)
+
+
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
     """Of each text, its sorted distinct run hashes; the whole sequence as one if it is shorter; empty without words."""
     whole = runs(words.hashes, size)

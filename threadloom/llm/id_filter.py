@@ -8,7 +8,10 @@ rows are then shuffled for the join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,22 @@ def bitmap(ids: DataFrame, id_: str) -> np.ndarray:
 def passes(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
     at = at & (8 * len(filter_) - 1)
     return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+_PLACE = "__place"
+
+
+def _passer(filter_: np.ndarray, id_: str, wanted: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(batch.schema.get_field_index(id_)).is_valid().to_numpy(zero_copy_only=False)
+            good = passes(filter_, np.asarray(batch.column(batch.num_columns - 1))) & known
+            yield batch.filter(pa.array(good if wanted else ~good)).select(list(range(batch.num_columns - 1)))
+
+    return rows
+
+
+def divided(rows: DataFrame, ids: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``id_`` may be among those of ``ids``, and those whose isn't; null ids are among the second."""
+    filter_, marked = bitmap(ids, id_), rows.withColumn(_PLACE, place(id_))
+    return marked.mapInArrow(_passer(filter_, id_, True), rows.schema), marked.mapInArrow(_passer(filter_, id_, False), rows.schema)

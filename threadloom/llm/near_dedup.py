@@ -41,7 +41,7 @@ from ..operators.components import components
 from ..scratch import Scratch
 from ..skew import split_join
 from .arrowtext import WordHasher, mix, shingle_sets, slices
-from .id_filter import bitmap, passes, place
+from .id_filter import bitmap, divided, passes, place
 
 SHINGLE, PERCENT = 5, 80
 HASHES, CHUNKS, BLOCK = 60, 10, 4000
@@ -284,7 +284,8 @@ class _Links:
         mixed = self.scratch.write(mixed.where("c > 1").select("key", "major", "k", F.col("k").alias("members")), "mixed")
         live = self.scratch.write(split_join(placed, mixed, "key", total), "live")
         held = live.select("id").distinct().join(self.classes.select("id", "digest", "signature"), "id")
-        held = held.join(self.signed.select(F.col("doc_id").alias("id"), "digest", "places"), ["id", "digest"]).groupBy("id", "signature").agg(F.first("places").alias("places"))
+        places = self.signed.groupBy(F.col("doc_id").alias("id"), "digest").agg(F.first("places").alias("places"))
+        held = held.join(places, ["id", "digest"]).select("id", "signature", "places")
         # a member meets each block of its bucket in the group of its own block and that one
         live = live.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(held, "id")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -296,7 +297,8 @@ class _Links:
     def near(self, pairs: DataFrame, table: str) -> DataFrame:
         """The pairs (a, b) whose set sizes allow the similarity and whose signatures are close, with the distance."""
         of = lambda x: self.classes.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").where(self.alike("na", "nb"))
+        often = self.scratch.write(pairs.groupBy("a").agg(F.count("*").alias("k")).join(of("a"), "a"), f"{table}-least")  # one id may be the least of many buckets
+        both = split_join(pairs, often, "a", pairs.count()).join(of("b"), "b").where(self.alike("na", "nb"))
         return self.scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(_closeness(self.percent), "a long, b long, distance int"), table)
 
     def sets(self, pairs: DataFrame, table: str) -> DataFrame:
@@ -304,7 +306,8 @@ class _Links:
         ends = self.ends(pairs)
         texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
         found = texts.mapInArrow(_setter(self.size, bitmap(ends, "id")), "id long, digest binary, shingles binary")
-        return self.scratch.write(found.join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "shingles"), table)
+        once = found.groupBy("id", "digest").agg(F.first("shingles").alias("shingles"))  # of repeated rows
+        return self.scratch.write(once.join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "shingles"), table)
 
     def ends(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
@@ -329,9 +332,10 @@ def link_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: i
     """(id, component) of the classes (id, digest, signature, n) that some other class is similar to."""
     run = _Links(docs, signed, classes, size, percent, scratch)
     keys = classes.select("id", "signature").mapInArrow(_index, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    members = scratch.write(keys.join(shared, "key"), "members")
-    near = run.near(members.select(F.col("low").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "near")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("k")).where("low < high")
+    shared = scratch.write(shared.select("key", "low", "k"), "shared")
+    members = scratch.write(split_join(keys, shared, "key", HASHES * classes.count()), "members")
+    near = run.near(scratch.write(members.select(F.col("low").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "low-pairs"), "near")
     sets = run.sets(near, "sets")
 
     ends = near.select(F.col("a").alias("u"), F.struct("distance", F.col("b").alias("v")).alias("best")).union(
@@ -379,7 +383,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group of near-duplicates (that of the least doc_id), all columns.
 
-    Rows are told apart by id and text, so a text that only shares its id with a copy stays.
+    Rows are told apart by id and text, so a text that only shares its id with a copy stays. Only texts whose id may belong to a
+    dropped one are shuffled.
     """
     gone = _reported(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti").select(docs.columns)
+    gone = Scratch(docs.sparkSession, "near-dedup-gone").write(gone, "gone")
+    some, none = divided(docs, gone.select(F.col("__id").alias("doc_id")), "doc_id")
+    kept = some.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    return kept.select(docs.columns).unionByName(none)

@@ -18,8 +18,9 @@ doc_id. All windows are judged on the input.
    several shards by hash. Each shard then also hands out, once per window, the smallest document it knows; the
    minimum over shards, combined before the shuffle, settles those windows.
 
-Joins split anchors and contexts that hold a large share of all rows. Words are hashed to 64 bits; windows agree if five
-hashes of ten words each do, contexts within one anchor by a hash of all words, windows of hot anchors by 128 bits. Null, empty
+Joins split anchors and contexts that hold a large share of all rows. Words are hashed to 64 bits (arrowtext: no pair of words collides by
+construction); windows agree if five hashes of ten words each do, contexts within one anchor by a hash of all words, windows of hot
+anchors by 128 bits. Rows of one id and text are one document before anything is collected or joined. Texts that lose nothing are never shuffled. Null, empty
 and short texts have no windows. Rows without a doc_id neither lose words nor take them from others. Rows of one doc_id take
 nothing from each other and are judged by their own texts. One very long text needs about 60 times its bytes in a worker.
 """
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ..skew import split_join
-from .arrowtext import WordHasher, mix, powers, runs, slices
+from .arrowtext import WordHasher, mix, runs, slices, spans
 from .fm_index import FMIndex
-from .id_filter import bitmap, passes, place
+from .id_filter import divided
 
 WINDOW = 50
 ANCHOR = 6
@@ -59,16 +60,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, (up, down) = WordHasher(False), powers(1 << 20)
+    hasher = WordHasher(False)
     for batch in batches:
         for part, data, bounds in slices(batch):
             words = hasher(data, bounds)
             n = len(words.hashes) - WINDOW + 1
             if n < 1:
                 continue
-            if len(words.hashes) >= len(up):
-                up, down = powers(len(words.hashes) + 1)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes * up[: len(words.hashes)], dtype=np.uint64)])
             anchors = sliding_least(runs(words.hashes, ANCHOR), WINDOW - ANCHOR + 1)
             owner = np.repeat(np.arange(part.num_rows), np.diff(words.first))
             at = np.arange(n)
@@ -78,8 +76,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins[1:] &= (anchors[1:] != anchors[:-1]) | (place[1:] % CONTEXT == 0)
             start = np.flatnonzero(begins)
             stop = np.minimum(np.append(start[1:], n), words.first[owner[start] + 1] - WINDOW + 1)
-            end = stop + WINDOW - 1
-            whole = mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(np.uint64))
+            whole = spans(words.hashes, start, stop + WINDOW - 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchors[start].view(np.int64)), pa.array(whole.view(np.int64)),
@@ -90,15 +87,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _picker(wanted: np.ndarray):
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The (doc_id, row, text) of (doc_id, row, text, place) rows that pass the filter."""
-        for batch in batches:
-            yield batch.filter(pa.array(passes(wanted, np.asarray(batch.column(3))))).select([0, 1, 2])
-
-    return pick
-
-
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each context asked for, the hashes of its runs of STRIDE words."""
     hasher, tail = WordHasher(False), WINDOW - STRIDE
@@ -183,7 +171,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     every = scratch.write(texts.mapInArrow(_contexts, "anchor long, context long, doc_id long, row long, start int, n int"), "contexts")
     ends = [F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("k")]
     spread = scratch.write(every.groupBy("anchor").agg(*ends).where("x < y").select("anchor", "k"), "spread")
-    shared = scratch.write(split_join(every, spread, "anchor", every.count(), how="left_semi"), "shared")
+    # rows of one id and text have the same contexts, which count once from here on
+    shared = scratch.write(split_join(every, spread, "anchor", every.count(), how="left_semi").distinct(), "shared")
     scratch.drop("contexts")
     least = scratch.write(shared.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "least")
     placed = scratch.write(split_join(shared, least, ["anchor", "context"], shared.count()), "placed")
@@ -199,7 +188,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shard = F.pmod(F.xxhash64("anchor", salt), F.lit(shards))
     ask = F.struct(shard.alias("shard"), (F.col("members") > SHARD).alias("open"), "start", "n")
     asked = wanted.groupBy("doc_id", "row").agg(F.collect_list(ask).alias("asked"))  # as long as the document
-    some = texts.withColumn("place", place("doc_id")).select("doc_id", "row", "text", "place").mapInArrow(_picker(bitmap(wanted, "doc_id")), "doc_id long, row long, text string")
+    some = divided(texts.select("doc_id", "row", "text"), wanted, "doc_id")[0].groupBy("doc_id", "row").agg(F.first("text").alias("text"))
     once = some.join(asked, ["doc_id", "row"])
     symbols = once.mapInArrow(_symbols, "shard long, open boolean, doc_id long, row long, start int, n int, symbols binary")
     found = scratch.write(symbols.groupBy("shard").applyInPandas(search_shard, "doc_id long, row long, start int, n int, window long, check long"), "found")
@@ -257,16 +246,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "text", "n_removed", "emptied"])
 
 
-def _with_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    spans = repeats(docs, scratch).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias(_SPANS))
+def _with_repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the repeats of each row, in two parts: those that may lose words, and those that don't, whose texts aren't shuffled."""
+    found = repeats(docs, scratch).distinct()
+    spans_ = found.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias(_SPANS))
+    spans_ = scratch.write(spans_, "spans")
+    some, none = divided(docs, spans_.select(F.col("__id").alias("doc_id")), "doc_id")
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__row"))
-    return docs.join(spans, same, "left").drop("__id", "__row")
+    return some.join(spans_, same, "left").drop("__id", "__row"), none.withColumn(_SPANS, F.lit(None).cast(spans_.schema[_SPANS].dataType))
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    return _with_repeats(docs.select("doc_id", "text"), scratch).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    some, none = _with_repeats(docs.select("doc_id", "text"), scratch)
+    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return some.mapInArrow(_digests, fields).unionByName(none.mapInArrow(_digests, fields))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -274,5 +269,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     others = [c for c in docs.columns if c not in ("text", "n_removed", "emptied")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    cut = _with_repeats(docs.select(*others, "text"), scratch).select(*others, "text", _SPANS)
-    return cut.mapInArrow(_texts, f"{fields}, text string, n_removed long, emptied boolean")
+    some, none = _with_repeats(docs.select(*others, "text"), scratch)
+    cut = some.select(*others, "text", _SPANS).mapInArrow(_texts, f"{fields}, text string, n_removed long, emptied boolean")
+    return cut.unionByName(none.select(*others, "text").withColumns({"n_removed": F.lit(0).cast("long"), "emptied": F.lit(False)}))

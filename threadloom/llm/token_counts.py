@@ -4,9 +4,10 @@ Stored counts are keyed by two digests: SHA-256 of the normalised content, and S
 and file). Texts are joined to the stored counts; only distinct texts without one are encoded, and their counts are
 appended to the cache. Normalisation only makes a null text empty, since anything more would change counts.
 
-Copies are found on digests alone, the text of one row per distinct miss is fetched by id and digest, so no group of
-copies is ever gathered; a digest of many rows is split when counts go back to them. The cache is a folder a tokenizer, and only
-this batch's digests are joined with it. Texts travel once, to be met by their misses. Ids may be null or repeated. An
+Copies are found on digests alone. Of each distinct miss one text is fetched, by its least id and digest; rows of one id and
+text are combined where they are read, so each miss is encoded once and no group of copies is gathered; a digest of many rows is split
+when counts go back to them. The cache is a folder a tokenizer, and only this batch's digests are joined with it. A filter on ids leaves out
+what has no miss where it is read; the other texts travel once. Ids may be null or repeated. An
 empty table gives an empty result; other columns are not looked at. One very long text needs about 40 times its bytes in
 a worker.
 """
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from ..skew import split_join
 from .arrowtext import slices
+from .id_filter import divided
 from .packing import BYTE_ALPHABET, cut_anywhere, loaded_tokenizer
 
 _CACHE = "content string, n_tokens long, tokenizer string"
@@ -125,9 +127,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, cache: str |
     batch = scratch.write(keyed.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")), "batch")
     misses = batch.join(cached_counts(spark, cache, version), "content", "left_anti").select(F.col("id").alias("i"), F.col("content").alias("c"), "k")
     misses = scratch.write(misses, "misses")
-    have = docs.select(F.col("doc_id").alias("id"), content, text)
-    # rows of one id and text count once; a repeated row is encoded twice at most where it is repeated
-    fetched = have.join(misses, F.expr("id <=> i AND content = c"), "left_semi")
+    # null ids are all in the second part; the first holds only texts whose id may be a miss's
+    some, none = divided(docs.select("doc_id", "text"), misses.select(F.col("i").alias("doc_id")), "doc_id")
+    have = some.unionByName(none.where("doc_id IS NULL")).select(F.coalesce("doc_id", F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), content, text)
+    once = have.groupBy("a", "b", "content").agg(F.first("text").alias("text"))  # repeated rows are combined before the shuffle, which the join shares
+    wanted = misses.select(F.coalesce("i", F.lit(0)).alias("a"), F.col("i").isNull().alias("b"), F.col("c").alias("content"))
+    fetched = once.join(wanted, ["a", "b", "content"], "left_semi")
     fresh = scratch.write(fetched.select("content", "text").mapInArrow(_counter(tokenizer), "content string, n_tokens long"), "fresh")
     new = fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", "n_tokens", F.lit(version).alias("tokenizer"))
     new.write.mode("append").partitionBy("tokenizer").parquet(cache)
