@@ -68,8 +68,23 @@ def test_preprocess(spark):
     assert {r.tweet_id: r.text_cleaned for r in again.collect()} == {k: r.text_cleaned for k, r in got.items()}
 
 
-def test_normalisation():
-    assert X.normalize_token("@someone", {}, {}) == "@USER" and X.normalize_token("https://x.y", {}, {}) == "HTTPURL" and X.normalize_token("can't", {}, X.CONTRACTIONS) == "cannot"
+CASES = [
+    ("@someone says can't", "@USER says cannot"), ("see https://x.y/z?q=1, now", "see HTTPURL now"), ("mail a.b@c.org at 10:30 or 1,000.5%", "mail a.b@c.org at 10:30 or 1,000.5%"),
+    ("well :-) <3 ;P --> <- <b>x</b>", "well :-) <3 ;P --> <- <b> x </b>"), ("#Tag's it . . . fine!!", "#Tag ' s it . . . fine ! !"), ("mother-in-law isn’t… here", "mother-in-law is not ... here"),
+    ("😂 👍🏽 🇩🇪🇫🇷 👨‍👩‍👧", ":face_with_tears_of_joy: 👍🏽 🇩🇪 🇫🇷 👨‍👩‍👧"), ("at 8 p . m . ok", "at 8 p.m. ok"), ("ünï_cødé x2 +3.5", "ünï_cødé x2 +3.5"), ("", ""), (None, None), ("@ alone", "@ alone"),
+]
+
+
+def test_normalisation(spark):
+    from threadloom.functions import tokens
+
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string")
+    got = {r.id: r.n for r in rows.select("id", tokens.normalize_tweet(F.col("text")).alias("n")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(CASES)}
+    words = spark.createDataFrame([("SEE", "look"), ("see", "watch"), ("now", "then"), (None, "x"), ("fine", None), ("😂", ":joy:")] + [(f"w{i}", f"m{i}") for i in range(300)], "token string, meaning string")
+    want = {i: None if w is None else w.replace("see ", "look ").replace(" now", " then").replace(":face_with_tears_of_joy:", ":joy:") for i, (_, w) in enumerate(CASES)}
+    for most in (1000, 10):  # sent to all tasks, or joined
+        assert {r.id: r.normal for r in tokens.normalize_tweets(rows, words, "id", most=most).collect()} == want
 
 
 def test_stream(spark, tmp_path):

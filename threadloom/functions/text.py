@@ -1,16 +1,13 @@
-"""Cleaning and describing short texts. Native Column expressions except for entities and token normalisation."""
+"""Cleaning and describing short texts. Native Column expressions."""
 
 from __future__ import annotations
 
-import html
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..skew import let
+from .entities import decode_entities
+from .tokens import EMOJI_SEQUENCE
 from .urls import URL_PATTERN, analyze_urls, remove_urls
 
 # Fixed values.
@@ -26,20 +23,6 @@ DISCOURSE_MARKERS = (
 )
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
-
-
-# Marked so that the optimiser neither repeats it nor nests it in other expressions.
-_unescape = _unescape.asNondeterministic()
-
-
-def decode_entities(text: Column) -> Column:
-    """All HTML5 entities decoded once. Only texts with an ampersand travel to Python."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
-
-
 def clean_whitespace(text: Column) -> Column:
     """Runs of any Unicode white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -148,57 +131,16 @@ def discourse_markers(text: Column) -> Column:
 
 
 def text_information(text: Column) -> list[Column]:
-    """Counts that describe a text: weighted length (wide characters count twice), URLs, emoji, tags, mentions, markers."""
+    """Counts that describe a text: weighted length, URLs, emoji, tags, mentions, markers.
+
+    In the weighted length a URL counts 23, a wide character twice, and an emoji sequence (joined, with a skin tone or a
+    variation, a flag, a keycap) like one wide character.
+    """
     urls = F.regexp_count(text, F.lit(URL_PATTERN))
-    plain = F.regexp_replace(text, URL_PATTERN, "")
+    plain = F.regexp_replace(F.regexp_replace(text, URL_PATTERN, ""), EMOJI_SEQUENCE, "\u4e00")
     wide = F.regexp_count(plain, F.lit(r"[^\x{0}-\x{10FF}\x{2000}-\x{200D}\x{2010}-\x{201F}\x{2032}-\x{2037}]"))
     return [
         (F.length(plain) + wide + 23 * urls).alias("weighted_length"), urls.alias("url_count"),
         F.regexp_count(text, F.lit(EMOJI_PATTERN)).alias("emoji_count"), count_char(text, "#").alias("hashtags"),
         count_char(text, "@").alias("mentions"), F.size(discourse_markers(text)).alias("markers"),
     ]
-
-
-# A documented subset: full emoji and contraction dictionaries belong to libraries that are not at hand.
-EMOJI_NAMES = {"😂": ":face_with_tears_of_joy:", "😀": ":grinning_face:", "❤": ":red_heart:", "👍": ":thumbs_up:", "🔥": ":fire:"}
-CONTRACTIONS = {"can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am"}
-# Fixed values, applied in this order.
-SPACING = (
-    ("cannot ", "can not "), ("n't ", " n't "), ("n 't ", " n't "), ("ca n't", "can't"), ("ai n't", "ain't"),
-    ("'m ", " 'm "), ("'re ", " 're "), ("'s ", " 's "), ("'ll ", " 'll "), ("'d ", " 'd "), ("'ve ", " 've "),
-    (" p . m .", "  p.m."), (" p . m ", " p.m "), (" a . m .", " a.m."), (" a . m ", " a.m "),
-)
-_TOKEN = re.compile(r"https?://\S+|www\.\S+|@\w+|#\w+|\w+(?:['-]\w+)*|\.\.\.|[^\w\s]")
-
-
-def normalize_token(token: str, emoji: dict[str, str], contractions: dict[str, str]) -> str:
-    """Mentions to @USER, links to HTTPURL, known emoji to names, known contractions apart."""
-    low = token.lower()
-    if token.startswith("@"):
-        return "@USER"
-    if low.startswith(("http", "www")):
-        return "HTTPURL"
-    if len(token) == 1:
-        return emoji.get(token, token)
-    short = next((s for s in contractions if low.endswith(s)), "")
-    return token[: len(token) - len(short)] + contractions[short] if short else token
-
-
-def normalize_tweet(text: Column, emoji: dict[str, str] | None = None, contractions: dict[str, str] | None = None) -> Column:
-    """Tokens normalised one by one, joined by blanks, with the fixed spacing of clitics and times of day.
-
-    Whoever has full dictionaries of emoji names and contractions hands them in; the defaults are small ones.
-    """
-    names, short = emoji or EMOJI_NAMES, contractions or CONTRACTIONS
-
-    def one(raw: str) -> str:
-        out = " ".join(normalize_token(t, names, short) for t in _TOKEN.findall(raw.replace("’", "'").replace("…", "...")))
-        for old, new in SPACING:
-            out = out.replace(old, new)
-        return " ".join(out.split())
-
-    @F.pandas_udf(StringType())
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
-
-    return normal(text)

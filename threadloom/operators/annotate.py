@@ -71,12 +71,16 @@ def inference_stats(responses: DataFrame, chars_per_token: int = 4) -> DataFrame
     )
 
 
+def checked(answers: DataFrame, strict: bool = False) -> DataFrame:
+    """Answers with their validation; those that the model failed to give are invalid."""
+    good = validate(answers.where("ok").select("tweet_id", "text", "response"), strict)
+    lost = answers.where("NOT ok").select("tweet_id", "text", "response")
+    return good.unionByName(lost.withColumns({"is_valid": F.lit(False), "error": F.lit("inference_failed")}), allowMissingColumns=True)
+
+
 def run(tweets: DataFrame, make_backend: Callable[[], Backend], strict: bool = False, **settings) -> DataFrame:
     """Prompts, answers, validation. Answers are written before they branch, so no later step calls the model again."""
-    answered = Scratch(tweets.sparkSession, "annotate").write(annotate(build_prompts(tweets), make_backend, **settings), "responses")
-    checked = validate(answered.where("ok").select("tweet_id", "text", "response"), strict)
-    lost = answered.where("NOT ok").select("tweet_id", "text", "response")
-    return checked.unionByName(lost.withColumns({"is_valid": F.lit(False), "error": F.lit("inference_failed")}), allowMissingColumns=True)
+    return checked(Scratch(tweets.sparkSession, "annotate").write(annotate(build_prompts(tweets), make_backend, **settings), "responses"), strict)
 
 
 def one_answer(backend: Backend, prompt: str) -> tuple[str, bool]:

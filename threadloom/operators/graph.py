@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..scratch import Scratch
+from ..skew import PARTS, hot_join, hot_keys
 from .components import components
 
 BLOCK = 4096
 RANGE_ROWS = 1_000_000
-MOST_PIVOTS = 1024
+FAN, DEPTH = 64, 5
+WEDGE_BLOCK = 1000
 
 
 def _to_ends(links: DataFrame, ends: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -24,13 +26,14 @@ def _to_ends(links: DataFrame, ends: DataFrame, scratch: Scratch, tag: str) -> D
     """
     stop = ends.select(F.col("id").alias("end"), F.lit(True).alias("stop"))
     state = links.select("id", F.col("parent").alias("end"), F.lit(1).cast("long").alias("steps"))
-    state = state.join(stop, "end", "left").select("id", "end", "steps", F.coalesce("stop", F.lit(False)).alias("done"))
+    state = hot_join(state, stop, "end", hot_keys(state, "end"), "left").select("id", "end", "steps", F.coalesce("stop", F.lit(False)).alias("done"))
     state = scratch.write(state, f"{tag}0")
     open_, reach, round_ = state.where("NOT done").count(), 1, 0
     longest = open_ + 1
     while open_ and reach <= 2 * longest:
         over = state.select(F.col("id").alias("end"), F.col("end").alias("e2"), F.col("steps").alias("s2"), F.col("done").alias("d2"))
-        jump = state.where("NOT done").join(over, "end", "left")
+        going = state.where("NOT done")
+        jump = hot_join(going, over, "end", hot_keys(going, "end", open_), "left")
         jump = jump.select("id", F.coalesce("e2", "end").alias("end"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.coalesce("d2", F.lit(True)).alias("done"))
         state = scratch.write(state.where("done").unionByName(jump), f"{tag}{round_ + 1}")
         scratch.drop(f"{tag}{round_}")
@@ -47,7 +50,8 @@ def reply_depth(tweets: DataFrame) -> DataFrame:
     """
     scratch = Scratch(tweets.sparkSession, "reply-depth")
     ids = tweets.select(F.col("tweet_id").alias("parent_id"), F.lit(True).alias("known"))
-    base = tweets.select("tweet_id", "conversation_id", "parent_id").join(ids, "parent_id", "left")
+    rows = tweets.select("tweet_id", "conversation_id", "parent_id")
+    base = hot_join(rows, ids, "parent_id", hot_keys(rows, "parent_id"), "left")  # roots, which have no parent, stay where they are
     depth = F.when(F.col("tweet_id").eqNullSafe(F.col("conversation_id")), 0).when(
         F.col("known").isNull() | F.col("parent_id").eqNullSafe(F.col("conversation_id")), 1
     )
@@ -104,29 +108,29 @@ def _both_ways(edges: DataFrame, kind: str) -> DataFrame:
 def reply_edges(tweets: DataFrame) -> DataFrame:
     """Edges in both directions between a tweet and its parent, where the parent is another one of the tweets."""
     child = tweets.where(F.col("parent_id") != F.col("tweet_id")).select(F.col("parent_id").alias("src"), F.col("tweet_id").alias("dst"))
-    return _both_ways(child.join(tweets.select(F.col("tweet_id").alias("src")), "src", "left_semi"), "reply")
+    return _both_ways(hot_join(child, tweets.select(F.col("tweet_id").alias("src")), "src", hot_keys(child, "src"), "left_semi"), "reply")
 
 
 def conversation_edges(tweets: DataFrame) -> DataFrame:
     """Edges in both directions between a conversation's root and each other tweet; a conversation without its root has none."""
     members = tweets.where(F.col("tweet_id") != F.col("conversation_id")).select(F.col("conversation_id").alias("src"), F.col("tweet_id").alias("dst"))
     roots = tweets.where(F.col("tweet_id") == F.col("conversation_id")).select(F.col("tweet_id").alias("src"))
-    return _both_ways(members.join(roots, "src", "left_semi"), "conversation")
+    return _both_ways(hot_join(members, roots, "src", hot_keys(members, "src"), "left_semi"), "conversation")
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 3, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
     """(src, dst, similarity) of the k most similar other vectors of (id, vector) with a cosine over the threshold; ties to the smaller id.
 
-    Every pair counts, so this is matrix products of blocks of about ``block`` vectors, of which a task holds two. Vectors are
-    dealt to blocks by their nearest of as many pivots as there are blocks, and by hash where a pivot has too many; a pair of blocks
-    is left out if no pair of their vectors can reach the threshold, as angles obey the triangle inequality. The rest is
-    quadratic in the worst case. Only pairs of blocks that are left in send vectors, and only k results per vector and block leave.
+    Every pair counts, so this is matrix products of blocks of about ``block`` vectors, of which a task holds two. Blocks are the leaves of a
+    tree of pivots; a pair of blocks is left out, with all below it, if no pair of their vectors can reach the threshold, as angles obey the triangle
+    inequality. On vectors without any clusters nothing is ruled out, and the work is quadratic; ``block_pairs`` tells how much of it is left. Only pairs of
+    blocks that are left in send vectors, and only k results per vector and block leave.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
     rows = scratch.write(vectors.where("vector IS NOT NULL").select("id", "vector"), "vectors")
-    blocks = max(1, -(-rows.count() // block))
+    total = rows.count()
     kind = rows.schema["id"].dataType.simpleString()
-    pairs, dealt = _one_block(rows) if blocks == 1 else _pivot_blocks(rows, blocks, block, threshold, scratch)
+    pairs, dealt = _one_block(rows) if total <= block else _pivot_tree(rows, total, block, threshold, scratch)
     asks = dealt.join(pairs, F.col("b") == F.col("q")).select(*[F.col(c).alias(c) for c in ("id", "vector", "q", "c")])
     answers = dealt.join(pairs, F.col("b") == F.col("c")).select(*[F.col(c).alias(c) for c in ("id", "vector", "q", "c")])
 
@@ -156,35 +160,95 @@ def _one_block(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.sparkSession.createDataFrame([("0", "0")], "q string, c string"), rows.withColumn("b", F.lit("0"))
 
 
-def _pivot_blocks(rows: DataFrame, blocks: int, block: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _angle(x: str, y: str) -> Column:
+    """Between two unit vectors."""
+    dot = F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))
+
+
+def _split_cells(rows: DataFrame, big: DataFrame, block: int, fan: int) -> DataFrame:
+    """(id, vector, cell, center, angle): the vectors of the cells in ``big`` (cell, n), each with the nearest of its cell's pivots.
+
+    A cell's pivots are vectors of its own, about two a block and ``fan`` at most, drawn by hash. A cell is dealt over groups of about a block, each of
+    which gets the pivots.
+    """
+    wanted = F.least(F.lit(fan), F.ceil(2 * F.col("n") / block))
+    marked = rows.join(F.broadcast(big) if big.count() <= PARTS else big, "cell")
+    drawn = marked.where(F.pmod(F.xxhash64("id", "cell"), F.col("n")) < wanted)
+    pivots = drawn.groupBy("cell", "n").agg(F.collect_list(F.transform("vector", lambda v: v.cast("double"))).alias("pivots"))  # about ``fan`` a cell
+    salts = F.ceil(F.col("n") / block)
+    asks = marked.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    gives = pivots.select(F.col("cell").alias("cell"), "pivots", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({"id": [], "vector": [], "cell": [], "center": [], "angle": []})
+        if right.empty:  # no vector was drawn, so the cell stays whole
+            centers = _unit(left["vector"].tolist()[:1])
+        else:
+            centers = np.unique(_unit(right["pivots"].iloc[0].tolist()), axis=0)
+        cosine = np.clip(_unit(left["vector"].tolist()) @ centers.T, -1.0, 1.0)
+        own = cosine.argmax(1)
+        name = left["cell"] + "/" + own.astype(str)
+        return pd.DataFrame({"id": left["id"], "vector": left["vector"], "cell": name, "center": [c.tolist() for c in centers[own]], "angle": np.arccos(cosine[np.arange(len(own)), own])})
+
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}, cell string, center array<double>, angle double"
+    return asks.groupBy("cell", "salt").cogroup(gives.groupBy("cell", "salt")).applyInPandas(nearest, kinds)
+
+
+def _pivot_tree(rows: DataFrame, total: int, block: int, threshold: float, scratch: Scratch, fan: int = FAN, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """(q, c) of the pairs of blocks that may hold neighbours, and the rows (id, vector, b) with their block.
 
-    A table of pairs has at most the square of the number of blocks, and the driver holds one pivot a block, MOST_PIVOTS at most.
+    A tree of cells: those of over ``block`` vectors are split by pivots of their own, down to ``depth``. Two cells are compared only if their parents
+    are close enough, by the angle between their pivots and the largest angles within them; so pairs of cells are looked at as far as there are
+    close ones, not all of them. A cell that pivots don't split (equal vectors) is dealt to blocks by hash.
     """
-    pivots = _unit([r.vector for r in rows.orderBy(F.xxhash64("id")).limit(min(blocks, MOST_PIVOTS)).collect()])
-
-    def deal(frames):
-        for frame in frames:
-            if len(frame):
-                cosine = np.clip(_unit(frame["vector"].tolist()) @ pivots.T, -1.0, 1.0)
-                own = cosine.argmax(1)
-                yield pd.DataFrame({"id": frame["id"], "vector": frame["vector"], "pivot": own.astype(np.int32), "angle": np.arccos(cosine[np.arange(len(own)), own])})
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}, pivot int, angle double"
-    near = scratch.write(rows.mapInPandas(deal, schema), "pivots")
-    sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("parts"), F.max("angle").alias("radius"))
-    name = lambda part: F.concat_ws("/", "pivot", part)
-    dealt = near.join(F.broadcast(sizes.select("pivot", "parts")), "pivot")  # a row a pivot
-    dealt = dealt.select("id", "vector", name(F.pmod(F.xxhash64("id"), "parts")).alias("b"))
-    every = sizes.select("pivot", "radius", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)).alias("b"))
-    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
-    known = {r.pivot: r.radius for r in sizes.select("pivot", "radius").collect()}
-    close = [(p, o) for p in known for o in known if between[p, o] <= reach + known[p] + known[o]]
-    links = rows.sparkSession.createDataFrame(close, "pivot int, other int")
-    q = every.select("pivot", F.col("b").alias("q"))
-    c = every.select(F.col("pivot").alias("other"), F.col("b").alias("c"))
-    return scratch.write(links.join(q, "pivot").join(c, "other").select("q", "c"), "pairs"), dealt
+    session = rows.sparkSession
+    state = scratch.write(rows.select("id", "vector", F.lit("").alias("cell")), "cells")
+    pairs = session.createDataFrame([("", "")], "p string, o string")
+    big = session.createDataFrame([("", total)], "cell string, n long")
+    leaves: list[DataFrame] = []
+    for level in range(depth):
+        dealt = scratch.write(_split_cells(state, big, block, fan), f"dealt{level}")
+        cells = dealt.groupBy("cell").agg(F.first("center").alias("center"), F.max("angle").alias("radius"), F.count("*").alias("n"))
+        cells = scratch.write(cells.withColumn("parent", F.regexp_replace("cell", "/[^/]*$", "")), f"level{level}")
+        end = level + 1 == depth
+        more = cells.where(F.lit(not end) & (F.col("n") > block)).select("cell", "n")
+        leaves.append(dealt.join(more, "cell", "left_anti").select("id", "vector", "cell"))
+        # a pair's ends go on to their children, or stay if they have none
+        of = lambda side, cells=cells: cells.select(F.col("parent").alias(side), F.col("cell").alias(f"{side}2"), F.col("center").alias(f"c{side}"), F.col("radius").alias(f"r{side}"))
+        met = pairs.join(of("p"), "p", "left").join(of("o"), "o", "left")
+        if level:
+            known = tree.select("cell", "center", "radius")
+            met = met.join(known.toDF("p", "dp", "ep"), "p", "left").join(known.toDF("o", "do", "eo"), "o", "left")
+            met = met.withColumns({"cp": F.coalesce("cp", "dp"), "co": F.coalesce("co", "do"), "rp": F.coalesce("rp", "ep"), "ro": F.coalesce("ro", "eo")})
+        pairs = met.where(_angle("cp", "co") <= reach + F.col("rp") + F.col("ro")).select(F.coalesce("p2", "p").alias("p"), F.coalesce("o2", "o").alias("o"))
+        pairs = scratch.write(pairs, f"pairs{level}")
+        tree = cells.drop("parent", "n") if not level else scratch.write(tree.unionByName(cells.drop("parent", "n")), f"tree{level}")
+        big = scratch.write(more, f"big{level}")
+        if big.isEmpty():
+            break
+        state = dealt.join(big.select("cell"), "cell", "left_semi").select("id", "vector", "cell")
+    ended = leaves[0]
+    for part in leaves[1:]:
+        ended = ended.unionByName(part)
+    ended = scratch.write(ended, "leaves")
+    sizes = ended.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    sizes = scratch.write(sizes, "sizes")
+    name = lambda part: F.concat_ws("#", "cell", part)
+    dealt = hot_join(ended, sizes, "cell", hot_keys(ended, "cell")).select("id", "vector", name(F.pmod(F.xxhash64("id"), "parts")).alias("b"))
+    every = sizes.select("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), name)).alias("b"))
+    q, c = every.toDF("p", "q"), every.toDF("o", "c")
+    return scratch.write(pairs.join(q, "p").join(c, "o").select("q", "c"), "pairs"), scratch.write(dealt, "blocks")
+
+
+def block_pairs(vectors: DataFrame, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
+    """One row: how many blocks the vectors (id, vector) make, and how many of their pairs (in order) are looked at for neighbours."""
+    scratch = Scratch(vectors.sparkSession, "block-pairs")
+    rows = scratch.write(vectors.where("vector IS NOT NULL").select("id", "vector"), "vectors")
+    pairs, dealt = _pivot_tree(rows, rows.count(), block, threshold, scratch)
+    return dealt.agg(F.count_distinct("b").alias("blocks")).crossJoin(pairs.agg(F.count("*").alias("pairs")))  # single rows
 
 
 def neighbour_edges(vectors: DataFrame, k: int = 3, threshold: float = 0.75) -> DataFrame:
@@ -220,16 +284,33 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(count, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, triangles, coefficient). Edges point from the end of lower degree, so no vertex has many wedges to close."""
-    plain = simple_edges(edges)
-    degree = degrees(vertices, edges)
-    a, b = (degree.select(F.col("id").alias(x), F.col("degree").alias(f"d{x}")) for x in ("a", "b"))
+def wedges(pointed: DataFrame, block: int = WEDGE_BLOCK) -> DataFrame:
+    """(u, x, y) with x < y of all pairs of ends of the arcs (u, v) of a vertex.
+
+    A vertex's ends are dealt by hash into blocks of about ``block``, and each pair of blocks is a group of its own, so a task never has more than the
+    square of a block to do for any one vertex; an arc is sent once per block of its vertex.
+    """
+    count = pointed.groupBy("u").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    rows = hot_join(pointed, count, "u", hot_keys(pointed, "u")).withColumn("own", F.pmod(F.xxhash64("v"), "blocks"))
+    rows = rows.select("u", "v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("u", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    x, y = (rows.select("u", "low", "high", F.col("v").alias(c), F.col("own").alias(f"o{c}")) for c in ("x", "y"))
+    # two ends of one block meet in its own group only
+    return x.join(y, ["u", "low", "high"]).where("x < y AND (ox <> oy OR low = high)").select("u", "x", "y")
+
+
+def clustering(vertices: DataFrame, edges: DataFrame, block: int = WEDGE_BLOCK) -> DataFrame:
+    """(id, triangles, coefficient). Edges point from the end of lower degree, so a vertex has few wedges to close, and those are shared among tasks."""
+    scratch = Scratch(edges.sparkSession, "clustering")
+    plain = scratch.write(simple_edges(edges), "plain")
+    ends = plain.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    degree = vertices.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    a, b = (ends.select(F.col("id").alias(x), F.col("degree").alias(f"d{x}")) for x in ("a", "b"))
     low = F.struct("da", "a") < F.struct("db", "b")
-    pointed = plain.join(a, "a").join(b, "b").select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    x, y = pointed.select("u", F.col("v").alias("x")), pointed.select("u", F.col("v").alias("y"))
-    wedges = x.join(y, "u").where("x < y")
-    closed = wedges.join(plain.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi")
+    met = hot_join(hot_join(plain, a, "a", hot_keys(plain, "a")), b, "b", hot_keys(plain, "b"))
+    pointed = met.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    pointed = scratch.write(pointed, "pointed")
+    closed = wedges(pointed, block).join(plain.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi")
     corners = closed.select(F.explode(F.array("u", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
     out = degree.join(corners, "id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     share = F.when(F.col("degree") < 2, 0.0).otherwise(2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)))

@@ -1,7 +1,8 @@
 """Message passing over (id, x) vertices and (src, dst) edges with given weights.
 
 Vectors are arrays. A layer is one join, and one aggregation by Spark's vector summarizer, which combines before the shuffle and
-keeps one buffer per vertex, not a row per dimension. Weights are matrices of fixed size (rows: inputs) that travel in the
+keeps one buffer per vertex, not a row per dimension. Edges of a hub, a vertex with over 1 / PARTS of all edges at one end, stay where they are
+and get its state by broadcast (``skew.hot_join``). Weights are matrices of fixed size (rows: inputs) that travel in the
 closure of an Arrow function, so plans don't grow with them. Dropout is the identity when a model is applied.
 """
 
@@ -18,12 +19,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..skew import hot_join, hot_keys
 
 Matrix = Sequence[Sequence[float]]
-Layer = Callable[[DataFrame, DataFrame], DataFrame]
 EPS = 1e-5
 
 
+class Edges(NamedTuple):
+    """Written edges and the hubs at either end, as several layers use them."""
+
+    rows: DataFrame
+    sources: list
+    targets: list
+
+    def met(self, rows: DataFrame, state: DataFrame, end: str) -> DataFrame:
+        return hot_join(rows, state, end, self.sources if end == "src" else self.targets)
+
+
+def edges_of(edges: DataFrame | Edges) -> Edges:
+    if isinstance(edges, Edges):
+        return edges
+    rows = Scratch(edges.sparkSession, "edges").write(edges.select("src", "dst"), "edges")
+    total = rows.count()
+    return Edges(rows, hot_keys(rows, "src", total), hot_keys(rows, "dst", total))
+
+
+Layer = Callable[[DataFrame, "DataFrame | Edges"], DataFrame]
+
+
 def _applied(x: Column, forward: Callable[[np.ndarray], np.ndarray]) -> Column:
     """``forward`` on the vectors of an Arrow batch as rows of a matrix."""
 
@@ -44,6 +67,11 @@ def relu(x: Column) -> Column:
     return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
 
 
+def rows_normed(rows: np.ndarray) -> np.ndarray:
+    """Each row less its mean, over its deviation."""
+    return (rows - rows.mean(1, keepdims=True)) / np.sqrt(rows.var(1, keepdims=True) + EPS)
+
+
 def add(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a + b)
 
@@ -74,30 +102,33 @@ def _loops(vertices: DataFrame) -> DataFrame:
     return vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
 
 
-def sage(vertices: DataFrame, edges: DataFrame, own: Matrix, neighbour: Matrix, bias: Sequence[float]) -> DataFrame:
+def sage(vertices: DataFrame, edges: DataFrame | Edges, own: Matrix, neighbour: Matrix, bias: Sequence[float]) -> DataFrame:
     """x W_own + mean of the in-neighbours W_neighbour + b; a vertex without any has a zero mean."""
-    sent = edges.join(vertices.select(F.col("id").alias("src"), _vector("x").alias("v")), "src")
+    graph = edges_of(edges)
+    sent = graph.met(graph.rows, vertices.select(F.col("id").alias("src"), _vector("x").alias("v")), "src")
     mean = sent.groupBy(F.col("dst").alias("id")).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
     joined = vertices.join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.transform("x", lambda v: F.lit(0.0))))
     both = np.concatenate([np.array(own, np.float64), np.array(neighbour, np.float64)])
     return joined.select("id", linear(F.concat(F.col("x").cast("array<double>"), "mean"), both, bias).alias("x"))
 
 
-def gcn(vertices: DataFrame, edges: DataFrame, weight: Matrix, bias: Sequence[float]) -> DataFrame:
+def gcn(vertices: DataFrame, edges: DataFrame | Edges, weight: Matrix, bias: Sequence[float]) -> DataFrame:
     """Symmetrically normalised sum over in-neighbours and itself, of x W, plus b."""
-    loops = edges.select("src", "dst").unionByName(_loops(vertices))
+    graph = edges_of(edges)
+    loops = graph.rows.unionByName(_loops(vertices))
     degree = loops.groupBy("dst").agg(F.sqrt(F.count("*")).alias("root"))
     state = vertices.select("id", linear(F.col("x"), weight).alias("h")).join(degree.withColumnRenamed("dst", "id"), "id")
-    sent = loops.join(state.select(F.col("id").alias("src"), (1 / F.col("root")).alias("w"), _vector("h").alias("v")), "src")
+    sent = graph.met(loops, state.select(F.col("id").alias("src"), (1 / F.col("root")).alias("w"), _vector("h").alias("v")), "src")
     total = sent.groupBy("dst").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("w"))).alias("x"))
     scaled = total.join(degree, "dst").select(F.col("dst").alias("id"), F.transform("x", lambda v: v / F.col("root")).alias("x"))
     return scaled.select("id", _plus(F.col("x"), bias).alias("x"))
 
 
-def gat(vertices: DataFrame, edges: DataFrame, weights: Sequence[Matrix], source: Matrix, target: Matrix, bias: Sequence[float], concat: bool = True, slope: float = 0.2) -> DataFrame:
+def gat(vertices: DataFrame, edges: DataFrame | Edges, weights: Sequence[Matrix], source: Matrix, target: Matrix, bias: Sequence[float], concat: bool = True, slope: float = 0.2) -> DataFrame:
     """Attention over in-neighbours and itself with one weight matrix per head; heads side by side, or their mean."""
     heads, width = len(weights), len(weights[0][0])
-    loops = edges.where("src <> dst").select("src", "dst").unionByName(_loops(vertices))
+    graph = edges_of(edges)
+    loops = graph.rows.where("src <> dst").unionByName(_loops(vertices))
     w = np.concatenate([np.array(m, np.float64) for m in weights], 1)
     a, b = (np.array(v, np.float64) for v in (source, target))
 
@@ -112,9 +143,9 @@ def gat(vertices: DataFrame, edges: DataFrame, weights: Sequence[Matrix], source
     sender = state.select(F.col("id").alias("src"), *[array_to_vector(part(k)).alias(f"h{k}") for k in range(heads)], F.slice("z", heads * width + 1, heads).alias("s"))
     taker = state.select(F.col("id").alias("dst"), F.slice("z", heads * width + heads + 1, heads).alias("t"))
     scores = F.zip_with("s", "t", lambda x, y: F.when(x + y > 0, x + y).otherwise((x + y) * slope))
-    pair = loops.join(sender, "src").join(taker, "dst").select("dst", *[f"h{k}" for k in range(heads)], scores.alias("e"))
+    pair = graph.met(graph.met(loops, sender, "src"), taker, "dst").select("dst", *[f"h{k}" for k in range(heads)], scores.alias("e"))
     top = pair.groupBy("dst").agg(F.array(*[F.max(F.get("e", F.lit(k))) for k in range(heads)]).alias("top"))
-    pair = pair.join(top, "dst").withColumn("w", F.zip_with("e", "top", lambda x, y: F.exp(x - y)))
+    pair = graph.met(pair, top, "dst").withColumn("w", F.zip_with("e", "top", lambda x, y: F.exp(x - y)))
     means = pair.groupBy("dst").agg(*[vector_to_array(Summarizer.mean(F.col(f"h{k}"), F.get("w", F.lit(k)))).alias(f"m{k}") for k in range(heads)])
     names = [F.col(f"m{k}") for k in range(heads)]
     if concat:
@@ -134,7 +165,7 @@ def stack(vertices: DataFrame, edges: DataFrame, layers: Sequence[Layer], classi
     written, as several later steps read them.
     """
     scratch = Scratch(vertices.sparkSession, "stack")
-    state, edges = vertices.select("id", "x"), scratch.write(edges.select("src", "dst"), "edges")
+    state, edges = vertices.select("id", "x"), edges_of(edges)
     for k, layer in enumerate(layers):
         state = normalise_graph(scratch.write(layer(state, edges), f"layer{k}"))
         if k + 1 < len(layers):
@@ -154,6 +185,11 @@ class Dense(NamedTuple):
         w, b, v, c = (np.array(m, np.float64) for m in self)
         return _applied(x, lambda rows: np.maximum(rows @ w + b, 0.0) @ v + c)
 
+    def normed(self, x: Column) -> Column:
+        """With the hidden units normalised by row."""
+        w, b, v, c = (np.array(m, np.float64) for m in self)
+        return _applied(x, lambda rows: np.maximum(rows_normed(rows @ w + b), 0.0) @ v + c)
+
 
 def hybrid(vertices: DataFrame, edges: DataFrame, mlp: Dense, refine: Layer) -> DataFrame:
     """Logits of the dense model plus those of a graph model that refines them: ``refine(vertices, edges)`` on (id, logits)."""
@@ -178,15 +214,16 @@ def multi_scale(vertices: DataFrame, layers: Sequence[DataFrame]) -> DataFrame:
 def balanced(vertices: DataFrame, edges: DataFrame, project: tuple[Matrix, Sequence[float]], layers: Sequence[Layer], classifier: Dense) -> DataFrame:
     """Projection, layers with residuals from the second on, and a classifier on projection, last state and input side by side.
 
-    The classifier's and the projection's row-wise normalisation is left to their weights; graph layers are normalised over the graph.
+    The projection and the classifier's hidden units are normalised by row, graph layers over the graph.
     """
     scratch = Scratch(vertices.sparkSession, "balanced")
-    edges = scratch.write(edges.select("src", "dst"), "edges")
-    first = scratch.write(vertices.select("id", relu(linear(F.col("x"), *project)).alias("x")), "first")
+    edges = edges_of(edges)
+    w, b = (np.array(m, np.float64) for m in project)
+    first = scratch.write(vertices.select("id", _applied(F.col("x"), lambda rows: np.maximum(rows_normed(rows @ w + b), 0.0)).alias("x")), "first")
     state = first
     for k, layer in enumerate(layers):
         after = normalise_graph(scratch.write(layer(state, edges), f"layer{k}")).select("id", relu(F.col("x")).alias("x"))
         if k:
             after = after.join(state.select("id", F.col("x").alias("before")), "id").select("id", add(F.col("x"), F.col("before")).alias("x"))
         state = after
-    return multi_scale(first, [state, vertices.select("id", F.col("x").cast("array<double>").alias("x"))]).select("id", classifier(F.col("x")).alias("x"))
+    return multi_scale(first, [state, vertices.select("id", F.col("x").cast("array<double>").alias("x"))]).select("id", classifier.normed(F.col("x")).alias("x"))

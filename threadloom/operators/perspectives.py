@@ -70,22 +70,30 @@ def validate(responses: DataFrame, strict: bool = False) -> DataFrame:
     return responses.withColumn("v", validate_response(F.col("response"), F.col("text"), strict)).select(*responses.columns, "v.*")
 
 
-def validation_stats(validated: DataFrame) -> DataFrame:
-    """Totals, error counts by kind and the rate of valid answers; answers without well-formed JSON are neither valid nor invalid."""
+def validation_metrics() -> list[Column]:
+    """Totals, error counts by kind and the rate of valid answers, as aggregates; answers without well-formed JSON are neither valid nor invalid."""
     bad_items = F.size(F.filter("errors", lambda e: (F.size(e) > 0) & ~F.startswith(e[0], F.lit("missing_"))))
-    return validated.agg(
+    return [
         F.count("*").alias("total_validated"), F.count_if("is_valid").alias("valid"), F.count_if(F.col("error").isNull() & ~F.col("is_valid")).alias("invalid"),
         F.count_if(F.col("error") == "no_json").alias("no_json"), F.count_if(F.col("error").isNotNull() & (F.col("error") != "no_json")).alias("invalid_json_structure"),
         F.sum(bad_items).alias("invalid_annotation_fields"), percent(F.count_if("is_valid"), F.count("*")).alias("validation_rate"),
-    )
+    ]
 
 
-def run_summary(validated: DataFrame, seconds: float, tokens: int = 0) -> DataFrame:
-    """Totals of a run with its time."""
+def validation_stats(validated: DataFrame) -> DataFrame:
+    return validated.agg(*validation_metrics())
+
+
+def run_metrics(seconds: float, tokens: int = 0) -> list[Column]:
+    """Totals of a run with its time, as aggregates over its records."""
     n = F.count("*")
-    return validated.agg(
+    return [
         n.alias("total_tweets"), F.count_if("is_valid").alias("successful"), F.count_if(~F.col("is_valid")).alias("failed"),
         percent(F.count_if("is_valid"), n).alias("success_rate"), F.lit(float(seconds)).alias("total_time"),
         F.coalesce(F.try_divide(F.lit(float(seconds)), n), F.lit(0.0)).alias("seconds_per_tweet"), F.lit(tokens).alias("total_tokens"),
         F.coalesce(F.try_divide(F.lit(float(tokens)), F.lit(float(seconds))), F.lit(0.0)).alias("tokens_per_second"),
-    )
+    ]
+
+
+def run_summary(validated: DataFrame, seconds: float, tokens: int = 0) -> DataFrame:
+    return validated.agg(*run_metrics(seconds, tokens))

@@ -97,14 +97,19 @@ def problem_rows(df: DataFrame) -> DataFrame:
     return df.agg(*counts, total.alias("total"), percent(total, F.count("*")).alias("percent"))
 
 
-def preprocess_counters(records: DataFrame) -> DataFrame:
-    """Counters of a preprocessing run from its records; urls_found counts records with a URL."""
+def preprocess_metrics() -> list[Column]:
+    """Counters of a preprocessing run, as aggregates over its records; urls_found counts records with a URL."""
     reason = F.col("validation_reason")
-    return records.agg(
+    return [
         F.count("*").alias("total_processed"), *[F.count_if(reason == r).alias(a) for r, a in (("valid", "cleaned"), ("too_short", "too_short"), ("too_long", "too_long"), ("missing_text", "missing_text"))],
         F.count_if("has_urls").alias("urls_found"), F.count_if(X.has_mention(F.col("text_cleaned"))).alias("mentions_found"), F.count_if(F.col("hashtag_count") > 0).alias("hashtags_found"),
         percent(F.count_if(reason == "valid"), F.count("*")).alias("percent_cleaned"),
-    )
+    ]
+
+
+def preprocess_counters(records: DataFrame) -> DataFrame:
+    """Counters of a preprocessing run from its records."""
+    return records.agg(*preprocess_metrics())
 
 
 def url_types(records: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import annotate, graph, messages, metrics, relational, sampling, training
+from ..operators import annotate, graph, graph_training, messages, metrics, minibatch, relational, sampling, training
 from . import fixtures as T
 from .registry import NEAREST, query
 
@@ -242,13 +243,62 @@ def q_gcn_stack(spark, sf_dir):
     return _flat(out, 4)
 
 
-@query("vectors", _IN + f""", {_GCN}, p AS (SELECT id, j AS i, greatest(h + {_BIAS}, 0) AS v FROM ({_product('z', 1)})), {_layer_sql('a', 'p', 2)}, {_relu_sql('b', 'a')}, {_layer_sql('c', 'b', 3)},
+def _sage_sql(name: str, before: str, step: int) -> str:
+    """CTEs of a mean layer with weights of ``step`` and the next, normalised over the graph: (id, i, v) as ``name``."""
+    return f"""{name}m AS (SELECT e.dst AS id, i, avg(v) AS v FROM e JOIN {before} z ON z.id = e.src GROUP BY 1, 2), {name}a AS ({_product(before, step)}), {name}b AS ({_product(f'{name}m', step + 1)}),
+    {name}r AS (SELECT a.id, a.j AS i, a.h + coalesce(b.h, 0) AS v FROM {name}a a LEFT JOIN {name}b b ON a.id = b.id AND a.j = b.j), {_normed_sql(name)}"""
+
+
+def _normed_sql(name: str) -> str:
+    return f"{name} AS (SELECT id, i, (v - (SELECT avg(v) FROM {name}r)) / ((SELECT stddev_pop(v) FROM {name}r) + 1e-5::DOUBLE) AS v FROM {name}r)"
+
+
+def _sage(inputs: int, step: int):
+    return lambda v, e: messages.sage(v, e, weight(inputs, OUT, step), weight(inputs, OUT, step + 1), [0.0] * OUT)
+
+
+@query("vectors", _IN + f", {_sage_sql('a', 'z', 1)}, {_relu_sql('b', 'a')}, {_sage_sql('c', 'b', 3)}, {_relu_sql('f', 'c')}, {_sage_sql('g', 'f', 5)} SELECT id, j AS place, round(h + {_BIAS}, 4) AS value FROM ({_product('g', 7, 4)})")
+def q_sage_stack(spark, sf_dir):
+    """Three mean layers, each normalised over the graph, then a classifier."""
+    return _flat(messages.stack(*_graph(spark, sf_dir), [_sage(WIDTH, 1), _sage(OUT, 3), _sage(OUT, 5)], (weight(OUT, 4, 7), bias(4))), 4)
+
+
+_MANY = 4  # heads of the stack
+
+
+def _gat_sql(name: str, before: str, step: int, last: bool = False) -> str:
+    """CTEs of an attention layer of four heads, side by side or as their mean, normalised over the graph: (id, i, v) as ``name``."""
+    flat = f"SELECT id, j AS i, avg(v) AS v FROM {name}o GROUP BY id, j" if last else f"SELECT id, k * {OUT} + j AS i, v FROM {name}o"
+    return f"""{name}h AS (SELECT id, k, j, sum(v * {weight_sql('i', 'j', f'({step} + k)')}) AS h FROM {before}, range({OUT}) r(j), range({_MANY}) q(k) GROUP BY id, k, j),
+    {name}c AS (SELECT id, k, sum(h * {weight_sql('k', 'j', step + 4)}) AS s, sum(h * {weight_sql('k', 'j', step + 5)}) AS t FROM {name}h GROUP BY id, k),
+    {name}w AS (SELECT l.src, l.dst, a.k, CASE WHEN a.s + b.t > 0 THEN a.s + b.t ELSE 0.2::DOUBLE * (a.s + b.t) END AS e FROM l JOIN {name}c a ON a.id = l.src JOIN {name}c b ON b.id = l.dst AND b.k = a.k),
+    {name}u AS (SELECT src, dst, k, exp(e - max(e) OVER (PARTITION BY dst, k)) AS w FROM {name}w),
+    {name}o AS (SELECT u.dst AS id, u.k AS k, h.j AS j, sum(u.w * h.h) / sum(u.w) AS v FROM {name}u u JOIN {name}h h ON h.id = u.src AND h.k = u.k GROUP BY u.dst, u.k, h.j),
+    {name}r AS ({flat}), {_normed_sql(name)}"""
+
+
+def _gat(inputs: int, step: int, last: bool = False):
+    heads = [weight(inputs, OUT, step + k) for k in range(_MANY)]
+    return lambda v, e: messages.gat(v, e, heads, weight(_MANY, OUT, step + 4), weight(_MANY, OUT, step + 5), [0.0] * (OUT if last else _MANY * OUT), concat=not last)
+
+
+@query("vectors", _IN + f", {_gat_sql('a', 'z', 1)}, {_relu_sql('b', 'a')}, {_gat_sql('c', 'b', 2)}, {_relu_sql('f', 'c')}, {_gat_sql('g', 'f', 3, True)} SELECT id, j AS place, round(h + {_BIAS}, 4) AS value FROM ({_product('g', 7, 4)})")
+def q_gat_stack(spark, sf_dir):
+    """Three attention layers of four heads, the last one's averaged, each normalised over the graph, then a classifier."""
+    return _flat(messages.stack(*_graph(spark, sf_dir), [_gat(WIDTH, 1), _gat(_MANY * OUT, 2), _gat(_MANY * OUT, 3, True)], (weight(OUT, 4, 7), bias(4))), 4)
+
+
+def _row_normed(rows: str) -> str:
+    """(id, i, v) normalised by id, then rectified."""
+    return f"SELECT id, i, greatest((v - avg(v) OVER (PARTITION BY id)) / sqrt(var_pop(v) OVER (PARTITION BY id) + 1e-5::DOUBLE), 0) AS v FROM ({rows})"
+
+
+@query("vectors", _IN + f""", p AS ({_row_normed(f"SELECT id, j AS i, h + {_BIAS} AS v FROM ({_product('z', 1)})")}), {_sage_sql('a', 'p', 2)}, {_relu_sql('b', 'a')}, {_sage_sql('c', 'b', 4)},
     f AS (SELECT c.id, c.i, greatest(c.v, 0) + b.v AS v FROM c JOIN b ON b.id = c.id AND b.i = c.i),
-    g AS (SELECT id, i, v FROM p UNION ALL SELECT id, i + {OUT}, v FROM f UNION ALL SELECT id, i + {2 * OUT}, v FROM z), k AS (SELECT id, j AS i, greatest(h + {_BIAS}, 0) AS v FROM ({_product('g', 1)})) SELECT id, j AS place, round(h + {_BIAS}, 4) AS value FROM ({_product('k', 2, 4)})""")
+    g AS (SELECT id, i, v FROM p UNION ALL SELECT id, i + {OUT}, v FROM f UNION ALL SELECT id, i + {2 * OUT}, v FROM z), k AS ({_row_normed(f"SELECT id, j AS i, h + {_BIAS} AS v FROM ({_product('g', 1)})")}) SELECT id, j AS place, round(h + {_BIAS}, 4) AS value FROM ({_product('k', 2, 4)})""")
 def q_balanced(spark, sf_dir):
-    """Projection, two layers with a residual, and a classifier over projection, last state and input."""
-    bound = [lambda v, e, w=w: messages.gcn(v, e, w, [0.0] * OUT) for w in (weight(OUT, OUT, 2), weight(OUT, OUT, 3))]
-    out = messages.balanced(*_graph(spark, sf_dir), (weight(WIDTH, OUT, 1), bias(OUT)), bound, _dense(2 * OUT + WIDTH))
+    """Projection, two mean layers with a residual, and a classifier over projection, last state and input."""
+    out = messages.balanced(*_graph(spark, sf_dir), (weight(WIDTH, OUT, 1), bias(OUT)), [_sage(OUT, 2), _sage(OUT, 4)], _dense(2 * OUT + WIDTH))
     return _flat(out, 4)
 
 
@@ -262,6 +312,99 @@ def q_mlp(spark, sf_dir):
     return training.summary(training.cross_validate(sampling.stratified_folds(rows, 10, "id", "y"), WIDTH, 4))
 
 
+def _folded(spark, sf_dir, folds=10):
+    rows = T.vectors(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("x"), (F.col("label") % 4).alias("y"))
+    return sampling.stratified_folds(rows, folds, "id", "y")
+
+
+@query()
+def q_minibatch(spark, sf_dir):
+    """Ten folds of the dense model by mini-batches."""
+    return training.summary(minibatch.cross_validate(_folded(spark, sf_dir), minibatch.Settings(epochs=3)))
+
+
+@query()
+def q_graph_losses(spark, sf_dir):
+    """(epoch, fold, loss) of a graph network of three layers."""
+    run = graph_training.Training(_folded(spark, sf_dir), _graph(spark, sf_dir)[1], graph_training.Settings("GCN", hidden=64, epochs=3), 10)
+    rows = [(e, f, float(loss)) for e, losses in enumerate(run.fit()[1]) for f, loss in enumerate(losses)]
+    return spark.createDataFrame(rows, "epoch int, fold int, loss double")
+
+
+@query()
+def q_graph_experiment(spark, sf_dir):
+    """Accuracy and F1 over ten folds of every kind of network, after two steps each."""
+    few = {"hidden": 32, "epochs": 2}
+    kinds = [graph_training.Settings(k, **few) for k in ("MLP", "GCN", "SAGE")] + [graph_training.Settings("GAT", hidden=8, layers=2, epochs=2), graph_training.refiner(**few)]
+    return training.experiment(_folded(spark, sf_dir), _graph(spark, sf_dir)[1], kinds)
+
+
+@query()
+def q_ablations(spark, sf_dir):
+    """The dense network on each choice of feature blocks: embedding, perspectives, topic, depth, confidence."""
+    rows = _folded(spark, sf_dir)
+    more = F.array(*[(F.col("id") % (k + 2)).cast("double") for k in range(6)], *[(F.col("id") % 3 == k).cast("double") for k in range(3)], (F.col("id") % 10) / 10.0, (F.col("id") % 7) / 7.0)
+    return training.ablations(rows.withColumn("x", F.concat("x", more)), _graph(spark, sf_dir)[1], WIDTH, graph_training.Settings("MLP", epochs=5))
+
+
+def _weights_of(p):
+    """A network's weights by the rule that SQL can follow, for one model."""
+    return {k: np.array(weight(v.shape[1], v.shape[2], _step_of(k)))[None] for k, v in p.items()}
+
+
+_H = 8  # hidden units of the network whose gradients SQL follows
+
+
+def _step_of(name: str) -> int:
+    return len(name) + ord(name[0]) + (int(name[1:]) if name[1:].isdigit() else 0)
+
+
+def _back_sql(layer: int) -> str:
+    """CTEs from d{layer} (id, i, v), the gradient by a layer's rectified outputs, to b{layer}, that by its outputs before normalisation."""
+    g, e = weight_sql("0", "i", _step_of(f"g{layer}")), weight_sql("0", "i", _step_of(f"e{layer}"))
+    kept = "TRUE" if layer == 1 else f"{g} * (z.v - s.m) / (s.q + 1e-5::DOUBLE) + {e} > 0"
+    return f"""r{layer} AS (SELECT d.id, i, z.v - s.m AS c, s.q AS q, s.n AS n, CASE WHEN {kept} THEN d.v * {g} ELSE 0 END AS v FROM d{layer} d JOIN z{layer} z USING (id, i), s{layer} s),
+    t{layer} AS (SELECT sum(v) AS s1, sum(v * c) AS s2 FROM r{layer}),
+    b{layer} AS (SELECT id, i, (v - s1 / n) / (q + 1e-5::DOUBLE) - c * s2 / (n * q * (q + 1e-5::DOUBLE) * (q + 1e-5::DOUBLE)) AS v FROM r{layer}, t{layer})"""
+
+
+def _ahead_sql(layer: int, before: str) -> str:
+    """CTEs of a layer over (id, i, v): messages x, outputs z, statistics s, results h."""
+    g, e = weight_sql("0", "i", _step_of(f"g{layer}")), weight_sql("0", "i", _step_of(f"e{layer}"))
+    u = f"{g} * (v - m) / (q + 1e-5::DOUBLE) + {e}"
+    return f"""x{layer} AS (SELECT l.dst AS id, i, sum(a.v / sqrt(f.d * t.d)) AS v FROM l JOIN {before} a ON a.id = l.src JOIN d f ON f.id = l.src JOIN d t ON t.id = l.dst GROUP BY 1, 2),
+    z{layer} AS (SELECT id, j AS i, h + {weight_sql('0', 'j', _step_of(f'c{layer}'))} AS v FROM ({_product(f'x{layer}', _step_of(f'w{layer}'), _H)})),
+    s{layer} AS (SELECT avg(v) AS m, stddev_pop(v) AS q, count(*) AS n FROM z{layer}),
+    h{layer} AS (SELECT id, i, {u if layer == 1 else f'greatest({u}, 0)'} AS v FROM z{layer}, s{layer})"""
+
+
+_STEP = f"""{_GCN}, {_ahead_sql(0, 'z')}, {_ahead_sql(1, 'h0')},
+    o AS (SELECT id, j, h + {weight_sql('0', 'j', _step_of('kb'))} AS v FROM ({_product('h1', _step_of('k'), 4)})),
+    p AS (SELECT id, j, exp(v - max(v) OVER (PARTITION BY id)) AS e FROM o), y AS (SELECT id, label % 4 AS y FROM vectors WHERE id % 2 = 1),
+    dl AS (SELECT id, j, (e / s - CASE WHEN j = y THEN 1 ELSE 0 END) / (SELECT count(*) FROM y)::DOUBLE AS v FROM (SELECT id, j, e, sum(e) OVER (PARTITION BY id) AS s FROM p) JOIN y USING (id)),
+    d1 AS (SELECT id, i, coalesce(sum(dl.v * {weight_sql('i', 'j', _step_of('k'))}), 0) AS v FROM h1 LEFT JOIN dl USING (id) GROUP BY id, i), {_back_sql(1)},
+    n1 AS (SELECT id, j AS i, sum(b.v * {weight_sql('j', 'b.i', _step_of('w1'))}) AS v FROM b1 b, range({_H}) r(j) GROUP BY id, j),
+    d0 AS (SELECT l.src AS id, i, sum(a.v / sqrt(f.d * t.d)) AS v FROM l JOIN n1 a ON a.id = l.dst JOIN d f ON f.id = l.src JOIN d t ON t.id = l.dst GROUP BY 1, 2), {_back_sql(0)}"""
+
+
+@query("vectors", _IN + f""", {_STEP}
+    SELECT 'k' AS name, i, j, round(sum(h1.v * dl.v), 6) + 0.0::DOUBLE AS value FROM h1 JOIN dl USING (id) GROUP BY i, j
+    UNION ALL SELECT 'w1', x1.i, b1.i, round(sum(x1.v * b1.v), 6) + 0.0::DOUBLE FROM x1 JOIN b1 USING (id) GROUP BY x1.i, b1.i
+    UNION ALL SELECT 'w0', x0.i, b0.i, round(sum(x0.v * b0.v), 6) + 0.0::DOUBLE FROM x0 JOIN b0 USING (id) GROUP BY x0.i, b0.i""")
+def q_graph_gradients(spark, sf_dir):
+    """Gradients of the weights of two graph layers and a classifier, trained on the vertices of odd id."""
+    rows = _graph(spark, sf_dir)
+    vertices = T.vectors(spark, sf_dir).select("id", (F.col("id") % 2).alias("fold"), F.col("vector").alias("x"), (F.col("label") % 4).alias("y"))
+    run = graph_training.Training(vertices, rows[1], graph_training.Settings("GCN", hidden=_H, layers=2, dropout=0.0), 1)
+    got = run.gradients(_weights_of(graph_training.initial(run.settings, WIDTH, 1)), 0)[1]
+    out = [(name, i, j, round(float(v), 6) + 0.0) for name in ("k", "w1", "w0") for (i, j), v in _cells(got[name][0])]
+    return spark.createDataFrame(out, "name string, i long, j long, value double")
+
+
+def _cells(m):
+    return [((i, j), m[i, j]) for i in range(m.shape[0]) for j in range(m.shape[1])]
+
+
 @query("predictions", """, b AS (SELECT y_true IN (0, 1) AS t, y_pred IN (0, 1) AS p FROM predictions), c AS (SELECT l AS label, count(*) FILTER (WHERE t = l AND p = l) AS tp, count(*) FILTER (WHERE p = l) AS predicted, count(*) FILTER (WHERE t = l) AS support FROM b, (VALUES (TRUE), (FALSE)) v(l) GROUP BY l)
     SELECT label, round(tp / predicted::DOUBLE, 6) AS precision, round(tp / support::DOUBLE, 6) AS recall, round(2.0 * tp::DOUBLE / (predicted + support), 6) AS f1, support FROM c""")
 def q_binary_report(spark, sf_dir):

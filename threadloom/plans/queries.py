@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import annotations as A
 from ..functions import text as X
+from ..functions import tokens as TK
 from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import features, graph, metrics, perspectives, profile, relational, sampling
+from ..scratch import Scratch
+from ..sources import tables
 from . import fixtures as T
 from . import model_queries as model_queries
 from . import source_queries as source_queries
@@ -128,7 +131,8 @@ def q_preprocess(spark, sf_dir):
     count(*) FILTER (WHERE reason = 'missing_text') AS missing_text, count(*) FILTER (WHERE len(urls) > 0) AS urls_found, count(*) FILTER (WHERE regexp_matches(clean, '@[\\p{L}\\p{N}_]+')) AS mentions_found,
     count(*) FILTER (WHERE regexp_matches(text, '#[\\p{L}\\p{N}_]+')) AS hashtags_found, round(count(*) FILTER (WHERE reason = 'valid') * 100.0::DOUBLE / count(*), 6) AS percent_cleaned FROM records""")
 def q_preprocess_counters(spark, sf_dir):
-    return profile.preprocess_counters(_records(spark, sf_dir))
+    """Counters of the records, taken while these are written."""
+    return tables.write_counted(_records(spark, sf_dir), f"{Scratch(spark, 'counters').root}/records", profile.preprocess_metrics())
 
 
 @query("votes tweets", _RECORDS + f", u AS (SELECT unnest(urls) AS url FROM records) SELECT {_url_type()} AS type, count(*) AS n FROM u GROUP BY 1")
@@ -190,8 +194,9 @@ def q_external_urls(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", U.has_external_url(F.col("text"), leads).alias("external"))
 
 
-_WIDE = "len(regexp_extract_all(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g'), '[^\\x{0}-\\x{10FF}\\x{2000}-\\x{200D}\\x{2010}-\\x{201F}\\x{2032}-\\x{2037}]'))"
-_INFORMATION = f", i AS (SELECT *, length(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g')) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, len(regexp_extract_all(text, '{_SPECIAL['emoji']}')) AS emoji_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
+_PLAIN = f"regexp_replace(regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g'), '{TK.EMOJI_SEQUENCE}', chr(19968), 'g')"
+_WIDE = f"len(regexp_extract_all({_PLAIN}, '[^\\x{{0}}-\\x{{10FF}}\\x{{2000}}-\\x{{200D}}\\x{{2010}}-\\x{{201F}}\\x{{2032}}-\\x{{2037}}]'))"
+_INFORMATION = f", i AS (SELECT *, length({_PLAIN}) + {_WIDE} + 23 * len({_URLS}) AS weighted_length, len({_URLS}) AS url_count, len(regexp_extract_all(text, '{_SPECIAL['emoji']}')) AS emoji_count, length(text) - length(replace(text, '#', '')) AS hashtags, length(text) - length(replace(text, '@', '')) AS mentions, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ({_MARKERS}))) AS markers FROM tweets)"
 
 
 @query("votes tweets", _INFORMATION + " SELECT tweet_id, weighted_length, url_count, emoji_count, hashtags, mentions, markers FROM i", ints="weighted_length url_count emoji_count hashtags mentions markers")
@@ -199,6 +204,22 @@ def q_text_information(spark, sf_dir):
     return T.tweets(spark, sf_dir).select("tweet_id", *X.text_information(F.col("text")))
 
 
+# Emoji sequences and what each counts: a family, a flag, a tone, a keycap, a heart with its variation, a flag of tags, two letters that are no flag.
+_SEQUENCES = (("\U0001F468\u200D\U0001F469\u200D\U0001F467", 2), ("\U0001F1E9\U0001F1EA\U0001F1EB\U0001F1F7", 4), ("\U0001F44D\U0001F3FD", 2), ("1\uFE0F\u20E3", 2), ("\u2764\uFE0F", 2),
+    ("\U0001F3F4\U000E0067\U000E0062\U000E007F", 2), ("\u65e5\u672c", 4), ("caf\u00e9", 4))
+
+
+@query("", f"SELECT doc_id, CAST(length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) + CASE doc_id % {len(_SEQUENCES)} " + " ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(_SEQUENCES)) + " END AS INTEGER) AS weighted_length FROM documents")
+def q_emoji_length(spark, sf_dir):
+    """The weighted length of each text's letters with a sequence of emoji (or what is none) in their midst."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", "")
+    some = F.array(*[F.lit(x) for x, _ in _SEQUENCES])[F.col("doc_id") % len(_SEQUENCES)]
+    half = (F.length(letters) / 2).cast("int")
+    text = F.concat(F.substr(letters, F.lit(1), half), some, F.substr(letters, half + 1))
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", X.text_information(F.col("text"))[0].cast("int").alias("weighted_length"))
+
+
 @query("votes tweets", _INFORMATION + " SELECT round(avg(weighted_length), 6) AS mean_length, round_even(100.0::DOUBLE * count(*) FILTER (WHERE url_count > 0) / count(*), 2) AS percent_url, round_even(100.0::DOUBLE * count(*) FILTER (WHERE markers > 0) / count(*), 2) AS percent_marker, round_even(100.0::DOUBLE * count(*) FILTER (WHERE hashtags > 0) / count(*), 2) AS percent_hashtag FROM i WHERE taco_class = 'statement'")
 def q_describe_class(spark, sf_dir):
     rows = T.tweets(spark, sf_dir).where("taco_class = 'statement'").select(*X.text_information(F.col("text")))
@@ -211,23 +232,35 @@ def q_normalise_class(spark, sf_dir):
     return T.votes(spark, sf_dir).select("tweet_id", relational.normalise_class(raw).alias("class"))
 
 
-def _token_sql() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    emoji = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in X.EMOJI_NAMES.items())
-    short = " ".join(f"WHEN ends_with(lower(t), {quote(k)}) THEN left(t, length(t) - {len(k)}) || {quote(v)}" for k, v in X.CONTRACTIONS.items())
-    one = f"CASE WHEN starts_with(t, '@') THEN '@USER' WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' WHEN length(t) = 1 THEN CASE t {emoji} ELSE t END {short} ELSE t END"
-    word = r"[\p{L}\p{N}_]+"
-    pattern = rf"https?://\S+|www\.\S+|@{word}|#{word}|{word}(?:['-]{word})*|\.\.\.|[^\p{{L}}\p{{N}}_\s]"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _token_sql(known: str) -> str:
+    """SQL of a text's normal form; ``known`` is what the dictionary has for lower(t)."""
+    short = " ".join(f"WHEN ends_with(lower(t), {_quoted(k)}) AND length(t) > 1 THEN left(t, length(t) - {len(k)}) || {_quoted(v)}" for k, v in TK.CONTRACTIONS.items())
+    one = f"CASE WHEN starts_with(t, '@') AND length(t) > 1 THEN '@USER' WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' WHEN {known} IS NOT NULL THEN {known} {short} ELSE t END"
     plain = "replace(replace(text, chr(8217), ''''), chr(8230), '...')"
-    out = f"array_to_string(list_transform(regexp_extract_all({plain}, {quote(pattern)}), lambda t: {one}), ' ')"
-    for old, new in X.SPACING:
-        out = f"replace({out}, {quote(old)}, {quote(new)})"
+    out = f"array_to_string(list_transform(regexp_extract_all({plain}, {_quoted(TK.TOKEN)}), lambda t: {one}), ' ')"
+    for old, new in TK.SPACING:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
-@query("votes tweets", f"SELECT tweet_id, {_token_sql()} AS normal FROM tweets")
+_EMOJI_SQL = "CASE t " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in TK.EMOJI_NAMES.items()) + " END"
+
+
+@query("votes tweets", f"SELECT tweet_id, {_token_sql(_EMOJI_SQL)} AS normal FROM tweets")
 def q_tweet_normalise(spark, sf_dir):
-    return T.tweets(spark, sf_dir).select("tweet_id", X.normalize_tweet(F.col("text")).alias("normal"))
+    return T.tweets(spark, sf_dir).select("tweet_id", TK.normalize_tweet(F.col("text")).alias("normal"))
+
+
+@query("votes tweets", f""", words AS (SELECT token, '<' || min(label) || '>' AS meaning FROM (SELECT unnest(string_split(lower(text), ' ')) AS token, 'b' || item_id % 7 AS label FROM benchmark) WHERE token <> '' GROUP BY token),
+    w AS (SELECT map(list(token), list(meaning)) AS m FROM words) SELECT tweet_id, {_token_sql('m[lower(t)]')} AS normal FROM tweets, w""")
+def q_dictionary(spark, sf_dir):
+    """Tokens that a table has (here the words of all benchmark items) replaced by their meanings there."""
+    items = T.table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("token"), F.concat(F.lit("<b"), F.col("item_id") % 7, F.lit(">")).alias("meaning"))
+    return TK.normalize_tweets(T.tweets(spark, sf_dir), items.where("token <> ''"), "tweet_id")
 
 
 # ---- joins and sets
@@ -309,6 +342,13 @@ def q_stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(T.votes(spark, sf_dir), _N).select("tweet_id", "taco_class")
 
 
+@query("votes", _SAMPLE.replace("votes", "chosen").replace(", k AS", ", chosen AS (SELECT * FROM votes WHERE confidence >= 0.2), k AS", 1) + " SELECT tweet_id, taco_class FROM sample")
+def q_test_mode(spark, sf_dir):
+    """Selection in test mode: a stratified sample of the valid rows."""
+    records = T.votes(spark, sf_dir).withColumn("is_valid", F.col("confidence") >= 0.2)
+    return sampling.select_rows(records, test_mode=True, n=_N).select("tweet_id", "taco_class")
+
+
 @query("votes", "SELECT tweet_id, taco_class, CAST((row_number() OVER (PARTITION BY taco_class ORDER BY md5(tweet_id || ':123456789'), tweet_id) - 1) % 10 AS INT) AS fold FROM votes")
 def q_kfold(spark, sf_dir):
     return sampling.stratified_folds(T.votes(spark, sf_dir)).select("tweet_id", "taco_class", "fold")
@@ -386,7 +426,9 @@ def q_validate_annotations(spark, sf_dir):
 @query("annotations", _VALID + """ SELECT count(*) AS total_validated, count(*) FILTER (WHERE good) AS valid, count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6, 7)) AS invalid, count(*) FILTER (WHERE kind = 7) AS no_json, count(*) FILTER (WHERE kind IN (5, 6)) AS invalid_json_structure,
     count(*) FILTER (WHERE NOT good AND kind NOT IN (5, 6, 7)) AS invalid_annotation_fields, round(count(*) FILTER (WHERE good) * 100.0::DOUBLE / count(*), 6) AS validation_rate FROM r""")
 def q_validation_stats(spark, sf_dir):
-    return perspectives.validation_stats(perspectives.validate(_responses(spark, sf_dir).drop("label", "confidence"), strict=True))
+    """Counters of the validated answers, taken while these are written."""
+    done = perspectives.validate(_responses(spark, sf_dir).drop("label", "confidence"), strict=True)
+    return tables.write_counted(done, f"{Scratch(spark, 'counters').root}/validated", perspectives.validation_metrics())
 
 
 def _features_sql(key: str = "tweet_id") -> str:

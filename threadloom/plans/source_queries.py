@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import features, graph, perspectives, profile, relational, sampling
 from ..scratch import Scratch
 from ..sources import tables
+from ..streaming import annotation
 from . import fixtures as T
 from .registry import query
 
@@ -41,14 +43,13 @@ def q_csv_keyed(spark, sf_dir):
 
 @query("annotations", "SELECT tweet_id, label, confidence, 'text of ' || id AS evidence FROM annotations")
 def q_json_annotations(spark, sf_dir):
-    """Map-shaped documents, one per tenth of the ids, written as text and read as rows."""
+    """Documents with a map-shaped member, one per tenth of the ids and a file each, read as rows of its keys."""
     out = f"{Scratch(spark, 'json').root}/annotations"
     item = F.struct("label", F.concat(F.lit("text of "), "id").alias("evidence_span"), "confidence", F.lit("because").alias("rationale"))
     one = T.annotations(spark, sf_dir).groupBy("tweet_id").agg(F.collect_list(item).alias("items"))
-    documents = one.groupBy(F.crc32("tweet_id") % 10).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("tweet_id", "items")))).alias("value"))
-    documents.select("value").repartition(4).write.option("lineSep", "\n").mode("overwrite").text(out)
-    lines = spark.read.text(out)
-    rows = lines.select(F.explode(F.from_json("value", tables.ANNOTATIONS)).alias("tweet_id", "annotations"))
+    documents = one.groupBy((F.crc32("tweet_id") % 10).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("tweet_id", "items")))).alias("value"))
+    documents.withColumn("value", F.concat(F.lit('{"run": [1, 2], "annotations": '), "value", F.lit("}"))).write.partitionBy("part").mode("overwrite").text(out)
+    rows = tables.read_annotations(spark, out, "annotations")
     found = rows.select("tweet_id", F.inline("annotations"))
     return found.select("tweet_id", "label", "confidence", F.col("evidence_span").alias("evidence"))
 
@@ -100,16 +101,46 @@ def q_graph_store(spark, sf_dir):
     return sums.join(masks, "fold")
 
 
-@query("", "SELECT * FROM (VALUES ('documents', FALSE), ('not there', TRUE), ('pages', FALSE)) t(name, missing)")
+@query("votes", "SELECT c AS name, c NOT IN (SELECT taco_class FROM votes) AS missing FROM (VALUES ('reason'), ('statement'), ('notification'), ('none'), ('undecided')) t(c)")
 def q_missing_inputs(spark, sf_dir):
-    names = ["documents", "not there", "pages"]
-    lost = tables.missing_inputs(spark, [f"{sf_dir}/{n}.parquet" for n in names])
-    return spark.createDataFrame([(n, f"{sf_dir}/{n}.parquet" in lost) for n in names], "name string, missing boolean")
+    """Of the folders that a table written by class should have, those that aren't there."""
+    out, names = f"{Scratch(spark, 'by-class').root}/votes", [*features.CLASS_IDS, "undecided"]
+    T.votes(spark, sf_dir).write.partitionBy("taco_class").parquet(out)
+    lost = tables.missing_inputs(spark, [f"{out}/taco_class={n}" for n in names])
+    return spark.createDataFrame([(n, f"{out}/taco_class={n}" in lost) for n in names], "name string, missing boolean")
 
 
-@query("", "SELECT 'pass2_llama_test_20250101_000000.json' AS name")
+@query("votes", "SELECT taco_class, count(*) AS n, 'pass2_' || taco_class || '_test_20250101_000000.json' AS name FROM votes GROUP BY 1")
 def q_output_name(spark, sf_dir):
-    return spark.createDataFrame([(tables.output_name("llama", "test", "20250101_000000", 2),)], "name string")
+    """Each class's rows written under a name made for it, and read again."""
+    root, rows = Scratch(spark, "named").root, T.votes(spark, sf_dir)
+    parts = []
+    for label in features.CLASS_IDS:
+        name = tables.output_name(label, "test", "20250101_000000", 2)
+        tables.write_json(rows.where(F.col("taco_class") == label), f"{root}/{name}")
+        back = spark.read.schema("taco_class string").json(f"{root}/{name}").groupBy("taco_class").agg(F.count("*").alias("n"))
+        parts.append(back.withColumn("name", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("votes tweets", "SELECT tweet_id, right(tweet_id, 1) <> '9' AS is_valid, CASE WHEN right(tweet_id, 1) = '9' THEN 'parse_error' END AS error FROM tweets WHERE text IS NOT NULL")
+def q_annotation_stream(spark, sf_dir):
+    """A run that is stopped after its first batch and started again."""
+    root = Scratch(spark, "annotation-stream").root
+    T.tweets(spark, sf_dir).where("text IS NOT NULL").select("tweet_id", "text").repartition(4, "tweet_id").write.parquet(f"{root}/records")
+
+    def stop(number):
+        raise InterruptedError("stopped")
+
+    from .model_queries import _unsteady
+
+    try:
+        annotation.start(spark, f"{root}/records", f"{root}/run", _unsteady, after=stop).awaitTermination()
+    except StreamingQueryException as error:
+        if "stopped" not in str(error):
+            raise
+    annotation.start(spark, f"{root}/records", f"{root}/run", _unsteady, files=2).awaitTermination()
+    return annotation.results(spark, f"{root}/run").select("tweet_id", "is_valid", "error")
 
 
 @query("votes tweets", "SELECT tweet_id, CAST(CASE taco_class WHEN 'reason' THEN 0 WHEN 'statement' THEN 1 WHEN 'notification' THEN 2 WHEN 'none' THEN 3 END AS INT) AS y, CASE topic WHEN 'src1' THEN 'first' ELSE topic END AS topic FROM tweets")
@@ -162,4 +193,5 @@ def q_graph_metadata(spark, sf_dir):
 @query("annotations", "SELECT count(*) AS total_tweets, count(*) FILTER (WHERE confidence < 0.5) AS successful, count(*) FILTER (WHERE NOT confidence < 0.5) AS failed, round(count(*) FILTER (WHERE confidence < 0.5) * 100.0::DOUBLE / count(*), 6) AS success_rate, 120.0::DOUBLE AS total_time, round(120.0::DOUBLE / count(*), 9) AS seconds_per_tweet, 6000 AS total_tokens, 50.0::DOUBLE AS tokens_per_second FROM annotations", ints="total_tokens")
 def q_run_summary(spark, sf_dir):
     done = T.annotations(spark, sf_dir).withColumn("is_valid", F.col("confidence") < 0.5)
-    return perspectives.run_summary(done, 120.0, 6000).withColumn("seconds_per_tweet", F.round("seconds_per_tweet", 9))
+    counted = tables.write_counted(done, f"{Scratch(spark, 'counters').root}/run", perspectives.run_metrics(120.0, 6000))
+    return counted.withColumn("seconds_per_tweet", F.round("seconds_per_tweet", 9))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_objects import read_object
+
 CONVERSATIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("tweet_id", "conversation_id", "parent_id")])
 VOTES = T.StructType([*(T.StructField(c, T.StringType()) for c in ("tweet_id", "class", "topic")), T.StructField("confidence", T.DoubleType())])
 TWEETS = T.StructType([T.StructField(c, T.StringType()) for c in ("tweet_id", "text")])
-ANNOTATIONS = "map<string,array<struct<label:string,evidence_span:string,confidence:double,rationale:string>>>"
+ANNOTATION_LIST = "array<struct<label:string,evidence_span:string,confidence:double,rationale:string>>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
@@ -24,10 +28,10 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(tweet_id, annotations) of each key of a map-shaped annotation document."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", ANNOTATIONS)).alias("tweet_id", "annotations"))
+def read_annotations(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """(tweet_id, annotations) of each key of a map-shaped annotation document a file, or of its member of that name; large files are shared among tasks."""
+    rows = read_object(spark, path, member)
+    return rows.select(F.col("key").alias("tweet_id"), F.from_json("value", ANNOTATION_LIST).alias("annotations"))
 
 
 def read_vectors(spark: SparkSession, path: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -57,6 +61,18 @@ def write_outcome(results: DataFrame, path: str, ok: str = "is_valid") -> bool:
     return True
 
 
+def write_counted(rows: DataFrame, path: str, metrics: list[Column], mode: str = "overwrite") -> DataFrame:
+    """Writes ``rows`` as JSON and returns one row of ``metrics`` (named aggregates), taken while they are written.
+
+    The rows are computed once, for both. They are counted in the tasks that write them, of which each counts once, however often it was tried.
+    """
+    seen = Observation(f"counted-{uuid.uuid4().hex}")
+    rows.observe(seen, *metrics).write.mode(mode).json(path)
+    kind = rows.agg(*metrics).schema
+    got = seen.get
+    return rows.sparkSession.createDataFrame([tuple(got[f.name] for f in kind)], kind)
+
+
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     """Vertices and edges by fold."""
     vertices.write.mode("overwrite").partitionBy("fold").parquet(f"{path}/vertices")
