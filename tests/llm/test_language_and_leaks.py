@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 from threadloom.llm import decontaminate as D
+from threadloom.skew import salted_join
 from threadloom.llm import language_id as L
 from threadloom.llm.arrowtext import WordHasher
 
@@ -120,14 +121,39 @@ def test_finds_exactly_contained_items(spark, docs_of, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     expected = brute(docs, items)
     assert expected
-    for block in (D.BLOCK_SHINGLES, 40):
-        monkeypatch.setattr(D, "BLOCK_SHINGLES", block)
-        got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in D.find_leaks(docs_of(*docs), table).collect()}
-        assert got == expected
+    for parts in (512, 2):  # with few and with many keys that are hot
+        monkeypatch.setattr(D, "salted_join", lambda rows, side, on, parts=parts: salted_join(rows, side, on, parts))
+        got = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in D.find_leaks(docs_of(*docs), table).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
     clean = {r.doc_id for r in D.decontaminate(docs_of(*docs), table).collect()}
     assert clean == {d for d, _ in docs} - {e[0] for e in expected}
 
 
+def test_documents_are_read_once_whatever_the_items(spark, docs_of):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = docs_of(*[(i, " ".join(f"w{i * 7 + k}" for k in range(30))) for i in range(200)])
+    docs = docs.mapInArrow(counted, docs.schema)
+    items = spark.range(40_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(0, 24), k -> concat('w', id * 40 + k))) AS text")  # over 5 MB
+    D.find_leaks(docs, items).collect()
+    assert seen.value == 200
+
+
+def test_a_hot_item_and_repeated_rows(spark, docs_of):
+    item, other = "one two three four five six seven", "a b c d e f"
+    rows = [(i, f"start {item} end {i}") for i in range(300)] + [(900, f"{other} {item}")] * 5 + [(None, item), (None, "clean text only"), (901, "one two three four five")]
+    items = spark.createDataFrame([(1, item), (2, item), (3, other)], "item_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.item_id, r.containment) for r in D.find_leaks(docs_of(*rows), items).collect())
+    want = [(False, i, k, 1.0) for i in range(300) for k in (1, 2)] + [(False, 900, k, 1.0) for k in (1, 2, 3)] * 5 + [(True, 0, k, 1.0) for k in (1, 2)]
+    assert got == sorted(want)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in D.decontaminate(docs_of(*rows), items).collect()) == [(False, 901), (True, 0)]
+
+
 def test_no_items_and_no_documents(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_leaks(docs_of((1, "a b c d e")), none).count() == 0

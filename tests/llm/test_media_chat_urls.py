@@ -111,6 +111,16 @@ def test_unknown_layouts_are_rejected_and_the_rest_is_formatted(spark):
     }
     bad = {(r.conv_id, r.turn): r.reason for r in chat.rejected(df).collect()}
     assert set(bad) == {(1, 1), (3, 0), (4, 0), (5, 0)} and "id" in bad[1, 1]
+    report = {r.conv_id: (r.n_turns, r.n_rejected) for r in chat.conversation_report(df).collect()}
+    assert report == {1: (1, 1), 2: (2, 0), 3: (0, 1), 4: (0, 1), 5: (0, 1), 6: (1, 0), 7: (5, 0)}
+
+
+def test_records_span_six_layouts(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t}") for c in range(12) for t in range(4)]
+    records = chat.turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    fields = {c: {tuple(sorted(json.loads(r.record))) for r in records if r.conv_id == c} for c in range(6)}
+    assert fields == {0: {("role", "text")}, 1: {("content", "role")}, 2: {("messages",)}, 3: {("conversations",)}, 4: {("completion", "prompt")}, 5: {("instruction", "output")}}
+    assert sum(r.conv_id in (4, 5, 10, 11) for r in records) == 8
 
 
 URLS = [
@@ -120,6 +130,20 @@ URLS = [
 ]
 
 
+def test_a_path_of_many_segments_is_linear(spark):
+    import time
+
+    urls = [f"http://h.io/a/b{i}/c" for i in range(50)]
+    took = []
+    for n in (10, 100_000):
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://h.io/" + "/".join(f"s{k}x" for k in range(n))])], "page_id long, url string")
+        begun = time.perf_counter()
+        rows = url_filters.judge(pages).collect()
+        took.append(time.perf_counter() - begun)
+        assert len(rows) == 51 and all(r.verdict == "allow" for r in rows)
+    assert took[1] < 3 * took[0] + 10
+
+
 def test_rules(spark):
     pages = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}

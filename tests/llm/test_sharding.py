@@ -66,3 +66,14 @@ def test_many_repeated_rows_do_not_make_one_shard_heavy(spark):
     loads = [r.b for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(loads) == 8 and max(loads) < 1.02 * min(loads) and got.count() == 20_000
     assert got.groupBy("shard").agg((F.max("slot") + 1 - F.countDistinct("slot")).alias("gaps")).where("gaps <> 0").count() == 0
+
+
+def test_slots_follow_from_record_and_chunk(spark, docs_of):
+    rows = S.records(docs_of(*[(1, "often")] * 2000, *[(2, "twice")] * 2, *[(i, f"text {i}") for i in range(3, 300)])).withColumn("id", F.col("doc_id"))
+    rows.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/sharding-rows")
+    spread = S.spread_repeats(spark.read.parquet(path)).select("doc_id", "content", "virtual_slot", S.slot_of(F.col("content"), F.lit(0)).alias("own")).collect()
+    assert len(spread) == 2299
+    assert all(r.virtual_slot == r.own for r in spread if r.doc_id != 1)  # whatever else is in the table
+    often = Counter(r.virtual_slot for r in spread if r.doc_id == 1)
+    chunks = spark.range(32).select(S.slot_of(F.lit(next(r.content for r in spread if r.doc_id == 1)), F.col("id")).alias("s")).collect()
+    assert set(often) <= {r.s for r in chunks} and len(often) > 25 and max(often.values()) < 200

@@ -3,7 +3,8 @@
 The nested field paths of a record (sorted, array steps as ``[]``) are hashed; the fingerprint selects a declarative
 mapping that turns the record into canonical turns (role, text). Known layouts are single turns, message lists,
 instruction with output, prompt with completion, and message lists whose content is a list of text parts; ``Layout`` adds more.
-Records of unknown layout, and those that aren't JSON objects, are not formatted: ``rejected`` returns them with their paths.
+Records of unknown layout, and those that aren't JSON objects, are not formatted: the report counts them by conversation, so none is lost
+from sight, and ``rejected`` returns them with their paths.
 
 The template writes ``<s>[TURN role]text[/TURN]`` and so on; every ``\\``, ``<``, ``>``, ``[`` and ``]`` inside a role or
 text is escaped by a backslash and a letter, so no text can make a control string and reading is exact. Loss falls on
@@ -26,6 +27,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..skew import let
 
@@ -129,7 +131,7 @@ class _Reading:
     """What has been read back of one conversation."""
 
     def __init__(self) -> None:
-        self.n, self.chars, self.length = 0, 0, 0
+        self.n, self.chars, self.length, self.rejected = 0, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, formatted: str) -> None:
@@ -142,41 +144,53 @@ class _Reading:
                 self.loss.update(text.encode("utf-8", "replace"))
 
     def row(self, conversation: int | None) -> tuple:
-        return conversation, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.length
+        return conversation, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.length, self.rejected
 
 
-_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rejected long"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 _NAMES = [x.split()[0] for x in _READ.split(", ")]
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(conversation, formatted turn, whether it is the first) of each row of ordered (conv_id, record) batches, by batch."""
+    """(conversation, formatted turn or None for a rejected record, whether the conversation begins) of ordered (conv_id, record) batches, by batch."""
     seen: object = _formatted  # no conversation yet
+    started = False
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         for conversation, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for role, text in read_record(record)[0]:
-                out.append((conversation, format_turn(role, text, conversation != seen), conversation != seen))
-                seen = conversation
+            new = conversation != seen
+            seen, started = conversation, started and not new
+            turns, reason = read_record(record)
+            if reason is not None:
+                out.append((conversation, None, new))
+            for role, text in turns:
+                out.append((conversation, format_turn(role, text, not started), new))
+                started, new = True, False
+            if not turns and reason is None:
+                out.append((conversation, "", new))  # a record without turns
         yield out
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _formatted(batches):
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((r[0], r[1]) for r in rows), strict=True)], schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string())]))
+        kept = [(c, text) for c, text, _ in rows if text]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept, strict=True)], schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string())]))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, reading, done = None, None, []
     for rows in _formatted(batches):
-        for conversation, formatted, first in rows:
-            if first:
+        for conversation, formatted, new in rows:
+            if new:
                 if reading is not None:
                     done.append(reading.row(now))
                 now, reading = conversation, _Reading()
-            reading.add(formatted)
+            if formatted is None:
+                reading.rejected += 1
+            else:
+                reading.add(formatted)
         if len(done) >= 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _KINDS, strict=True)], _NAMES)
             done = []
@@ -207,19 +221,29 @@ def _ordered(records: DataFrame) -> DataFrame:
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, record) from rows by turn: each record the JSON of its role and text.
+    """(conv_id, turn, record) from rows by turn: each record the JSON of its role and text, or of a pair of turns.
 
-    Conversations come in four layouts by their id, as a corpus of several sources would.
+    Conversations come in six layouts by their id, as a corpus of several sources would. In two of them a user's turn and the
+    assistant's after it, of a later turn number, are one record: prompt with completion, instruction with output; their other turns
+    are single ones.
     """
-    role, text, kind = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
-    message = F.struct(role.alias("role"), text.alias("content"))
+    role, text, kind = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(6))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), role, text)
+    near = {f"{side}_{c}": move(v).over(order) for side, move in (("next", F.lead), ("last", F.lag)) for c, v in (("role", role), ("text", text), ("turn", F.col("turn")))}
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumns(near)
+    paired = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(6)) >= 4
+    asks = paired & (F.col("role") == "user") & (F.col("next_role") == TRAINED) & (F.col("next_turn") > F.col("turn"))
+    answers = paired & (F.col("role") == TRAINED) & (F.col("last_role") == "user") & (F.col("turn") > F.col("last_turn"))
+    message, own, said = F.struct(F.col("role").alias("role"), F.col("text").alias("content")), F.col("text"), F.col("next_text")
     record = (
-        F.when(kind == 1, F.to_json(message))
+        F.when(asks & (kind == 4), F.to_json(F.struct(own.alias("prompt"), said.alias("completion"))))
+        .when(asks, F.to_json(F.struct(own.alias("instruction"), said.alias("output"))))
+        .when(kind == 1, F.to_json(message))
         .when(kind == 2, F.to_json(F.struct(F.array(message).alias("messages"))))
-        .when(kind == 3, F.to_json(F.struct(F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"))))
-        .otherwise(F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+        .when(kind == 3, F.to_json(F.struct(F.array(F.struct(F.col("role").alias("from"), own.alias("value"))).alias("conversations"))))
+        .otherwise(F.to_json(F.struct("role", "text")))
     )
-    return conversations.select("conv_id", "turn", record.alias("record"))
+    return rows.where(~F.coalesce(answers, F.lit(False))).select("conv_id", "turn", record.alias("record"))
 
 
 def _reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,5 +264,5 @@ def format_conversations(records: DataFrame) -> DataFrame:
 
 
 def conversation_report(records: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted output reads back as: turns, their hash, and the text under the loss mask."""
+    """Per conversation, what its formatted output reads back as: turns, their hash, the text under the loss mask, and how many records were rejected."""
     return _ordered(records).mapInArrow(_read_back, _READ)

@@ -26,9 +26,13 @@ def place(id_: str) -> Column:
 
 def bitmap(ids: DataFrame, id_: str) -> np.ndarray:
     """The filter of column ``id_``, as bytes, lowest bit first."""
-    count = ids.agg(F.approx_count_distinct(id_)).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count - 1).bit_length()))
-    at = ids.select(F.pmod(place(id_), F.lit(bits)).alias("at"))
+    return bitmap_of(ids.select(place(id_).alias("at")), ids.agg(F.approx_count_distinct(id_)).first()[0])
+
+
+def bitmap_of(places: DataFrame, count: int, bits_each: int = BITS_EACH) -> np.ndarray:
+    """The filter of ``count`` places (at), each below MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, bits_each * count - 1).bit_length()))
+    at = places.select(F.pmod("at", F.lit(bits)).alias("at"))
     rows = at.groupBy(F.floor(F.col("at") / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BLOCK))).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for row in rows.collect():
@@ -54,7 +58,12 @@ def _passer(filter_: np.ndarray, id_: str, wanted: bool):
     return rows
 
 
-def divided(rows: DataFrame, ids: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``id_`` may be among those of ``ids``, and those whose isn't; null ids are among the second."""
+def divided(rows: DataFrame, ids: DataFrame, id_: str, then=None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``id_`` may be among those of ``ids``, and those whose isn't; null ids are among the second.
+
+    ``then``, a function of Arrow batches to batches of ``schema``, is applied to the second part by the same worker.
+    """
     filter_, marked = bitmap(ids, id_), rows.withColumn(_PLACE, place(id_))
-    return marked.mapInArrow(_passer(filter_, id_, True), rows.schema), marked.mapInArrow(_passer(filter_, id_, False), rows.schema)
+    others = _passer(filter_, id_, False)
+    rest = marked.mapInArrow(others, rows.schema) if then is None else marked.mapInArrow(lambda batches: then(others(batches)), schema)
+    return marked.mapInArrow(_passer(filter_, id_, True), rows.schema), rest

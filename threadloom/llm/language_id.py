@@ -31,6 +31,7 @@ DIMENSIONS = 1024
 LEAST_SCORE = 4 / DIMENSIONS**0.5
 #: Texts of fewer letters hold too few trigrams to be told from chance, so a low score says nothing about them.
 LEAST_LETTERS = 64
+MARGIN_ROWS = 20_000
 GROUP = 64
 HELD = 24_000
 _BLANK = ord(" ")
@@ -191,6 +192,34 @@ def predict(docs: DataFrame, model: dict[str, list[float]], keep: list[str], dim
     return source.mapInArrow(_predictor(names, centred(model, dimensions), dimensions, seed, dropped), f"{fields}, lang_pred string, score double")
 
 
+def letter_class(text: str = "text"):
+    """The number of binary digits of a text's count of letters."""
+    return F.length(F.bin(F.length(F.regexp_replace(text, r"\P{L}+", "")))).cast("int")
+
+
+def margins(docs: DataFrame, model: dict[str, list[float]], rows: int = MARGIN_ROWS) -> list[float]:
+    """The least score to be expected of a text of each class of length, from about ``rows`` labelled rows at most.
+
+    It is half of what all but one in a thousand of the rows reach that are told rightly, and LEAST_SCORE at most. Classes without
+    rows take that of the next shorter one (longer texts score higher), or 0 if there is none.
+    """
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    share = min(1.0, rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    told = predict(drawn.withColumn("class", letter_class()), model, ["lang", "class"])
+    low = told.where("lang = lang_pred").groupBy("class").agg(F.percentile_approx("score", 0.001, 100_000).alias("low"))
+    found = {r["class"]: r.low for r in low.collect()}  # a row per class, of which there are 32 at most
+    out, last = [], 0.0
+    for k in range(33):
+        last = min(LEAST_SCORE, found[k] / 2) if k in found else last
+        out.append(last)
+    return out
+
+
+def least_score(margin: list[float], text: str = "text"):
+    return F.array(*[F.lit(m) for m in margin])[letter_class(text)]
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the fifth of the rows that must not teach; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0

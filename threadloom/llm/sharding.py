@@ -6,8 +6,8 @@ stay where they are as far as a shard is not over its share, only the surplus mo
 the data, so it is built in one task and broadcast.
 
 Law: ``bytes``. A record's size is its UTF-8 bytes plus 1, a null text has none. Records with the same id and text share a
-slot, unless there are so many of them that their slot holds over HOT times the mean number of rows: the rows of such
-slots, which only repeated rows make, are dealt over all slots by their place in the table. Ids may be null. Places within a slot
+slot up to REPEATS rows; each further REPEATS rows or so have a slot of their own, hashed from the record and the number of the chunk, so no
+number of repeated rows overfills a slot, and a record's slots follow from the record and its number of rows. Ids may be null. Places within a slot
 are one task's work a slot, so for tables beyond some billion rows ``slots`` should be raised with them. Texts are read whole and only
 counted and hashed; other columns are not looked at. An empty table gives an empty result.
 """
@@ -19,31 +19,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..scratch import Scratch
+from ..skew import split_join
 
 SLOTS = 4096
-HOT = 16
+REPEATS = 64
 SLACK = 0.01  # of a shard's share, before a rebalance moves slots away
 _OWNERS = "array<struct<slot:int,shard:int>>"
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row."""
+    """doc_id, size, text_crc32, content (a hash of id and text) and virtual_slot of each row."""
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", "text").alias("content"), slot_of(F.xxhash64("doc_id", "text"), F.lit(0), slots).alias("virtual_slot"),
     )
 
 
+def slot_of(content: Column, chunk: Column, slots: int = SLOTS) -> Column:
+    """The slot of a record's (id and text) ``chunk``-th REPEATS rows: of the first, the record's own."""
+    return F.pmod(F.when(chunk == 0, content).otherwise(F.xxhash64(content, chunk)), F.lit(slots)).cast("int")
+
+
 def spread_repeats(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``rows`` (written ones) with the rows of overfull slots dealt over all slots. There are fewer than slots / HOT of these."""
-    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"))  # a row a slot
-    total = counts.agg(F.sum("n").alias("total"))
-    hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") > HOT * F.col("total") / slots) & (F.col("n") > HOT)).select("virtual_slot", F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(hot), "virtual_slot", "left")
-    other = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")
-    return marked.withColumn("virtual_slot", F.when(F.col("hot"), other).otherwise(F.col("virtual_slot"))).drop("hot")
+    """``rows`` (written ones) with each record's rows dealt to chunks of about REPEATS, and a slot for each chunk.
+
+    A record's slots follow from its hash and the number of its rows alone, so they can be found again; records of up to REPEATS rows have one.
+    """
+    often = rows.groupBy("content").agg(F.count("*").alias("k")).where(F.col("k") > REPEATS)
+    often = Scratch(rows.sparkSession, "repeats").write(often.withColumn("chunks", F.ceil(F.col("k") / REPEATS)), "often")
+    marked = split_join(rows, often, "content", rows.count(), how="left")
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("chunks", F.lit(1)))
+    marked = marked.withColumn("chunk", chunk)  # drawn once
+    return marked.withColumn("virtual_slot", slot_of(F.col("content"), F.col("chunk"), slots)).drop("chunks", "chunk")
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:

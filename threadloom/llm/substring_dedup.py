@@ -213,7 +213,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, bounds in slices(batch):
             out, raw = [], data.tobytes()
-            for k, found in enumerate(part.column(part.schema.get_field_index(_SPANS)).to_pylist()):
+            for k, found in enumerate(part.column(_SPANS).to_pylist() if _SPANS in part.schema.names else [None] * part.num_rows):
                 words, gone = raw[bounds[k] : bounds[k + 1]].split(), 0
                 n = len(words)
                 if found:
@@ -246,22 +246,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "text", "n_removed", "emptied"])
 
 
-def _with_repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the repeats of each row, in two parts: those that may lose words, and those that don't, whose texts aren't shuffled."""
+def _with_repeats(docs: DataFrame, scratch: Scratch, then=None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may lose words, with their repeats, and those that don't, whose texts aren't shuffled (and to which ``then`` is applied)."""
     found = repeats(docs, scratch).distinct()
     spans_ = found.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias(_SPANS))
     spans_ = scratch.write(spans_, "spans")
-    some, none = divided(docs, spans_.select(F.col("__id").alias("doc_id")), "doc_id")
+    some, none = divided(docs, spans_.select(F.col("__id").alias("doc_id")), "doc_id", then, schema)
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__row"))
-    return some.join(spans_, same, "left").drop("__id", "__row"), none.withColumn(_SPANS, F.lit(None).cast(spans_.schema[_SPANS].dataType))
+    return some.join(spans_, same, "left").drop("__id", "__row"), none
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    some, none = _with_repeats(docs.select("doc_id", "text"), scratch)
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return some.mapInArrow(_digests, fields).unionByName(none.mapInArrow(_digests, fields))
+    some, none = _with_repeats(docs.select("doc_id", "text"), scratch, _digests, fields)
+    return some.mapInArrow(_digests, fields).unionByName(none)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..scratch import Scratch
 from ..skew import split_join
@@ -98,18 +99,31 @@ def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(reduce(DataFrame.unionByName, done), "tree")
 
 
+def _nodes(rows: DataFrame, key: list[str], path: str) -> DataFrame:
+    """A row per segment of each row's path, and one of depth 0: depth, segment, node, above.
+
+    A node is named by 128 bits, the combined hashes of depth and segment of all on the way to it, which a running sum along the path makes; so a
+    path's rows are as many and as long as its segments, however deep it is.
+    """
+    each = rows.select(*rows.columns, F.posexplode(F.concat(F.array(F.lit("")), _segments(path))).alias("depth", "segment"))
+    both = lambda make: F.struct(make("__a").alias("a"), make("__b").alias("b"))
+    each = each.withColumns({"__a": F.xxhash64("depth", "segment"), "__b": F.xxhash64(F.lit(1), "segment", "depth")})
+    way = Window.partitionBy(*key).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("node", both(lambda h: F.bit_xor(h).over(way)))
+    above = F.struct(F.col("node.a").bitwiseXOR(F.col("__a")).alias("a"), F.col("node.b").bitwiseXOR(F.col("__b")).alias("b"))
+    return each.withColumn("above", above).drop("__a", "__b")
+
+
 def merged_branches(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, template, branch) of the leaves (host, template, labels, bad): a segment merged with its siblings reads <~>."""
-    parts = _segments("template")
-    steps = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda j: F.struct(
-        j.alias("depth"), F.array_join(F.slice(parts, F.lit(1), j), "/").alias("node"), F.array_join(F.slice(parts, F.lit(1), F.greatest(j - 1, F.lit(0))), "/").alias("above"),
-        F.when(j > 0, F.get(parts, j - 1)).alias("segment")))
-    each = scratch.write(leaves.select("host", "template", "labels", "bad", F.explode(steps).alias("s")).select("host", "template", "labels", "bad", "s.*"), "steps")
+    each = scratch.write(_nodes(leaves.select("host", "template", "labels", "bad"), ["host", "template"], "template"), "steps")
     nodes = each.where("depth > 0").groupBy("host", "depth", "above", "node").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("k")).where(F.col("n") >= LABELS)
+    nodes = scratch.write(nodes, "nodes")
     pooled = nodes.groupBy("host", "depth", "above").agg((F.sum("b") / F.sum("n")).alias("rate"), F.count("*").alias("siblings")).where("siblings > 1")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
     alike = F.abs(F.col("b") / F.col("n") - F.col("rate")) <= Z * spread + 1e-12
-    same = nodes.join(pooled, ["host", "depth", "above"]).where(alike).select("host", "depth", "node", "k", F.lit("<~>").alias("merged"))
+    met = split_join(nodes, scratch.write(pooled, "pooled"), ["host", "depth", "above"], nodes.count(), count="siblings")
+    same = met.where(alike).select("host", "depth", "node", "k", F.lit("<~>").alias("merged"))
     same = scratch.write(same, "merged")
     named = split_join(each, same, ["host", "depth", "node"], each.count(), how="left")
     shown = F.struct("depth", F.coalesce("merged", "segment").alias("segment"))
@@ -121,12 +135,14 @@ def purities(branches: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, branch, purity) of the branches (host, branch, labels, bad)."""
     names = F.split("host", r"\.")
     domain = F.array_join(F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), 2), ".")
-    parts = _segments("branch")
-    scope = lambda level, owner, node: F.struct(level.cast("int").alias("level"), owner.alias("owner"), node.alias("node"))
-    around = F.array(scope(F.lit(0), F.lit("*"), F.col("branch")), scope(F.lit(1), domain, F.lit("")), scope(F.lit(2), domain, F.col("branch")))
-    on_the_way = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda j: scope(j + 3, F.col("host"), F.array_join(F.slice(parts, F.lit(1), j), "/")))
-    each = branches.select("host", "branch", "labels", "bad", F.explode(F.concat(around, on_the_way)).alias("s")).select("host", "branch", "labels", "bad", "s.*")
-    each = scratch.write(each, "scopes")
+    hashed = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
+    scope = lambda level, owner, node: F.struct(F.lit(level).alias("level"), owner.alias("owner"), node.alias("node"))
+    whole = hashed(F.col("branch"))
+    around = F.array(scope(0, F.lit("*"), whole), scope(1, domain, hashed(F.lit(""))), scope(2, domain, whole))
+    kept = ["host", "branch", "labels", "bad"]
+    near = branches.select(*kept, F.inline(around))
+    way = _nodes(branches.select(*kept), ["host", "branch"], "branch").select(*kept, (F.col("depth") + 3).alias("level"), F.col("host").alias("owner"), "node")
+    each = scratch.write(near.unionByName(way), "scopes")
     own = F.col("level") == 0  # a host counts once among all hosts, so that no single one speaks for the others
     n = F.when(own, F.least(F.col("labels"), F.lit(1))).otherwise(F.col("labels"))
     b = F.when(own, F.coalesce(F.try_divide("bad", "labels"), F.lit(0.0))).otherwise(F.col("bad"))
