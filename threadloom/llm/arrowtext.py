@@ -6,6 +6,7 @@ slice it works on, and slices hold about SLICE_BYTES of text (or one document, i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -56,6 +57,15 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         low = high
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as Python workers stay when a stage has ended, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function on this system
+        return
+
+
 def lower_ascii() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix, slices
+from .arrowtext import give_back, mix, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -100,8 +100,8 @@ def bundles(trigrams: np.ndarray, owner: np.ndarray, owners: int, memory: Trigra
     """(owners, dimensions) sums of the vectors of each owner's trigrams."""
     seen, at = np.unique(trigrams, return_inverse=True)
     total = np.zeros((owners, memory.dimensions))
-    for low in range(0, len(seen), 8192):
-        some = seen[low : low + 8192]
+    for low in range(0, len(seen), 2048):
+        some = seen[low : low + 2048]
         inside = (at >= low) & (at < low + len(some))
         counts = np.bincount(owner[inside] * len(some) + at[inside] - low, minlength=owners * len(some)).reshape(owners, len(some))
         total += counts.astype(np.float32) @ memory(some).astype(np.float32)  # whole numbers, exact below 2**24
@@ -120,6 +120,8 @@ def _learner(dimensions: int, seed: int):
                 own = np.repeat(np.array([of[x] for x in langs]), np.diff(first))
                 for name, row in zip(names, bundles(trigrams, own, len(names), memory), strict=True):
                     totals[name] = totals[name] + row if name in totals else row
+        del memory
+        give_back()
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.list_(pa.float64()))], ["lang", "total"])
 
@@ -169,6 +171,8 @@ def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, seed:
                     [*part.drop_columns(list(dropped)).columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                     [*[n for n in part.schema.names if n not in dropped], "lang_pred", "score"],
                 )
+        del memory
+        give_back()
 
     return predict
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..scratch import Scratch
 from ..skew import split_join
-from .arrowtext import WordHasher, mix, shingle_sets, slices
+from .arrowtext import WordHasher, give_back, mix, shingle_sets, slices
 from .id_filter import bitmap, divided, passes, place
 
 SHINGLE, PERCENT = 5, 80
@@ -126,6 +126,7 @@ def _signer(size: int):
                     [*same, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(places, pa.binary())],
                     ["doc_id", "text_hash", "n_shingles", "digest", "signature", "places"],
                 )
+        give_back()
 
     return sign
 
@@ -214,6 +215,8 @@ def _enumerator(percent: int):
                 held = held.slice(last)
         if held is not None:
             yield pairs(held)
+        held = None
+        give_back()
 
     return enumerate_
 
@@ -238,6 +241,7 @@ def _setter(size: int, wanted: np.ndarray):
                 own = [s.tobytes() for s in shingle_sets(hasher(data, bounds), size)]
                 digests = [xxhash.xxh3_128_digest(x) for x in own]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(own, pa.binary())], ["id", "digest", "shingles"])
+        give_back()
 
     return sets
 
