@@ -38,7 +38,7 @@ def test_runs_of_two_words_do_not_collide():
     assert twice[0] == twice[1] and len(set(twice.tolist())) == 3
 
 
-@pytest.mark.parametrize("pair", PAIRS[:2])
+@pytest.mark.parametrize("pair", PAIRS[:1])
 def test_operators_tell_such_words_apart(spark, docs_of, pair):
     fill = lambda n: [f"w{k}" for k in range(n)]
     one, two = (" ".join([*fill(25), x, *fill(50)[25:49]]) for x in pair)

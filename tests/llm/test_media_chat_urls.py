@@ -55,6 +55,17 @@ def test_escapes_are_reversible():
         assert chat.unescape(chat.escape(text)) == text and not set("<>[]") & set(chat.escape(text))
 
 
+def test_unresolved_references_and_clashing_names(spark):
+    page = '<p>before</p><img src="sha256:aa" alt="one"><figure><img src="sha256:bb"><img src="sha256:aa"><figcaption>two here</figcaption></figure><video src="http://x/y.mp4"></video><p>after</p>'
+    pages = spark.createDataFrame([(1, page, "a", "b", "c", "d"), (2, "<p>none</p>", "a", "b", "c", "d"), (3, None, None, None, None, None)], "page_id long, html string, items string, item string, digest string, k string")
+    names = ["page_id", "items", "item", "digest", "k", "html"]
+    rows = media.interleave(pages, names)
+    assert rows.columns == ["page_id", "item", "digest", "k", "items"] and {r.page_id: len(r["items"]) for r in rows.collect()} == {1: 6, 2: 1, 3: 0}
+    store = spark.createDataFrame([("aa", 7), ("cc", 8)], "digest string, size long")
+    got = [(r.page_id, r.item, r.k, r.position, r.caption, r.digest, r["size"]) for r in media.resolve(rows, names[:-1], store, unresolved=True).orderBy("position").collect()]
+    assert got == [(1, "b", "d", 1, "one", "aa", 7), (1, "b", "d", 2, "two here", "bb", None), (1, "b", "d", 3, "two here", "aa", 7), (1, "b", "d", 4, None, "http://x/y.mp4", None)]
+
+
 def test_conversations_read_back(spark):
     rows = [(i, t, r, x) for i in range(40) for t, (r, x) in enumerate(random.Random(i).choices([(r, x) for r in ("user", "assistant", "system", None) for x in [*HOSTILE, None]], k=i % 9 + 1))]
     rows += [(97, 0, "user", x) for x in ("a b", "a\nb", "a\"b", "a\\b", "a")] + [(k, 0, r, "same") for k in (94, 95, 96) for r in ("user", "assistant", "")]

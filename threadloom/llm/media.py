@@ -195,22 +195,25 @@ def _interleaver(column: str):
 
 
 def interleave(pages: DataFrame, keep: list[str], column: str = "html") -> DataFrame:
-    """Columns ``keep`` and ``items``, the page's ordered text runs and media references."""
-    source = pages.select(*keep, column)
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(_interleaver(column), f"{fields}, items array<{ITEM}>")
+    """Columns ``keep`` and ``items``, the page's ordered text runs and media references, which replace columns of these names."""
+    kept = [c for c in dict.fromkeys(keep) if c not in ("items", column)]
+    source = pages.select(*kept, column)
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
+    return source.mapInArrow(_interleaver(column), f"{fields + ', ' if kept else ''}items array<{ITEM}>")
 
 
-def resolve(sequences: DataFrame, keep: list[str], store: DataFrame) -> DataFrame:
-    """A row per media item whose payload is in ``store`` (digest, ...): columns ``keep``, position, caption, digest and the store's.
+def resolve(sequences: DataFrame, keep: list[str], store: DataFrame, unresolved: bool = False) -> DataFrame:
+    """A row per media item whose payload is in ``store`` (digest, ...): columns ``keep``, position, caption, digest and the store's. With ``unresolved``, one of the
+    others too, with nulls.
 
-    References are written, as those of a digest are counted before they are joined.
+    Of ``keep``, columns with a name of the others are left out. References are written, as those of a digest are counted before they are joined.
     """
     scratch = Scratch(sequences.sparkSession, "media-references")
-    refs = sequences.select(*keep, F.explode("items").alias("item")).where("item.ref IS NOT NULL")
-    refs = scratch.write(refs.select(*keep, "item.position", "item.caption", F.regexp_replace("item.ref", "^sha256:", "").alias("digest")), "references")
-    side = scratch.write(refs.groupBy("digest").agg(F.count("*").alias("k")).join(store, "digest"), "resolved")
-    return split_join(refs, side, "digest", refs.count())
+    kept = [c for c in dict.fromkeys(keep) if c not in ("position", "caption", "items", *store.columns)]
+    refs = sequences.select(*kept, F.explode("items").alias("__item")).where("__item.ref IS NOT NULL")
+    refs = scratch.write(refs.select(*kept, "__item.position", "__item.caption", F.regexp_replace("__item.ref", "^sha256:", "").alias("digest")), "references")
+    side = scratch.write(refs.groupBy("digest").agg(F.count("*").alias("__k")).join(store, "digest", "left" if unresolved else "inner"), "resolved")
+    return split_join(refs, side, "digest", refs.count(), count="__k")
 
 
 def _storer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,24 +99,28 @@ def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(reduce(DataFrame.unionByName, done), "tree")
 
 
-def _nodes(rows: DataFrame, key: list[str], path: str) -> DataFrame:
-    """A row per segment of each row's path, and one of depth 0: depth, segment, node, above.
+def _named(*parts: Column) -> Column:
+    """128 bits that stand for a path, so that long ones aren't copied or compared."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def _nodes(rows: DataFrame, keep: list[str], key: list[str], path: str) -> DataFrame:
+    """A row per segment of each row's path, and one of depth 0: the columns ``keep``, depth, segment, node, above.
 
     A node is named by 128 bits, the combined hashes of depth and segment of all on the way to it, which a running sum along the path makes; so a
     path's rows are as many and as long as its segments, however deep it is.
     """
-    each = rows.select(*rows.columns, F.posexplode(F.concat(F.array(F.lit("")), _segments(path))).alias("depth", "segment"))
-    both = lambda make: F.struct(make("__a").alias("a"), make("__b").alias("b"))
+    each = rows.select(*keep, F.posexplode(F.concat(F.array(F.lit("")), _segments(path))).alias("depth", "segment"))
     each = each.withColumns({"__a": F.xxhash64("depth", "segment"), "__b": F.xxhash64(F.lit(1), "segment", "depth")})
     way = Window.partitionBy(*key).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("node", both(lambda h: F.bit_xor(h).over(way)))
+    each = each.withColumn("node", F.struct(F.bit_xor("__a").over(way).alias("a"), F.bit_xor("__b").over(way).alias("b")))
     above = F.struct(F.col("node.a").bitwiseXOR(F.col("__a")).alias("a"), F.col("node.b").bitwiseXOR(F.col("__b")).alias("b"))
     return each.withColumn("above", above).drop("__a", "__b")
 
 
 def merged_branches(leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, template, branch) of the leaves (host, template, labels, bad): a segment merged with its siblings reads <~>."""
-    each = scratch.write(_nodes(leaves.select("host", "template", "labels", "bad"), ["host", "template"], "template"), "steps")
+    """(host, leaf, branch) of the leaves (host, leaf, template, labels, bad): a segment merged with its siblings reads <~>."""
+    each = scratch.write(_nodes(leaves, ["host", "leaf", "labels", "bad"], ["host", "leaf"], "template"), "steps")
     nodes = each.where("depth > 0").groupBy("host", "depth", "above", "node").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("k")).where(F.col("n") >= LABELS)
     nodes = scratch.write(nodes, "nodes")
     pooled = nodes.groupBy("host", "depth", "above").agg((F.sum("b") / F.sum("n")).alias("rate"), F.count("*").alias("siblings")).where("siblings > 1")
@@ -128,31 +132,31 @@ def merged_branches(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     named = split_join(each, same, ["host", "depth", "node"], each.count(), how="left")
     shown = F.struct("depth", F.coalesce("merged", "segment").alias("segment"))
     path = F.transform(F.filter(F.array_sort(F.collect_list(shown)), lambda x: x["depth"] > 0), lambda x: x["segment"])  # as long as a path
-    return named.groupBy("host", "template").agg(path.alias("parts")).select("host", "template", F.concat_ws("", F.transform("parts", lambda x: F.concat(F.lit("/"), x))).alias("branch"))
+    return named.groupBy("host", "leaf").agg(path.alias("parts")).select("host", "leaf", F.concat_ws("", F.transform("parts", lambda x: F.concat(F.lit("/"), x))).alias("branch"))
 
 
 def purities(branches: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, branch, purity) of the branches (host, branch, labels, bad)."""
+    branches = scratch.write(branches.withColumn("whole", _named(F.col("branch"))), "branches")
     names = F.split("host", r"\.")
     domain = F.array_join(F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), 2), ".")
-    hashed = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
     scope = lambda level, owner, node: F.struct(F.lit(level).alias("level"), owner.alias("owner"), node.alias("node"))
-    whole = hashed(F.col("branch"))
-    around = F.array(scope(0, F.lit("*"), whole), scope(1, domain, hashed(F.lit(""))), scope(2, domain, whole))
-    kept = ["host", "branch", "labels", "bad"]
+    around = F.array(scope(0, F.lit("*"), F.col("whole")), scope(1, domain, _named(F.lit(""))), scope(2, domain, F.col("whole")))
+    kept = ["host", "whole", "labels", "bad"]
     near = branches.select(*kept, F.inline(around))
-    way = _nodes(branches.select(*kept), ["host", "branch"], "branch").select(*kept, (F.col("depth") + 3).alias("level"), F.col("host").alias("owner"), "node")
+    way = _nodes(branches, kept, ["host", "whole"], "branch").select(*kept, (F.col("depth") + 3).alias("level"), F.col("host").alias("owner"), "node")
     each = scratch.write(near.unionByName(way), "scopes")
     own = F.col("level") == 0  # a host counts once among all hosts, so that no single one speaks for the others
     n = F.when(own, F.least(F.col("labels"), F.lit(1))).otherwise(F.col("labels"))
     b = F.when(own, F.coalesce(F.try_divide("bad", "labels"), F.lit(0.0))).otherwise(F.col("bad"))
     sums = each.groupBy("level", "owner", "node").agg(F.sum(n).alias("n"), F.sum(b).alias("b"), F.count("*").alias("k"))
     sums = scratch.write(sums, "sums")
-    chains = split_join(each.select("host", "branch", "level", "owner", "node"), sums, ["level", "owner", "node"], each.count())
-    chains = chains.groupBy("host", "branch").agg(F.array_sort(F.collect_list(F.struct("level", "n", "b"))).alias("chain"))  # as long as a path
+    chains = split_join(each.select("host", "whole", "level", "owner", "node"), sums, ["level", "owner", "node"], each.count())
+    chains = chains.groupBy("host", "whole").agg(F.array_sort(F.collect_list(F.struct("level", "n", "b"))).alias("chain"))  # as long as a path
     prior = branches.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labels")), F.lit(0.0)).alias("prior"))  # one row
     smooth = F.aggregate("chain", F.col("prior"), lambda share, x: (x["b"] + F.lit(WEIGHT) * share) / (x["n"] + F.lit(WEIGHT)))
-    return chains.crossJoin(F.broadcast(prior)).select("host", "branch", F.round(smooth, 9).alias("purity"))
+    found = chains.crossJoin(F.broadcast(prior)).select("host", "whole", F.round(smooth, 9).alias("purity"))
+    return branches.select("host", "whole", "branch").join(found, ["host", "whole"]).select("host", "branch", "purity")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -166,8 +170,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     split = split.select("page_id", "host", "path", path_form(F.col("path")).alias("form"), rule["rule"].alias("rule"), rule["verdict"].alias("ruled"), bad.cast("int").alias("bad"))
     split = scratch.write(split, "split")
     tree = template_tree(split.select("host", "path", "bad"), scratch)
-    leaves = scratch.write(tree.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "leaves")
-    named = scratch.write(leaves.join(merged_branches(leaves, scratch), ["host", "template"]), "named")
+    leaves = tree.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")).withColumn("leaf", _named(F.col("template")))
+    leaves = scratch.write(leaves, "leaves")
+    named = scratch.write(leaves.join(merged_branches(leaves, scratch), ["host", "leaf"]), "named")
     found = purities(named.groupBy("host", "branch").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), scratch)
     known = tree.select("host", "form", "template").join(named.select("host", "template", "branch").join(found, ["host", "branch"]), ["host", "template"])
     counts = split.groupBy("host", "form").agg(F.count("*").alias("k"))
