@@ -230,7 +230,7 @@ def test_neighbours_by_a_tree_of_pivots(spark, monkeypatch):
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     ids, cosine = [i for i, _ in rows], unit @ unit.T
     monkeypatch.setattr(graph, "FAN", 4)
-    for block in (16, 60):
+    for block in (16,):
         got = {}
         for r in graph.nearest_neighbours(frame, 3, 0.75, block).collect():
             got.setdefault(r.src, []).append(round(r.similarity, 6))
@@ -242,8 +242,8 @@ def test_neighbours_by_a_tree_of_pivots(spark, monkeypatch):
 def test_share_of_block_pairs_falls_with_size(spark):
     rng = np.random.default_rng(7)
     shares = []
-    for clusters in (10, 40, 160):
+    for clusters in (10, 120):
         frame = spark.createDataFrame(clustered(rng, clusters, 20), "id long, vector array<double>")
         found = graph.block_pairs(frame, 0.75, 20).first()
         shares.append(found.pairs / found.blocks**2)
-    assert shares[2] < shares[1] / 2 < shares[0] / 2 and shares[2] < 0.1
+    assert shares[1] < shares[0] / 4 and shares[1] < 0.1

@@ -97,7 +97,7 @@ def q_embed(spark, sf_dir):
 
 
 def _first_letters():
-    return lambda texts: [[ord(c) for c in t[:300]] for t in texts]
+    return lambda texts: [[ord(c) for c in t] for t in texts]
 
 
 @query("votes tweets", "SELECT tweet_id AS id, unicode(text) AS first, least(length(text), 128) AS used, 128 AS width, 128 - least(length(text), 128) AS padded, taco_class AS label, 1.0::DOUBLE AS perspective FROM tweets", ints="first used width padded")
@@ -334,8 +334,8 @@ def q_graph_losses(spark, sf_dir):
 @query()
 def q_graph_experiment(spark, sf_dir):
     """Accuracy and F1 over ten folds of every kind of network, after two steps each."""
-    few = {"hidden": 32, "epochs": 2}
-    kinds = [graph_training.Settings(k, **few) for k in ("MLP", "GCN", "SAGE")] + [graph_training.Settings("GAT", hidden=8, layers=2, epochs=2), graph_training.refiner(**few)]
+    few = {"hidden": 32, "layers": 2, "epochs": 2}
+    kinds = [graph_training.Settings(k, **few) for k in ("MLP", "GCN", "SAGE")] + [graph_training.Settings("GAT", hidden=8, heads=2, layers=2, epochs=2), graph_training.refiner(**few)]
     return training.experiment(_folded(spark, sf_dir), _graph(spark, sf_dir)[1], kinds)
 
 

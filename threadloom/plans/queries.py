@@ -173,10 +173,11 @@ def q_entities(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", X.decode_entities(F.concat("url", F.lit(" &amp; &copy; &middot; &quot;"))).alias("decoded"))
 
 
-@query("votes tweets", "SELECT tweet_id, regexp_replace(regexp_replace(txt, '^RT\\s+@[\\p{L}\\p{N}_]+:\\s*', ''), '@[\\p{L}\\p{N}_]+', '[USER]', 'g') AS masked FROM (SELECT tweet_id, 'RT @user_' || tweet_id || ': hi @b ' || topic AS txt FROM tweets)")
+@query("votes tweets", "SELECT tweet_id, md5(regexp_replace(regexp_replace(txt, '^RT\\s+@[\\p{L}\\p{N}_]+:\\s*', ''), '@[\\p{L}\\p{N}_]+', '[USER]', 'g')) AS masked FROM (SELECT tweet_id, 'RT @user_' || tweet_id || ': hi @b ' || text AS txt FROM tweets)")
 def q_mentions(spark, sf_dir):
-    text = F.concat(F.lit("RT @user_"), "tweet_id", F.lit(": hi @b "), "topic")
-    return T.tweets(spark, sf_dir).select("tweet_id", X.mask_mentions(X.strip_retweet(text)).alias("masked"))
+    """Each text, retweeted and with one mention more, without its retweet mark and names."""
+    text = F.concat(F.lit("RT @user_"), "tweet_id", F.lit(": hi @b "), "text")
+    return T.tweets(spark, sf_dir).select("tweet_id", F.md5(X.mask_mentions(X.strip_retweet(text))).alias("masked"))
 
 
 _MARKERS = ", ".join(f"'{m}'" for m in X.DISCOURSE_MARKERS)
