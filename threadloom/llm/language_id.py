@@ -27,10 +27,8 @@ from .arrowtext import give_back, mix, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: A score that unrelated vectors do not reach: four deviations of their cosine.
+#: A score that unrelated vectors do not reach: four deviations of their cosine. No margin is larger.
 LEAST_SCORE = 4 / DIMENSIONS**0.5
-#: Texts of fewer letters hold too few trigrams to be told from chance, so a low score says nothing about them.
-LEAST_LETTERS = 64
 MARGIN_ROWS = 20_000
 GROUP = 64
 HELD = 24_000
