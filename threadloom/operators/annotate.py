@@ -26,7 +26,7 @@ def fake_backend() -> Backend:
         for prompt in prompts:
             tweet = prompt.partition("Tweet ID: ")[2].partition("\n")[0]
             text = prompt.partition('Tweet Text: "')[2].rpartition('"\n\nProvide')[0]
-            span = " ".join(text.split()[:4])
+            span = " ".join(text.split(None, 4)[:4])
             item = {"label": "Information Providing", "evidence_span": span, "confidence": 0.9, "rationale": "The text states something."}
             out.append(json.dumps({tweet: [item]}, ensure_ascii=False))
         return out
@@ -37,28 +37,32 @@ def fake_backend() -> Backend:
 def annotate(prompts: DataFrame, make_backend: Callable[[], Backend], batch: int = BATCH_SIZE, retries: int = 1, delay: float = DELAY) -> DataFrame:
     """``prompts`` (tweet_id, text, prompt) with response, ok and seconds.
 
-    A worker makes one backend for all its batches. A batch succeeds or fails as a whole; a failed one is tried again
+    A worker makes one backend for all its batches and returns as many rows at once as it was sent, however small a batch is. A batch succeeds or fails as a whole; a failed one is tried again
     ``retries`` times at most, then its responses are the error's text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend: Backend | None = None
         for frame in frames:
-            for low in range(0, len(frame), batch):
-                part = frame.iloc[low : low + batch].copy()
+            asked, responses, fine, seconds = frame["prompt"].tolist(), [], [], []
+            for low in range(0, len(asked), batch):
+                part = asked[low : low + batch]
                 begun, answers, ok = time.monotonic(), [""] * len(part), False
                 for attempt in range(max(1, retries)):
                     try:
                         backend = backend or make_backend()
-                        answers, ok = backend(part["prompt"].tolist()), True
+                        answers, ok = backend(part), True
                         break
                     except Exception as error:  # any failure of a model is an outcome of the row
                         answers = [str(error)] * len(part)
                         if attempt + 1 < retries:
                             time.sleep(delay)
-                part["response"], part["ok"] = answers, ok
-                part["seconds"] = (time.monotonic() - begun) / len(part)
-                yield part[["tweet_id", "text", "response", "ok", "seconds"]]
+                if len(answers) != len(part):
+                    raise ValueError(f"{len(answers)} answers to {len(part)} prompts")
+                responses += answers
+                fine += [ok] * len(part)
+                seconds += [(time.monotonic() - begun) / len(part)] * len(part)
+            yield pd.DataFrame({"tweet_id": frame["tweet_id"], "text": frame["text"], "response": responses, "ok": fine, "seconds": seconds})
 
     return prompts.select("tweet_id", "text", "prompt").mapInPandas(run, "tweet_id string, text string, response string, ok boolean, seconds double")
 
