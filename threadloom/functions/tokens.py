@@ -7,6 +7,9 @@ character alone. Dictionaries (emoji names, contractions, anything by token) com
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ RULES = (
     r"[^\s]",
 )
 TOKEN = "|".join(RULES)
+#: The same for Spark's engine: a run that is followed by none of its own characters is never given back, so no word is walked through twice.
+_TOKEN = "|".join(re.sub(r"(?<=[\])}+])\+", "++", r).replace("]*(?:['-]", "]*+(?:['-]") if r in RULES[1:2] + RULES[5:10] else r for r in RULES)
 #: The most rows of a dictionary that a query sends to all tasks.
 MOST_ROWS = 50_000
 
@@ -50,13 +55,15 @@ SPACING = (
 def tokens(text: Column) -> Column:
     """The tokens of a text, its curved apostrophes and one-character ellipses straightened first."""
     plain = F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("..."))
-    return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0))
 
 
-def normal_token(token: Column, known: Column, endings: dict[str, str]) -> Column:
-    """Mentions to @USER, links to HTTPURL, what the dictionary has (``known``) to its meaning, contracted endings apart."""
-    low = F.lower(token)
+def normal_token(token: Column, known: Column, endings: dict[str, str], low: Column | None = None) -> Column:
+    """Mentions to @USER, links to HTTPURL, what the dictionary has (``known``) to its meaning, contracted endings apart. ``low`` is the token in lower case, if at hand."""
+    low = F.lower(token) if low is None else low
     out = F.when(F.startswith(token, F.lit("@")) & (F.length(token) > 1), "@USER").when(F.startswith(low, F.lit("http")) | F.startswith(low, F.lit("www")), "HTTPURL").when(known.isNotNull(), known)
+    if all("'" in ending for ending in endings):
+        out = out.when(~F.contains(token, F.lit("'")), token)
     for ending, apart in endings.items():
         out = out.when(F.endswith(low, F.lit(ending)) & (F.length(token) > 1), F.concat(F.left(token, F.length(token) - len(ending)), F.lit(apart)))
     return out.otherwise(token)
@@ -77,20 +84,28 @@ def normalize_tweet(text: Column, dictionary: dict[str, str] | None = None, endi
     return spaced(F.array_join(F.transform(tokens(text), one), " "))
 
 
+def _buckets(words: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """One row with an array of ``n`` maps of (token, meaning), and a token's place in it."""
+    place = lambda low: F.pmod(F.xxhash64(low), F.lit(n)).cast("int")
+    own = words.groupBy(place(F.col("token")).alias("place")).agg(F.collect_list(F.struct("token", "meaning")).alias("own"))
+    every = words.sparkSession.range(n).select(F.col("id").cast("int").alias("place")).join(own, "place", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "own"))), lambda x: F.map_from_entries(x["own"])).alias("__words")), place
+
+
 def normalize_tweets(rows: DataFrame, dictionary: DataFrame, key: str, text: str = "text", endings: dict[str, str] | None = None, most: int = MOST_ROWS) -> DataFrame:
     """(key, normal) of ``rows``, with a table (token, meaning) as the dictionary; of a token that has several meanings the first in order counts.
 
-    A dictionary of ``most`` rows or fewer goes to all tasks, as a map of maps by first letters, and texts stay where they are. A larger one is joined with the distinct tokens of
+    A dictionary of ``most`` rows or fewer goes to all tasks, as an array of as many small maps by the words' hashes (a map is searched from its begin), and texts stay where they are. A larger one is joined with the distinct tokens of
     the texts; tokens then come together again by ``key``, whose values must be distinct.
     """
     ends = CONTRACTIONS if endings is None else endings
     clean = dictionary.where("token IS NOT NULL AND meaning IS NOT NULL").groupBy(F.lower("token").alias("token")).agg(F.min("meaning").alias("meaning"))
-    if clean.limit(most + 1).count() <= most:
-        groups = clean.groupBy(F.left("token", F.lit(2)).alias("head")).agg(F.map_from_entries(F.collect_list(F.struct("token", "meaning"))).alias("own"))
-        one_row = groups.agg(F.map_from_entries(F.collect_list(F.struct("head", "own"))).alias("__words"))
+    words = clean.limit(most + 1).count()
+    if words <= most:
+        one_row, place = _buckets(clean, max(1, words))
         met = rows.select(key, text).crossJoin(F.broadcast(one_row))
-        known = lambda low: F.try_element_at(F.try_element_at(F.col("__words"), F.left(low, F.lit(2))), low)
-        one = lambda t: normal_token(t, let(F.lower(t), known), ends)
+        known = lambda low: F.try_element_at(F.get(F.col("__words"), place(low)), low)
+        one = lambda t: let(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda x: normal_token(x["t"], known(x["low"]), ends, x["low"]))
         return met.select(key, spaced(F.array_join(F.transform(tokens(F.col(text)), one), " ")).alias("normal"))
     each = rows.select(key, F.posexplode(tokens(F.col(text))).alias("at", "token"))
     words = each.select(F.lower("token").alias("word")).distinct().join(clean.withColumnRenamed("token", "word"), "word")
