@@ -20,11 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are as like one of the languages learned here as texts of their length are; without any label, those with letters."""
-    taught = docs.where(~language_id.held_out())
-    model = language_id.fit(taught)
+    model = language_id.fit(docs)
     if not model:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    least = language_id.least_score(language_id.margins(taught, model))
+    least = language_id.least_score(language_id.margins(docs, model))
     told = language_id.predict(docs, model, [c for c in COLUMNS if c != "text"], keep_text=True)
     return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 

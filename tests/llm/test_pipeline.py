@@ -3,9 +3,12 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_dedup import brute as near_brute
 from test_language_and_leaks import brute as leak_brute
 
+from threadloom.llm import language_id
+
 WINDOW = 50
 
 
@@ -67,3 +70,18 @@ def test_language_stage_rejects_by_score(spark, docs_of):
 def test_language_stage_without_labels_keeps_what_has_letters(spark, docs_of):
     kept = corpus_pipeline.identify_language(spark, docs_of((1, "some text"), (2, "é"), (3, "12 !"), (4, None), (5, "日本")), "")
     assert {r.doc_id for r in kept.collect()} == {1, 2, 5}
+
+
+def test_language_stage_learns_from_every_labelled_row(spark, docs_of, monkeypatch):
+    rng = random.Random(3)
+    crc = __import__("zlib").crc32
+    held = [i for i in range(400) if crc(str(i).encode()) % 5 == 0]
+    words = {"aa": "the of and to in is that it was for".split(), "cc": "жил был один старый царь с тремя сыновьями".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i in range(400) for k in ["cc" if i in held else "aa"]]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs_of(*rows), "").collect()}
+    assert kept == set(range(400))  # one of the languages is labelled only in rows that op10 holds out
+    seen, predict = [], language_id.predict
+    monkeypatch.setattr(language_id, "predict", lambda docs, *more, **named: seen.append(docs.count()) or predict(docs, *more, **named))
+    many = spark.range(20_400).select(F.col("id").alias("doc_id"), F.lit("the of").alias("text"), F.lit("aa").alias("lang"))
+    language_id.margins(many, language_id.fit(docs_of(*rows)))
+    assert seen == [20_400]

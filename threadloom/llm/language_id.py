@@ -29,7 +29,6 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 #: A score that unrelated vectors do not reach: four deviations of their cosine. No margin is larger.
 LEAST_SCORE = 4 / DIMENSIONS**0.5
-MARGIN_ROWS = 20_000
 GROUP = 64
 HELD = 24_000
 _BLANK = ord(" ")
@@ -199,16 +198,14 @@ def letter_class(text: str = "text"):
     return F.length(F.bin(F.length(F.regexp_replace(text, r"\P{L}+", "")))).cast("int")
 
 
-def margins(docs: DataFrame, model: dict[str, list[float]], rows: int = MARGIN_ROWS) -> list[float]:
-    """The least score to be expected of a text of each class of length, from about ``rows`` labelled rows at most.
+def margins(docs: DataFrame, model: dict[str, list[float]]) -> list[float]:
+    """The least score to be expected of a text of each class of length, from the scores of all labelled rows.
 
     It is half of what all but one in a thousand of the rows reach that are told rightly, and LEAST_SCORE at most. Classes without
     rows take that of the next shorter one (longer texts score higher), or 0 if there is none.
     """
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    share = min(1.0, rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    told = predict(drawn.withColumn("class", letter_class()), model, ["lang", "class"])
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", letter_class().alias("class"))
+    told = predict(known, model, ["lang", "class"])
     low = told.where("lang = lang_pred").groupBy("class").agg(F.percentile_approx("score", 0.001, 100_000).alias("low"))
     found = {r["class"]: r.low for r in low.collect()}  # a row per class, of which there are 32 at most
     out, last = [], 0.0
